@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but these six characters (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,3 +69,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words_count(text):
     """Column: number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def with_fields(schema: StructType, **more: str) -> StructType:
+    """A copy of ``schema`` with more fields (name=type)."""
+    out = StructType(list(schema.fields))
+    for name, kind in more.items():
+        out.add(name, kind)
+    return out

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, packing
+from . import bpe, mixing, packing, quality, topk
 from .common import table
 
 
@@ -17,6 +18,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), quality_grade(), levels=3)
+    return quality.score(docs, model).drop("text")
+
+
+def quality_grade():
+    """0: poor and toxic, 1: one of them, 2: neither."""
+    return F.col("quality") + 1 - F.col("toxic")
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -24,7 +41,9 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op4_token_counts": op4_token_counts,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
