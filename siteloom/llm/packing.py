@@ -36,6 +36,7 @@ class PieceIds(dict):
 
         tokenizer = Tokenizer.from_file(path)
         self.merge = tokenizer.model.tokenize
+        self.written = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
         self.as_bytes = {i: ord(s) for i, s in enumerate(byte_symbols())}
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split
@@ -44,13 +45,17 @@ class PieceIds(dict):
         self.chunks = Chunks(self)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(piece.encode().decode("latin-1").translate(self.as_bytes))])
+        ids = self.merged(piece)
         if len(self) >= self.remember:
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def merged(self, piece: str) -> bytes:
+        written = self.written
+        return b"".join([written[t.id] for t in self.merge(piece.encode().decode("latin-1").translate(self.as_bytes))])
+
     def plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         try:
@@ -71,8 +76,11 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace():
             raise Unclear
-        ids = b"".join(map(self.pieces.__getitem__, self.pieces.find(" " + chunk)))
-        if len(self) >= self.pieces.remember:
+        if chunk.isalpha():
+            ids = self.pieces.merged(" " + chunk)
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, self.pieces.find(" " + chunk)))
+        if len(self) >= 2 * self.pieces.remember:
             self.clear()
         if len(chunk) <= 64:
             self[chunk] = ids
