@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, mixing, neardup, packing, quality, topk
+from . import bpe, html, mixing, neardup, packing, quality, secrets, topk
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start", "length", "rule", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "secret")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"), quality_grade(), levels=3)
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_main_text": op5_main_text,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
