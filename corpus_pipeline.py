@@ -1,8 +1,66 @@
-"""The corpus pipeline: quality classifier, near-dedup, secret scan, mixing, packing."""
+"""The corpus pipeline: quality classifier, near-duplicates, secret scan, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns rows with the columns of ``documents``, all but the last,
+which returns the pieces of packed sequences. ``run`` writes each result as Parquet and reads it back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siteloom.llm import mixing, neardup, packing, quality, secrets
+from siteloom.llm.common import materialize, table
+from siteloom.llm.queries import quality_grade
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the rated ones of all documents, expects to be of the top grade."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_grade(), levels=3)
+    return quality.score(docs, model).where("keep").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 80 %), that of the smallest id; of rows that
+    repeat an id, one. Rows without an id stay."""
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80).where("kept").select(F.col("id").alias("_id"))
+    first = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not again.isEmpty():
+        first = first.join(again, "doc_id", "left_anti").unionByName(first.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return first.unionByName(docs.where("doc_id is null"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by the name of the rule that found them."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    taken = mixing.mix(docs)
+    return taken.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("minhash_near_dedup", one_of_each),
+    ("secret_scan", without_secrets),
+    ("source_mixing", mixed),
+    ("harmonic_packing", packed),
+]
+
+#: Neither classifier, forest nor tokenizer can be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

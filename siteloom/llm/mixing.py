@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -120,11 +121,9 @@ def mix(
     sizes = slim.groupBy("_pattern").agg(F.sum("size").alias("n")).limit(most_patterns + 1).collect()
     if len(sizes) > most_patterns:
         raise ValueError(f"more than {most_patterns} membership patterns")
-    import json
-
-    patterns = sorted((json.loads(r["_pattern"])["s"], r["n"], r["_pattern"]) for r in sizes) if not any(None in json.loads(r["_pattern"])["s"] for r in sizes) else sorted(
-        ((json.loads(r["_pattern"])["s"], r["n"], r["_pattern"]) for r in sizes), key=lambda x: [(v is None, v or "") for v in x[0]])
-    known = sorted({v for m, _, _ in patterns for v in m}, key=lambda v: (v is None, v or ""))
+    by_name = lambda v: (v is None, v or "")
+    patterns = sorted(((json.loads(r["_pattern"])["s"], r["n"], r["_pattern"]) for r in sizes), key=lambda p: [by_name(v) for v in p[0]])
+    known = sorted({v for m, _, _ in patterns for v in m}, key=by_name)
     rank = {v: i for i, v in enumerate(known)}
     source_sizes = [0] * len(known)
     for m, n, _ in patterns:
