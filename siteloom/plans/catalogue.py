@@ -1,4 +1,526 @@
-"""The registered queries over crawled pages, and their SQL."""
+"""The registered queries over crawled pages, and their SQL for DuckDB."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.urls import host
+from ..operators import crawl as C
+from ..operators import cross_issues as X
+from ..operators import page_issues as R
+from ..operators import queries as Q
+from ..operators import registry
+from ..operators import text_stats as S
+from ..sources import landing, sinks
+from . import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+RULES = """
+SELECT page_id, 'non_200_status' AS issue_type, CASE WHEN status_code = 404 OR status_code >= 500 THEN 'critical' ELSE 'warning' END AS severity, 'technical' AS category FROM p WHERE status_code >= 400
+UNION ALL SELECT page_id, 'missing_title', 'critical', 'content' FROM p WHERE status_code < 400 AND title = ''
+UNION ALL SELECT page_id, 'title_too_long', 'warning', 'content' FROM p WHERE status_code < 400 AND length(title) > 60
+UNION ALL SELECT page_id, 'missing_meta_description', 'warning', 'content' FROM p WHERE status_code < 400
+UNION ALL SELECT page_id, 'thin_content', 'warning', 'content' FROM p WHERE status_code < 400 AND word_count < 300
+UNION ALL SELECT page_id, 'missing_h1', 'critical', 'structure' FROM p WHERE status_code < 400 AND h1_count = 0
+UNION ALL SELECT page_id, 'multiple_h1', 'warning', 'structure' FROM p WHERE status_code < 400 AND h1_count > 1
+UNION ALL SELECT page_id, 'missing_h2', 'info', 'structure' FROM p WHERE status_code < 400 AND h1_count > 0 AND word_count > 50
+UNION ALL SELECT page_id, 'slow_response', 'warning', 'performance' FROM p WHERE status_code < 400 AND response_time_ms > 3000
+UNION ALL SELECT page_id, 'missing_canonical', 'warning', 'technical' FROM p WHERE status_code < 400"""
+POST = """
+SELECT page_id, 'no_canonical_tag' AS issue_type, 'warning' AS severity, 'technical' AS category FROM p WHERE status_code < 400
+UNION ALL SELECT page_id, 'title_too_long', 'info', 'content' FROM p WHERE status_code < 400 AND length(title) > 60
+UNION ALL SELECT page_id, 'title_too_short', 'info', 'content' FROM p WHERE status_code < 400 AND length(title) BETWEEN 1 AND 29
+UNION ALL SELECT page_id, 'missing_title', 'critical', 'content' FROM p WHERE status_code < 400 AND title = ''
+UNION ALL SELECT page_id, 'missing_meta_description', 'warning', 'content' FROM p WHERE status_code < 400
+UNION ALL SELECT page_id, 'missing_h1', 'warning', 'structure' FROM p WHERE status_code < 400 AND h1_count = 0
+UNION ALL SELECT page_id, 'multiple_h1', 'info', 'structure' FROM p WHERE status_code < 400 AND h1_count > 1
+UNION ALL SELECT page_id, 'missing_h2', 'info', 'structure' FROM p WHERE status_code < 400 AND word_count > 0
+UNION ALL SELECT page_id, 'missing_og_tags', 'warning', 'social' FROM p WHERE status_code < 400
+UNION ALL SELECT page_id, 'missing_twitter_card', 'info', 'social' FROM p WHERE status_code < 400"""
+I = f"WITH {V.P}, i AS ({RULES})"
+
+
+def fetch_issues(spark: SparkSession, d: str) -> DataFrame:
+    return R.incremental_issues(V.pages(spark, d))
+
+
+# Parsing and rules
+
+
+@query(f"{I} SELECT issue_type, severity, category, count(*) AS issues FROM i GROUP BY ALL")
+def issue_summary(spark, d):
+    return Q.issue_summary(fetch_issues(spark, d))
+
+
+@query(f"WITH {V.P} SELECT page_id, title, h1_count, word_count, content_hash, CAST(len(regexp_extract_all(html, '<a href=\"')) AS INTEGER) AS link_count FROM p")
+def page_parse_core(spark, d):
+    return V.pages(spark, d).select("page_id", "title", "h1_count", "word_count", "content_hash", F.size("links").alias("link_count"))
+
+
+@query(f"""WITH l AS (SELECT page_id AS source_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), 1) - 1 AS position FROM pages)
+SELECT source_id, CAST(position AS INTEGER) AS position, {V.DECODE.format("t")} AS anchor_text, true AS is_internal, false AS is_no_follow, 'HtmlA' AS link_relation FROM l""")
+def links_extract(spark, d):
+    return V.page_links(spark, d).select("source_id", "position", "anchor_text", "is_internal", "is_no_follow", "link_relation")
+
+
+@query(f"{I} SELECT * FROM i")
+def issues_incremental(spark, d):
+    return fetch_issues(spark, d).select("page_id", "issue_type", "severity", "category")
+
+
+@query(f"WITH {V.P} {POST}")
+def issues_per_page(spark, d):
+    found = R.post_crawl_page_issues(V.pages(spark, d)).select("page_id", "issue_type", "severity", "category")
+    return found.where("issue_type <> 'heading_non_sequential'")
+
+
+HEADED = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN map {'x-frame-options': 'DENY'} WHEN 1 THEN map {'content-security-policy': 'frame-ancestors none', 'strict-transport-security': 'max-age=1'} WHEN 2 THEN map {'referrer-policy': 'origin', 'x-content-type-options': 'nosniff'} ELSE map {'content-security-policy': 'default-src *'} END AS h, url, status_code, html FROM p"
+SECURITY = "('insecure_http', 'missing_x_content_type_options', 'missing_x_frame_options', 'missing_csp', 'missing_referrer_policy', 'missing_hsts', 'mixed_content')"
+
+
+@query(f"""WITH {V.P}, s AS (SELECT page_id, url, html, h FROM ({HEADED}) WHERE status_code BETWEEN 200 AND 399)
+SELECT page_id, 'insecure_http' AS issue_type, 'critical' AS severity FROM s WHERE NOT starts_with(url, 'https://')
+UNION ALL SELECT page_id, 'missing_x_content_type_options', 'warning' FROM s WHERE h['x-content-type-options'] IS NULL
+UNION ALL SELECT page_id, 'missing_x_frame_options', 'warning' FROM s WHERE h['x-frame-options'] IS NULL AND NOT coalesce(contains(h['content-security-policy'], 'frame-ancestors'), false)
+UNION ALL SELECT page_id, 'missing_csp', 'warning' FROM s WHERE h['content-security-policy'] IS NULL
+UNION ALL SELECT page_id, 'missing_referrer_policy', 'info' FROM s WHERE h['referrer-policy'] IS NULL
+UNION ALL SELECT page_id, 'missing_hsts', 'warning' FROM s WHERE starts_with(url, 'https://') AND h['strict-transport-security'] IS NULL
+UNION ALL SELECT page_id, 'mixed_content', 'critical' FROM s WHERE starts_with(url, 'https://') AND regexp_matches(html, '(src|href)=["'']http://|url\\(["'']?http://', 'i')""")
+def security_headers(spark, d):
+    m = lambda *kv: F.create_map(*map(F.lit, kv))
+    k = F.col("page_id") % 4
+    headers = F.when(k == 0, m("x-frame-options", "DENY")).when(k == 1, m("content-security-policy", "frame-ancestors none", "strict-transport-security", "max-age=1")).when(k == 2, m("referrer-policy", "origin", "x-content-type-options", "nosniff")).otherwise(m("content-security-policy", "default-src *"))
+    found = R.post_crawl_page_issues(V.pages(spark, d, keep_html=True).withColumn("headers", headers))
+    return found.where(f"issue_type in {SECURITY}").select("page_id", "issue_type", "severity")
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(str((i, *registry.DEFAULTS[i])) for i in registry.DEFAULTS)}) t(issue_type, severity, category)")
+def issue_definitions(spark, d):
+    return registry.definitions(spark).select("issue_type", "severity", "category")
+
+
+BLOCKS = [(1, '{"@type":"Product","name":"a","description":"b"}'), (2, '{"@type":["Article","Event"],"headline":"x","datePublished":"y","name":"n"}'), (3, '{"@type":"BreadcrumbList"}'), (4, '{"@type":"BlogPosting","headline":"x"}'), (5, '{"@type":"Organization","@graph":[{"name":"n"}]}'), (6, '{"@type":"Unknown"}')]
+
+
+@query("""SELECT * FROM (VALUES (1, 'product_missing_price', 'Product: offers'), (2, 'article_missing_author', 'Article: author'), (2, 'structured_data_missing_fields', 'Event: startDate'),
+(3, 'breadcrumb_invalid', 'BreadcrumbList: itemListElement'), (4, 'structured_data_missing_fields', 'BlogPosting: author,datePublished')) t(page_id, issue_type, detail)""")
+def structured_data(spark, d):
+    pages = spark.createDataFrame(BLOCKS, "page_id int, b string").select("page_id", F.lit("https://a.b/c").alias("url"), F.array("b").alias("structured_data"))
+    return R.evaluated(pages, R.post_crawl_rules(), R.many_issues(), phase="post_crawl").where("issue_type rlike 'structured|product|article|breadcrumb'").select("page_id", "issue_type", "detail")
+
+
+# Across pages
+
+
+@query(f"WITH {V.P} SELECT lower(title) AS title, min(url) AS url, count(*) AS pages FROM p WHERE strlen(lower(title)) > 5 GROUP BY 1 HAVING count(*) > 1")
+def dup_titles(spark, d):
+    pages = V.pages(spark, d)
+    groups = X._groups(pages.where(F.octet_length(X.folded("title")) > 5), X.folded("title"), 1)
+    return groups.select(F.col("key").alias("title"), "url", F.col("n").alias("pages"))
+
+
+@query(f"WITH {V.P}, h AS (SELECT url, CAST(word_count % 50 AS VARCHAR) AS k FROM p) SELECT min(url) AS url, 'duplicate_content' AS issue_type, CAST(count(*) AS VARCHAR) AS detail FROM h GROUP BY k HAVING count(*) > 1")
+def dup_content(spark, d):
+    pages = V.pages(spark, d).withColumn("content_hash", (F.col("word_count") % 50).cast("string"))
+    return X.duplicate_content(pages).select("url", "issue_type", "detail")
+
+
+@query(f"WITH {V.P}, h AS (SELECT url, regexp_extract(url, '://([^/?#]*)', 1) AS k FROM p) SELECT min(url) AS url, 'canonical_cluster' AS issue_type, CAST(count(*) AS VARCHAR) AS detail FROM h GROUP BY k HAVING count(*) > 2")
+def canonical_clusters(spark, d):
+    return X.canonical_clusters(V.pages(spark, d).withColumn("canonical_url", host(F.col("url")))).select("url", "issue_type", "detail")
+
+
+def stop_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+KEYWORD_TOKENS = rf"list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda t: strlen(t) > 2 AND NOT list_contains({stop_list(T.KEYWORD_STOPS)}, t))"
+CLUSTER_TOKENS = rf"list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda t: strlen(t) >= 2 AND NOT list_contains({stop_list(T.CLUSTER_STOPS)}, t))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({KEYWORD_TOKENS}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL), k AS (SELECT doc_id, max(n) AS m FROM c GROUP BY 1),
+b AS (SELECT doc_id, max(w) AS keyword FROM c JOIN k USING (doc_id) WHERE n = m GROUP BY 1)
+SELECT keyword, count(*) AS pages FROM b GROUP BY 1 HAVING count(*) > 1""")
+def keyword_cannibalization(spark, d):
+    density = S.keyword_density(V.table(spark, d, "documents"), "doc_id", F.col("text"))
+    # The densest term of each page, ties to the greatest; then groups of pages.
+    best = density.groupBy("doc_id").agg(F.max(F.struct("density", "phrase")).alias("m")).select(F.col("m.phrase").alias("keyword"))
+    return best.groupBy("keyword").agg(F.count("*").alias("pages")).where("pages > 1")
+
+
+def in_sitemap(pages: DataFrame) -> DataFrame:
+    """Every third page, and as many that were never crawled."""
+    some = pages.where("page_id % 3 = 0")
+    return some.select(F.col("url").alias("loc")).unionByName(some.select(F.concat(F.col("url"), F.lit("-gone")).alias("loc")))
+
+
+def plain(spark, d):
+    """Pages with the URL as it stands for the key, as DuckDB has no normal form."""
+    return V.fetched(V.table(spark, d, "pages").select("page_id", "url", F.col("url").alias("normalized_url")))
+
+
+SITEMAP = "m AS (SELECT lower(url) AS k FROM p WHERE page_id % 3 = 0 UNION SELECT lower(url) || '-gone' FROM p WHERE page_id % 3 = 0)"
+
+
+@query(f"WITH {V.P}, {SITEMAP} SELECT k AS url FROM m WHERE k NOT IN (SELECT lower(url) FROM p) ORDER BY 1 LIMIT 500")
+def sitemap_not_crawled(spark, d):
+    pages = plain(spark, d)
+    return X.sitemap_not_crawled(pages, in_sitemap(pages)).select("url")
+
+
+@query(f"WITH {V.P}, {SITEMAP} SELECT url FROM p WHERE indexability = 'indexable' AND lower(url) NOT IN (SELECT k FROM m)")
+def sitemap_missing(spark, d):
+    pages = plain(spark, d)
+    return X.missing_from_sitemap(pages, in_sitemap(pages)).select("url")
+
+
+@query(f"WITH {V.P}, {SITEMAP} SELECT url, CAST(status_code AS VARCHAR) AS detail FROM p WHERE status_code >= 400 AND lower(url) IN (SELECT k FROM m)")
+def sitemap_errors(spark, d):
+    pages = plain(spark, d)
+    return X.sitemap_errors(pages, in_sitemap(pages)).select("url", "detail")
+
+
+@query(f"WITH {V.E}, {V.Q} SELECT url FROM q WHERE indexability = 'indexable' AND url NOT IN (SELECT target_url FROM e WHERE source_id % 50 = 0)")
+def orphans(spark, d):
+    return X.orphaned_pages(V.part_pages(spark, d), V.edges(spark, d).where("source_id % 50 = 0")).select("url")
+
+
+@query(f"WITH {V.E}, {V.Q} SELECT source_url AS url, CAST(count(*) AS VARCHAR) AS detail FROM e WHERE is_internal AND target_url IN (SELECT url FROM q WHERE status_code BETWEEN 400 AND 499) GROUP BY 1")
+def links_to_4xx(spark, d):
+    return X.links_to_4xx(V.part_pages(spark, d), V.edges(spark, d)).select("url", "detail")
+
+
+@query(f"""WITH {V.E}, c AS (SELECT target_url, lower(trim(anchor_text)) AS anchor, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY target_url) AS total, row_number() OVER (PARTITION BY target_url ORDER BY n DESC, anchor DESC) AS k FROM c)
+SELECT target_url AS url, anchor, n AS uses, CAST(total AS BIGINT) AS total FROM r WHERE k = 1 AND n >= 5""")
+def anchor_overuse(spark, d):
+    found = X.overused_anchors(V.edges(spark, d))
+    counts = V.edges(spark, d).groupBy(F.col("target_normalized_url").alias("url"), F.lower(F.trim("anchor_text")).alias("anchor")).agg(F.count("*").alias("uses"))
+    named = found.select("url", F.substring_index("detail", "|", 1).alias("anchor"))
+    total = counts.groupBy("url").agg(F.sum("uses").alias("total"))
+    return named.join(counts, ["url", "anchor"]).join(total, "url").select("url", "anchor", "uses", "total")
+
+
+@query("""WITH n AS (SELECT o_orderkey AS k, '/o/' || o_orderkey AS url, '/o/' || (o_orderkey + 1) AS nx, CASE WHEN o_orderkey % 5 = 0 THEN '/o/-' || o_orderkey END AS pv FROM orders)
+SELECT url, nx AS detail FROM n WHERE nx NOT IN (SELECT url FROM n) UNION ALL SELECT url, pv FROM n WHERE pv IS NOT NULL AND pv NOT IN (SELECT url FROM n)""")
+def broken_pagination(spark, d):
+    k = F.col("o_orderkey")
+    at = lambda c: F.concat(F.lit("/o/"), c.cast("string"))
+    pages = V.table(spark, d, "orders").select(at(k).alias("url"), at(k + 1).alias("pagination_next"), F.when(k % 5 == 0, F.concat(F.lit("/o/-"), k.cast("string"))).alias("pagination_prev"))
+    return X.broken_pagination(pages).select("url", "detail")
+
+
+@query("SELECT * FROM (VALUES ('u1', 'u2', 'hreflang_missing_reciprocal'), ('u1', 'mailto:x', 'hreflang_invalid_target'), ('u3', 'u4', 'hreflang_invalid_target')) t(url, detail, issue_type)")
+def hreflang_reciprocity(spark, d):
+    site = lambda c: F.regexp_replace(c, "https://s/", "")
+    pages = spark.createDataFrame([("https://s/u1", 200), ("https://s/u2", 200), ("https://s/u3", 200), ("https://s/u4", 404)], "url string, status_code int").withColumn("normalized_url", F.col("url"))
+    told = spark.createDataFrame([("https://s/u1", "https://s/u2"), ("https://s/u1", "mailto:x"), ("https://s/u3", "https://s/u1"), ("https://s/u1", "https://s/u3"), ("https://s/u3", "https://s/u4"), ("https://s/u4", "https://s/u3")], "url string, href string").withColumn("href_normalized", F.col("href"))
+    found = X.hreflang_targets(pages, told).unionByName(X.hreflang_reciprocity(pages, told))
+    return found.select(site(F.col("url")).alias("url"), site(F.col("detail")).alias("detail"), "issue_type")
+
+
+@query("SELECT * FROM (VALUES ('p1', 'amp_invalid_target'), ('p2', 'amp_canonical_mismatch')) t(url, issue_type)")
+def amp_pairs(spark, d):
+    pages = spark.createDataFrame([("p1", "x1", False, None), ("x1", None, False, None), ("p2", "x2", False, None), ("x2", None, True, "other"), ("p3", "x3", False, None), ("x3", None, True, "p3"), ("p4", "x4", False, None), ("x4", None, True, None)], "url string, amp_normalized string, is_amp boolean, canonical_normalized string").withColumn("normalized_url", F.col("url"))
+    return X.amp_pairs(pages).select("url", "issue_type")
+
+
+# Pages, issues, links
+
+
+PAGE = "page_id, url, title, status_code, word_count"
+
+
+@query(f"WITH {V.P} SELECT {PAGE} FROM p WHERE status_code BETWEEN 400 AND 499 AND status_code NOT IN (410) ORDER BY page_id LIMIT 50")
+def urls_page_4xx(spark, d):
+    return Q.query_pages(V.pages(spark, d), direction="asc", status_class="4xx", excluded=[410]).select(*PAGE.split(", "))
+
+
+@query(f"WITH {V.P} SELECT {PAGE} FROM p WHERE url ILIKE '%/EN/%' OR title ILIKE '%/EN/%' ORDER BY page_id DESC LIMIT 50")
+def urls_search(spark, d):
+    return Q.query_pages(V.pages(spark, d), term="/EN/").select(*PAGE.split(", "))
+
+
+@query(f"WITH {V.P} SELECT {PAGE} FROM p ORDER BY word_count DESC, page_id DESC LIMIT 20 OFFSET 40")
+def urls_sorted_page(spark, d):
+    return Q.query_pages(V.pages(spark, d), sort="word_count", page=2, size=20).select(*PAGE.split(", "))
+
+
+@query(f"""WITH {V.Q} SELECT count(*) AS total, count(*) FILTER (indexability = 'indexable') AS indexable, count(*) FILTER (indexability = 'non_indexable') AS non_indexable,
+count(*) FILTER (status_code >= 400) AS non_200, round(avg(depth), 4) AS avg_depth, round(avg(response_time_ms), 4) AS avg_response_time FROM q""")
+def url_summary(spark, d):
+    return Q.summary(V.part_pages(spark, d)).withColumns({c: F.round(c, 4) for c in ("avg_depth", "avg_response_time")})
+
+
+@query(f"WITH {V.Q} SELECT CAST(status_code AS VARCHAR) AS status_code, count(*) AS pages FROM q GROUP BY 1")
+def status_distribution(spark, d):
+    return Q.distribution(V.part_pages(spark, d), "status_code")
+
+
+@query(f"WITH {V.Q} SELECT CAST(depth AS VARCHAR) AS depth, count(*) AS pages FROM q GROUP BY 1")
+def depth_distribution(spark, d):
+    return Q.distribution(V.part_pages(spark, d), "depth")
+
+
+@query(f"WITH {V.E}, {V.Q} SELECT page_id, q.url, coalesce(n, 0) AS inlinks_count FROM q LEFT JOIN (SELECT target_url, count(*) AS n FROM e GROUP BY 1) ON target_url = q.url")
+def inlinks_count(spark, d):
+    return Q.with_inlinks(V.part_pages(spark, d), V.edges(spark, d)).select("page_id", "url", "inlinks_count")
+
+
+@query("""SELECT c_nationkey AS project_id, (SELECT count(*) FROM customer c2 WHERE c2.c_nationkey = c.c_nationkey) AS crawls, count(o_orderkey) AS pages, CAST(coalesce(sum(n), 0) AS BIGINT) AS issues
+FROM (SELECT DISTINCT c_nationkey FROM customer) c LEFT JOIN customer c3 USING (c_nationkey) LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY c_nationkey""")
+def project_summary(spark, d):
+    crawls = V.table(spark, d, "customer").select(F.col("c_custkey").alias("crawl_id"), F.col("c_nationkey").alias("project_id"))
+    pages = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_custkey").alias("crawl_id"))
+    return Q.project_summary(crawls.select("project_id").distinct(), crawls, pages, V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id")))
+
+
+@query("SELECT min(page_id) AS page_id, url FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM pages) GROUP BY url")
+def dedupe_pages(spark, d):
+    pages = V.table(spark, d, "pages").select("page_id", "url", F.lit(1).alias("crawl_id"))
+    return Q.deduplicated(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1_000_000)))[0].select("page_id", "url")
+
+
+@query(f"{I} SELECT count(*) FILTER (severity = 'critical') AS critical, greatest(0, least(100, 100 - 2 * count(*) FILTER (severity = 'critical'))) AS score FROM i")
+def health_score(spark, d):
+    return Q.health_score(fetch_issues(spark, d))
+
+
+@query(f"WITH {V.E}, {V.Q} SELECT page_id, CASE WHEN coalesce(n, 0) >= 5 THEN 'High' WHEN coalesce(n, 0) >= 1 THEN 'Medium' ELSE 'Low' END AS priority FROM q LEFT JOIN (SELECT target_url, count(*) AS n FROM e GROUP BY 1) ON target_url = q.url WHERE status_code BETWEEN 400 AND 499")
+def error_priority(spark, d):
+    return Q.with_inlinks(V.part_pages(spark, d).where("status_code between 400 and 499"), V.edges(spark, d)).select("page_id", Q.error_priority(F.col("inlinks_count")).alias("priority"))
+
+
+@query(f"{I} SELECT i.issue_type, p.url, i.severity FROM i JOIN p USING (page_id) WHERE i.category = 'content' AND i.severity = 'warning' AND (p.url ILIKE '%title%' OR i.issue_type ILIKE '%title%') ORDER BY 1, 2, 3 LIMIT 50")
+def issues_filtered(spark, d):
+    return Q.query_issues(fetch_issues(spark, d), severity="warning", category="content", term="title").select("issue_type", "url", "severity")
+
+
+@query(f"WITH {V.E} SELECT count(*) AS total, count(*) FILTER (is_internal) AS internal, count(*) FILTER (NOT is_internal) AS external, count(*) FILTER (is_no_follow) AS nofollow FROM e")
+def link_summary(spark, d):
+    return Q.link_summary(V.edges(spark, d))
+
+
+@query(f"WITH {V.E} SELECT link_relation, count(*) AS links FROM e GROUP BY 1")
+def link_relations(spark, d):
+    return Q.link_relations(V.edges(spark, d))
+
+
+@query(f"WITH {V.E}, {V.Q} SELECT target_url, count(*) AS links FROM e WHERE target_url IN (SELECT url FROM q WHERE status_code >= 400) GROUP BY 1")
+def broken_targets(spark, d):
+    return Q.broken_targets(V.part_pages(spark, d), V.edges(spark, d))
+
+
+@query(f"""WITH {V.E} SELECT lower(trim(anchor_text)) AS anchor, count(*) AS links, count(*) FILTER (is_internal) AS internal, count(*) FILTER (NOT is_internal) AS external, count(DISTINCT source_url) AS sources, count(DISTINCT target_url) AS targets
+FROM e GROUP BY 1 ORDER BY links DESC, targets DESC, anchor LIMIT 25""")
+def anchor_summary(spark, d):
+    return Q.anchor_summary(V.edges(spark, d))
+
+
+# Diffs
+
+
+def two_crawls(spark, d):
+    pages = plain(spark, d).join(V.pages(spark, d).select("page_id", "title", "meta_description", "content_hash"), "page_id")
+    return V.crawl(pages, "a"), V.crawl(pages, "b")
+
+
+@query(f"""WITH {V.P}, {V.A} SELECT (SELECT count(*) FROM a) AS pages_before, (SELECT count(*) FROM b) AS pages_after, (SELECT count(*) FROM b WHERE url NOT IN (SELECT url FROM a)) AS new_pages,
+(SELECT count(*) FROM a WHERE url NOT IN (SELECT url FROM b)) AS removed_pages, (SELECT count(*) FROM a JOIN b USING (url) WHERE a.title <> b.title) AS changed_pages""")
+def diff_summary(spark, d):
+    return Q.diff_summary(*two_crawls(spark, d))
+
+
+@query(f"WITH {V.P}, {V.A} SELECT page_id, url FROM b WHERE url NOT IN (SELECT url FROM a)")
+def diff_new(spark, d):
+    return Q.new_pages(*two_crawls(spark, d)).select("page_id", "url")
+
+
+@query(f"WITH {V.P}, {V.A} SELECT page_id, url FROM a WHERE url NOT IN (SELECT url FROM b)")
+def diff_removed(spark, d):
+    a, b = two_crawls(spark, d)
+    return Q.new_pages(b, a).select("page_id", "url")
+
+
+@query(f"WITH {V.P}, {V.A} SELECT b.url, a.title AS old_title, b.title AS new_title, 'title' AS changed FROM a JOIN b USING (url) WHERE a.title <> b.title")
+def diff_changed(spark, d):
+    return Q.changed_pages(*two_crawls(spark, d)).select("url", "old_title", "new_title", "changed")
+
+
+@query(f"""WITH {V.P}, {V.A}, x AS (SELECT url, length(title) AS n FROM a WHERE status_code < 400 AND length(title) > 60), y AS (SELECT url, length(title) AS n FROM b WHERE status_code < 400 AND length(title) > 60)
+SELECT 'title_too_long' AS issue_type, url, CAST(n AS VARCHAR) AS detail FROM y WHERE (url, n) NOT IN (SELECT url, n FROM x)""")
+def diff_new_issues(spark, d):
+    a, b = (R.incremental_issues(c).where("issue_type = 'title_too_long'").withColumn("key", F.col("url")) for c in two_crawls(spark, d))
+    return Q.new_issues(a, b).select("issue_type", "url", "detail")
+
+
+@query(f"""WITH {V.E}, {V.Q}, k AS (SELECT DISTINCT source_id, source_url, target_url FROM e WHERE target_url IN (SELECT url FROM q WHERE status_code >= 400))
+SELECT DISTINCT source_url, target_url AS target_key FROM k WHERE source_id % 10 <> 1 AND (source_url, target_url) NOT IN (SELECT source_url, target_url FROM k WHERE source_id % 10 <> 0)""")
+def diff_broken_links(spark, d):
+    pages, links = V.part_pages(spark, d), V.edges(spark, d)
+    return Q.new_broken_links(pages, links.where("source_id % 10 <> 0"), pages, links.where("source_id % 10 <> 1"))
+
+
+@query("""SELECT CAST(o_custkey AS BIGINT) AS project_id, older, newer FROM (SELECT o_custkey, o_orderkey AS newer, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS older FROM orders WHERE o_orderstatus = 'F') WHERE older IS NOT NULL""")
+def crawl_pairs(spark, d):
+    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("crawl_id"), F.col("o_orderdate").alias("completed_at"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("crawling").alias("status"))
+    return Q.crawl_pairs(o)
+
+
+# Text
+
+
+def ngram_sql(n: int) -> str:
+    grams = {1: "x", 2: "list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])", 3: "list_transform(range(1, len(x) - 1), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2])"}[n]
+    return f"""WITH t AS (SELECT {KEYWORD_TOKENS} AS x FROM documents), g AS (SELECT unnest({grams}) AS phrase FROM t), c AS (SELECT phrase, count(*) AS "count" FROM g GROUP BY 1)
+SELECT phrase, "count", round("count" / (SELECT count(*) FROM g), 10) AS frequency FROM c ORDER BY "count" DESC, phrase LIMIT 250"""
+
+
+def ngram_query(n: int):
+    def run(spark, d):
+        return S.keywords(V.table(spark, d, "documents"), F.col("text"), n).withColumn("frequency", F.round("frequency", 10))
+
+    run.__name__ = f"ngrams_{n}"
+    query(ngram_sql(n))(run)
+
+
+for _n in (1, 2, 3):
+    ngram_query(_n)
+
+TFIDF = f"""t AS (SELECT doc_id, {CLUSTER_TOKENS} AS x FROM documents), s AS (SELECT doc_id, len(x) AS n, unnest(x) AS term FROM t WHERE len(x) > 0), tf AS (SELECT doc_id, term, count(*) / any_value(n) AS tf FROM s GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT doc_id, term, tf * (ln(((SELECT count(*) FROM t WHERE len(x) > 0) + 1) / (df + 1)) + 1) AS weight FROM tf JOIN df USING (term))"""
+
+
+@query(f"WITH {TFIDF} SELECT doc_id AS id, term, round(weight, 9) AS weight FROM w")
+def tfidf_weights(spark, d):
+    return S.tfidf(V.table(spark, d, "documents"), "doc_id", F.col("text")).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"WITH {TFIDF}, u AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS w FROM w) SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.35")
+def similar_pairs(spark, d):
+    units = S.unit(S.tfidf(V.table(spark, d, "documents"), "doc_id", F.col("text")))
+    return S.similar_pairs(units).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def clusters(spark, d):
+    docs = V.table(spark, d, "documents")
+    pairs = S.similar_pairs(S.unit(S.tfidf(docs, "doc_id", F.col("text"))))
+    return S.clusters(pairs, docs.select(F.col("doc_id").alias("id")))
+
+
+READ = r"""w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[^a-z'']+'), lambda x: trim(x, '''')), lambda x: x <> '') AS w,
+greatest(len(list_filter(regexp_split_to_array(text, '[.!?]'), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')), 1) AS sentence_count FROM documents),
+y AS (SELECT doc_id, len(w) AS words, sentence_count, coalesce(list_sum(list_transform(w, lambda x: CASE WHEN length(regexp_replace(x, '[^a-z]', '', 'g')) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN len(regexp_extract_all(x, '[aeiouy]+')) > 1 AND x LIKE '%e' AND x NOT LIKE '%le' THEN 1 ELSE 0 END, 1) END)), 0) AS syllable_count FROM w),
+r AS (SELECT doc_id, words, sentence_count, syllable_count, CASE WHEN words > 0 THEN round((206.835::DOUBLE - 1.015::DOUBLE * (words / sentence_count) - 84.6::DOUBLE * (syllable_count / words)) * 100) / 100 ELSE 0 END AS ease,
+CASE WHEN words > 0 THEN round(greatest(0.39::DOUBLE * (words / sentence_count) + 11.8::DOUBLE * (syllable_count / words) - 15.59::DOUBLE, 0) * 100) / 100 ELSE 0 END AS grade FROM y)"""
+
+
+@query(f"WITH {READ} SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(sentence_count AS INTEGER) AS sentence_count, CAST(syllable_count AS INTEGER) AS syllable_count, ease AS flesch_reading_ease, grade AS flesch_kincaid_grade, CASE WHEN ease >= 80 THEN 'Easy' WHEN ease >= 60 THEN 'Standard' WHEN ease >= 30 THEN 'Difficult' ELSE 'Very difficult' END AS reading_level FROM r")
+def readability(spark, d):
+    return S.readability(V.table(spark, d, "documents").select("doc_id", "text"), F.col("text")).drop("text", "avg_words_per_sentence").select("doc_id", "words", "sentence_count", "syllable_count", "flesch_reading_ease", "flesch_kincaid_grade", "reading_level")
+
+
+@query(f"WITH {READ} SELECT count(*) AS total_pages, round(round(avg(ease) * 100) / 100, 2) AS average_reading_ease, round(round(avg(grade) * 100) / 100, 2) AS average_grade_level, count(*) FILTER (ease < 50) AS difficult_pages, count(*) FILTER (words < 300) AS thin_pages FROM r")
+def readability_summary(spark, d):
+    rows = S.readability(V.table(spark, d, "documents").select("doc_id", "text"), F.col("text")).withColumn("word_count", F.col("words"))
+    return S.audit_summary(rows).withColumns({c: F.round(c, 2) for c in ("average_reading_ease", "average_grade_level")})
+
+
+# Performance, sinks, crawl control, streams
+
+
+PERF = f"WITH {V.Q}, t AS (SELECT page_id, url, response_time_ms AS ttfb_ms, size_bytes, CASE WHEN response_time_ms <= 200 THEN 100 WHEN response_time_ms <= 500 THEN 90 WHEN response_time_ms <= 1000 THEN 70 WHEN response_time_ms <= 2500 THEN 45 ELSE 20 END AS performance_score, CASE WHEN size_bytes > 0 THEN round(size_bytes / 1e6 * 0.8 * 10000) / 10000 END AS carbon_footprint_grams FROM q ORDER BY response_time_ms DESC, size_bytes DESC, page_id LIMIT 1000)"
+
+
+@query(f"{PERF} SELECT page_id, url, performance_score, ttfb_ms, size_bytes, carbon_footprint_grams FROM t")
+def performance_rows(spark, d):
+    return S.performance(V.part_pages(spark, d)).drop("strategy").select("page_id", "url", "performance_score", "ttfb_ms", "size_bytes", "carbon_footprint_grams")
+
+
+@query(f"{PERF} SELECT count(*) AS pages, CAST(round(avg(performance_score)) AS BIGINT) AS avg_score, round(avg(ttfb_ms), 2) AS avg_ttfb_ms, round(sum(carbon_footprint_grams), 2) AS total_carbon, count(*) FILTER (ttfb_ms > 1000) AS slow_pages, count(*) FILTER (size_bytes > 1000000) AS large_pages FROM t")
+def performance_summary(spark, d):
+    return S.performance_summary(S.performance(V.part_pages(spark, d))).select("pages", "avg_score", F.round("avg_ttfb_ms", 2).alias("avg_ttfb_ms"), F.round("total_carbon", 2).alias("total_carbon"), "slow_pages", "large_pages")
+
+
+@query(f"WITH {V.Q}, n AS (SELECT (row_number() OVER (ORDER BY page_id) - 1) // 100 AS file FROM q WHERE status_code BETWEEN 200 AND 299) SELECT file, count(*) AS urls FROM n GROUP BY 1")
+def sitemap_xml_chunks(spark, d):
+    return sinks.sitemap_files(sinks.sitemap_blocks(V.part_pages(spark, d), per_file=100)).select("file", "urls")
+
+
+@query(r"SELECT page_id FROM pages WHERE regexp_extract(url, '://([^/?#]*)', 1) LIKE '%.com' AND regexp_matches(url, '^[a-z]+://[^/]+/(en|de)/')")
+def scope_filter(spark, d):
+    scope = C.Scope("https://example.com", includes=["^/(en|de)/.*"])
+    urls = V.table(spark, d, "pages").select("page_id", "url").where(host(F.col("url")).endswith(".com"))
+    inside = scope.column(F.concat(F.lit("https://example.com"), F.try_parse_url(F.col("url"), F.lit("PATH"))))
+    return urls.where(inside).select("page_id")
+
+
+@query(r"""SELECT page_id, NOT (regexp_matches(url, '^[a-z]+://[^/]+/fr/') OR (regexp_matches(url, '^[a-z]+://[^/]+/en/') AND NOT regexp_matches(url, '^[a-z]+://[^/]+/en/1'))) AS allowed FROM pages""")
+def robots_filter(spark, d):
+    urls = V.table(spark, d, "pages").select("page_id", "url", host(F.col("url")).alias("host"), F.try_parse_url(F.col("url"), F.lit("PATH")).alias("path"))
+    robots = urls.select("host").distinct().withColumn("text", F.lit("User-agent: *\nDisallow: /fr/\nDisallow: /en/\nAllow: /en/1\nDisallow:"))
+    return landing.robots_allowed(urls, landing.robots_rules(robots)).select("page_id", "allowed")
+
+
+CRONS = ["*/15 * * * *", "0 3 * * *", "30 6 1 * *", "5 */6 * 2 *", "0 0 29 2 1"]
+
+
+@query(f"""WITH c AS (SELECT unnest({CRONS!r}) AS expression), s AS (SELECT expression, string_split(expression, ' ') AS f FROM c), m AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-31 23:59:00' + INTERVAL 1 MINUTE, TIMESTAMP '2024-01-31 23:59:00' + INTERVAL 370 DAY, INTERVAL 1 MINUTE)) AS t)
+SELECT expression, strftime(min(t) FILTER (
+ (f[1] = '*' OR (f[1] LIKE '*/%' AND minute(t) % CAST(replace(replace(f[1], '*/', ''), '*', '1') AS INTEGER) = 0) OR f[1] = CAST(minute(t) AS VARCHAR)) AND (f[2] = '*' OR (f[2] LIKE '*/%' AND hour(t) % CAST(replace(replace(f[2], '*/', ''), '*', '1') AS INTEGER) = 0) OR f[2] = CAST(hour(t) AS VARCHAR))
+ AND (f[3] = '*' OR f[3] = CAST(day(t) AS VARCHAR)) AND (f[4] = '*' OR f[4] = CAST(month(t) AS VARCHAR)) AND (f[5] = '*' OR f[5] = CAST(dayofweek(t) AS VARCHAR))), '%Y-%m-%d %H:%M') AS next_run FROM s, m GROUP BY 1""")
+def cron_next(spark, d):
+    now = datetime(2024, 1, 31, 23, 59)
+    rows = [(c, n.strftime("%Y-%m-%d %H:%M") if (n := C.next_run(c, now)) else None) for c in CRONS]
+    return spark.createDataFrame(rows, "expression string, next_run string")
+
+
+LEVELS = "edge AS (SELECT DISTINCT l_orderkey % 500 AS s, l_partkey % 500 AS t FROM lineitem WHERE l_linenumber = 1)"
+
+
+@query(f"""WITH RECURSIVE {LEVELS}, r(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT t, depth + 1 FROM r JOIN edge ON s = url WHERE depth < 4)
+SELECT CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1""")
+def crawl_bfs_levels(spark, d):
+    items = V.table(spark, d, "lineitem").where("l_linenumber = 1")
+    edges = items.select((F.col("l_orderkey") % 500).cast("string").alias("source"), (F.col("l_partkey") % 500).cast("string").alias("target")).distinct()
+    return C.frontier_levels(spark.createDataFrame([("1",)], "url string"), edges, max_depth=4)
+
+
+@query("SELECT event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1")
+def stream_progress(spark, d):
+    from uuid import uuid4
+
+    from ..streaming.ingest import progress
+
+    source = V.table(spark, d, "events")
+    name = f"progress_{uuid4().hex}"
+    stream = spark.readStream.schema(source.schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{d}/events*.parquet")
+    q = progress(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT * FROM (VALUES ('https://a.b/1', '2024-01-01', 0.5::DOUBLE, 'daily'), ('https://a.b/2?x=1&y=2', NULL, NULL, NULL), ('https://a.b/3', NULL, NULL, NULL)) t(loc, lastmod, priority, changefreq)")
+def sitemap_parse(spark, d):
+    one = "<urlset><url><loc>https://a.b/1</loc><lastmod>2024-01-01</lastmod><priority>0.5</priority><changefreq>daily</changefreq></url><url><loc> https://a.b/2?x=1&amp;y=2 </loc><priority>x</priority></url></urlset>"
+    maps = spark.createDataFrame([("r", "<sitemapindex><sitemap><loc>s1</loc></sitemap><sitemap><loc>s2</loc></sitemap></sitemapindex>"), ("s1", one), ("s2", "<urlset><url><loc>https://a.b/3</loc></url></urlset>")], "sitemap string, xml string")
+    tree = landing.sitemap_tree(maps, "r")
+    return landing.sitemap_entries(maps).join(tree, "loc").select("loc", "lastmod", "priority", "changefreq")
