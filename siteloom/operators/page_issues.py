@@ -159,7 +159,9 @@ def many_issues() -> list[Column]:
         kinds = F.when(kind.startswith("["), F.from_json(kind, "array<string>")).otherwise(F.array(kind))
 
         def missing(k: Column) -> Column:
-            has = lambda f: F.get_json_object(block, F.concat(F.lit("$."), f)).isNotNull() | F.exists(F.coalesce(F.from_json(F.get_json_object(block, "$.@graph"), "array<string>"), F.array().cast("array<string>")), lambda g: F.get_json_object(g, F.concat(F.lit("$."), f)).isNotNull())
+            field = lambda b, f: F.call_function("get_json_object", b, F.concat(F.lit("$."), f)).isNotNull()
+            graph = F.coalesce(F.from_json(F.get_json_object(block, "$.@graph"), "array<string>"), F.array().cast("array<string>"))
+            has = lambda f: field(block, f) | F.exists(graph, lambda g: field(g, f))
             return F.filter(F.coalesce(F.element_at(table, k), F.array().cast("array<string>")), lambda f: ~has(f))
 
         def one(k: Column) -> Column:

@@ -64,12 +64,11 @@ def similar_pairs(units: DataFrame, least: float = 0.35) -> DataFrame:
     df = units.groupBy("term").agg(F.count("*").alias("df"))
     ordered = units.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
     rest = F.aggregate("v", F.struct(F.lit(1.0).alias("left"), F.array().cast("array<string>").alias("out")), lambda a, x: F.struct((a["left"] - x["w"] * x["w"]).alias("left"), F.when(a["left"] >= least * least - 1e-9, F.array_append(a["out"], x["term"])).otherwise(a["out"]).alias("out")))
-    vectors = ordered.select("id", F.map_from_arrays(F.transform("v", lambda x: x["term"]), F.transform("v", lambda x: x["w"])).alias("m"), rest["out"].alias("prefix"))
-    probe = vectors.select("id", F.explode("prefix").alias("term"))
+    probe = ordered.select("id", F.explode(rest["out"]).alias("term"))
     pairs = probe.select(F.col("id").alias("a"), "term").join(probe.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    met = pairs.join(vectors.select(F.col("id").alias("a"), F.col("m").alias("x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("m").alias("y")), "b")
-    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("y"), e["key"]), F.lit(0.0)))
-    return met.select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= least)
+    left = units.select(F.col("id").alias("a"), "term", F.col("w").alias("x"))
+    right = units.select(F.col("id").alias("b"), "term", F.col("w").alias("y"))
+    return pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def clusters(pairs: DataFrame, ids: DataFrame) -> DataFrame:

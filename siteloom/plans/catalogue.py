@@ -485,7 +485,7 @@ CRONS = ["*/15 * * * *", "0 3 * * *", "30 6 1 * *", "5 */6 * 2 *", "0 0 29 2 1"]
 
 @query(f"""WITH c AS (SELECT unnest({CRONS!r}) AS expression), s AS (SELECT expression, string_split(expression, ' ') AS f FROM c), m AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-31 23:59:00' + INTERVAL 1 MINUTE, TIMESTAMP '2024-01-31 23:59:00' + INTERVAL 370 DAY, INTERVAL 1 MINUTE)) AS t)
 SELECT expression, strftime(min(t) FILTER (
- (f[1] = '*' OR (f[1] LIKE '*/%' AND minute(t) % CAST(replace(replace(f[1], '*/', ''), '*', '1') AS INTEGER) = 0) OR f[1] = CAST(minute(t) AS VARCHAR)) AND (f[2] = '*' OR (f[2] LIKE '*/%' AND hour(t) % CAST(replace(replace(f[2], '*/', ''), '*', '1') AS INTEGER) = 0) OR f[2] = CAST(hour(t) AS VARCHAR))
+ (f[1] = '*' OR (f[1] LIKE '*/%' AND minute(t) % nullif(CAST(replace(replace(f[1], '*/', ''), '*', '1') AS INTEGER), 0) = 0) OR f[1] = CAST(minute(t) AS VARCHAR)) AND (f[2] = '*' OR (f[2] LIKE '*/%' AND hour(t) % nullif(CAST(replace(replace(f[2], '*/', ''), '*', '1') AS INTEGER), 0) = 0) OR f[2] = CAST(hour(t) AS VARCHAR))
  AND (f[3] = '*' OR f[3] = CAST(day(t) AS VARCHAR)) AND (f[4] = '*' OR f[4] = CAST(month(t) AS VARCHAR)) AND (f[5] = '*' OR f[5] = CAST(dayofweek(t) AS VARCHAR))), '%Y-%m-%d %H:%M') AS next_run FROM s, m GROUP BY 1""")
 def cron_next(spark, d):
     now = datetime(2024, 1, 31, 23, 59)

@@ -12,6 +12,7 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "
 DECODED = frozenset(("title", "textarea"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
@@ -112,6 +113,8 @@ def parse(page: str) -> Node:
             here, in_body = body, True
         if tag in CLOSES_P:
             up_to({"p"}, {"button", "td", "th", "table"})
+        if tag in HEADINGS and here.tag in HEADINGS:
+            here = here.parent
         if tag in CLOSES:
             up_to(*CLOSES[tag])
         node = Node(tag, attrs, here)
