@@ -40,7 +40,7 @@ def _cells(digest: Column, width: Column) -> list[Column]:
     return [(F.pmod(F.xxhash64(digest, F.lit(j), F.col("seed")), width) + width * j).cast("long") for j in range(TABLES)]
 
 
-def peel(pairs: DataFrame, keys: list[str], rounds: int = 4) -> DataFrame:
+def peel(pairs: DataFrame, keys: list[str], rounds: int = 5) -> DataFrame:
     """(keys, differing, left): how many digests peeling recovers from the difference of two sketches, and how
     many cells it leaves; pairs without any difference have no row.
 
@@ -105,11 +105,12 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
 
     The edited text has the last quarter of its code points replaced by as many of the next document's first.
     Likeness is |both| / |either| of the paragraph sets, from their sizes and the number of digests that peeling
-    the sketches' difference recovers; two texts without paragraphs are alike (1). The first sketches are as
-    wide as half the two sets suggest; pairs that leave a cell unpeeled are tried again with sketches twice as
+    the sketches' difference recovers; two texts without paragraphs are alike (1). The first sketches have
+    more cells than the two sets have digests; pairs that leave a cell unpeeled are tried again with sketches twice as
     wide and another seed, until none is left. Null text counts as empty; repeated rows each have a row; null
     ids come first; columns beside the two are not read.
     """
+    spark = docs.sparkSession
     s = successors(docs, id_col, text)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
@@ -119,17 +120,23 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     s = materialize(s, "sketches")
     keys = ["block", "place", "other"]
     todo = s.select("block", "place", F.explode(F.array(F.struct(F.lit("edited").alias("other"), F.col("changed").alias("b")), F.struct(F.lit("next").alias("other"), F.col("after").alias("b")))).alias("p"), F.col("own").alias("a")).select("block", "place", "p.other", "a", "p.b")
-    wide = lambda t: F.greatest(F.ceil((F.size("a") + F.size("b")) * F.when(F.col("other") == "edited", 0.25).otherwise(0.6) * 2**t), F.lit(4)).cast("long")
+    wide = lambda t: F.greatest(F.ceil((F.size("a") + F.size("b")) * F.when(F.col("other") == "edited", 0.5).otherwise(0.8) * 2**t), F.lit(8)).cast("long")
+    # Few pairs to a task, so that its cells fit in memory; without the number, Spark would merge the partitions by
+    # the size of the digests, which is a small part of that of the cells.
+    pairs_a_task, rows = 5000, 2 * s.count()
     solved, waiting = None, todo
     for t in range(attempts):
-        tried = peel(waiting.withColumns({"width": wide(t), "seed": F.lit(t)}).repartition("block"), keys)
+        tried = peel(waiting.withColumns({"width": wide(t), "seed": F.lit(t)}).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // pairs_a_task), "block"), keys)
         found = materialize(tried, "peeled")
         done = found.where("left = 0").select(*keys, "differing")
         solved = done if solved is None else solved.unionByName(done)
         failed = found.where("left > 0").select(*keys)
-        if failed.isEmpty():
+        rows = failed.count()
+        if not rows:
             break
-        waiting = todo.join(failed, keys, "left_semi")
+        # The blocks of the failed pairs are at most most_blocks numbers, a proven bound; they keep the digests of
+        # all other blocks out of the shuffle.
+        waiting = todo.join(F.broadcast(failed.select("block").distinct()), "block", "left_semi").join(failed, keys, "left_semi")
     else:
         raise RuntimeError("sketches did not peel")
     by = solved.groupBy("block", "place").agg(F.max(F.when(F.col("other") == "edited", F.col("differing"))).alias("e"), F.max(F.when(F.col("other") == "next", F.col("differing"))).alias("n"))
