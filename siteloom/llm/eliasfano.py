@@ -34,8 +34,8 @@ def mapped(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 class EliasFano:
     """A non-decreasing sequence of n numbers below u: about 2 + log2(u / n) bits each.
 
-    The low bits are packed; the high parts are a unary bit vector, with the ones before each of its bytes
-    sampled every 64 bytes. ``get`` takes any array of places.
+    The low bits are packed; the high parts are a unary bit vector, with the ones before each word of it
+    (8 bytes) sampled. ``get`` takes any array of places.
     """
 
     def __init__(self, values: np.ndarray):
@@ -47,8 +47,8 @@ class EliasFano:
         high = np.zeros(int(values[-1] >> np.uint64(self.low_bits)) + n + 1 if n else 1, np.uint8)
         high[(values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(high, bitorder="little")
-        high = np.concatenate([high, np.zeros(-len(high) % 64 + 64, np.uint8)])
-        ones = np.concatenate([[0], np.cumsum(_POP[high].reshape(-1, 64).sum(1, dtype=np.int64))])
+        high = np.concatenate([high, np.zeros(-len(high) % 8 + 8, np.uint8)])
+        ones = np.concatenate([[0], np.cumsum(_POP[high].reshape(-1, 8).sum(1, dtype=np.int64))]).astype(np.int32 if n < 2**31 else np.int64)
         self.levels = {"low": np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(16, np.uint8)]), "high": high, "ones": ones}
 
     def use(self, levels: dict[str, np.ndarray]) -> None:
@@ -59,18 +59,17 @@ class EliasFano:
         block = np.searchsorted(ones, i, "right") - 1
         left = i - ones[block]
         # The byte within the block, then the bit within the byte.
-        inside = np.cumsum(_POP[high.reshape(-1, 64)[block]], axis=1, dtype=np.int16)
+        inside = np.cumsum(_POP[high.reshape(-1, 8)[block]], axis=1, dtype=np.int16)
         byte = (inside <= left[:, None]).sum(1)
         left = left - np.where(byte > 0, np.take_along_axis(inside, np.maximum(byte - 1, 0)[:, None], 1)[:, 0], 0)
-        place = block * 64 + byte
+        place = block * 8 + byte
         top = place * 8 + _SELECT[high[place], left] - i
         if not self.low_bits:
             return top
         bit = i * self.low_bits
         start = bit >> 3
-        word = np.zeros(len(i), np.uint64)
-        for k in range((self.low_bits + 14) // 8):
-            word |= low[start + k].astype(np.uint64) << np.uint64(8 * k)
+        # Eight bytes from any byte on: a view, so that one gather reads the low bits (up to 57).
+        word = np.ndarray((len(low) - 7,), np.uint64, low, strides=(1,))[start]
         return (top << self.low_bits) | ((word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
 
