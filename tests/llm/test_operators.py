@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -184,6 +185,21 @@ def test_secrets(spark):
     assert (1, first, len(first)) in clean and (2, None, None) in clean and (4, rows[3][1], len(rows[3][1])) in clean and len(clean) == 6
 
 
+def test_secrets_of_any_length(spark):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    value, jwt = some(400), f"eyJ{some(60)}.eyJ{some(260)}.{some(84)}"
+    held = [(1, "token=", value), (2, "", some(500)), (3, "", "sk-proj-" + some(156)), (4, "token=", jwt), (5, "", "ghp_" + some(300)), (6, "", jwt), (7, "", "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(64) for _ in range(200)) + "\n-----END RSA PRIVATE KEY-----")]
+    d = spark.createDataFrame([(i, f"bearer {name}{v} end") for i, name, v in held], SCHEMA)
+    got = {(r.doc_id, r.start, r.length, r.value) for r in secrets.scan(d).collect()}
+    assert got == {(i, 7 + len(name), len(v), v) for i, name, v in held}
+    clean = {r.doc_id: r.text for r in secrets.redact(d.where("doc_id in (1, 3, 4, 5, 6, 7)")).collect()}
+    assert all(re.fullmatch(re.escape(f"bearer {name}") + rf"\[{rule}\] end", clean[i]) for (i, name, _), rule in zip(held, r"named_value - issued_token \w+ issued_token signed_token private_key".split()) if i != 2)
+    # A run of many beginnings, and one without end, take no more than linear time.
+    hard = spark.createDataFrame([(1, "-eyJ" * 200_000), (2, "0a" * 400_000), (3, "key " + "http://" * 100_000 + " x")], SCHEMA)
+    assert {(r.doc_id, r.length) for r in secrets.scan(hard).collect()} >= {(2, 800_000)}
+
+
 def test_quality(spark):
     rng = random.Random(4)
     prose = lambda n: " ".join(rng.choice(("the", "of", "and", "river", "stone", "walks", "slowly", "under", "light")) for _ in range(n))
