@@ -6,6 +6,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,16 +22,22 @@ FEATURES = PATH + WORDS + EXTRA
 #: Elements that begin a block of their own, that never hold others, and whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|noscript|template|svg|iframe|object"
+RAW = "script|style|textarea|iframe"
+#: Elements that hold others and no text of the page; tags that end an svg that was left open, as in
+#: HTML, and the elements of an svg inside which they do not.
+DROPPED = frozenset("svg object template noscript".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INSIDE = frozenset("foreignobject desc title".split())
 #: What an opening tag closes, as HTML lets authors leave out end tags.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 NO_PARAGRAPH = BLOCKS - {"body", "head", "html", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "caption", "legend", "button", "select"}
 
 TAGS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<open>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+HAS_DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})[\s/>]", re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
@@ -43,10 +50,51 @@ def marks(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def tokens(page: str) -> list[tuple[int, int, re.Match | None]]:
+    """(start, end, tag if it is one) of all that is no text, in page order.
+
+    An element of ``DROPPED`` is one token if its end is there: its end tag, '/>' of an svg, or what ends an svg in
+    HTML. One that is left open is a tag like others, and hides nothing."""
+    if not HAS_DROPPED.search(page):
+        return [(m.start(), m.end(), m if m["tag"] else None) for m in TAGS.finditer(page)]
+    out: list[tuple[int, int, re.Match | None]] = []
+    opened: list[tuple[str, int]] = []
+    among: Counter[str] = Counter()
+    at = 0
+    while m := TAGS.search(page, at):
+        at = m.end()
+        in_svg = bool(opened) and opened[-1][0] == "svg"
+        if m["raw"] and in_svg and m["open"].endswith("/"):
+            at = m.end("open") + 1
+        tag = (m["tag"] or "").lower()
+        if tag in BREAKS and in_svg and not m["end"]:
+            while opened and opened[-1][0] == "svg":
+                name, first = opened.pop()
+                among[name] -= 1
+            out[first:] = [(out[first][0], m.start(), None)]
+        out.append((m.start(), at, m if tag else None))
+        if tag not in DROPPED and tag not in INSIDE:
+            continue
+        if not m["end"]:
+            closed = m["attrs"].endswith("/")
+            if tag in DROPPED and not (closed and (tag == "svg" or in_svg)) or tag in INSIDE and in_svg and not closed:
+                opened.append((tag, len(out) - 1))
+                among[tag] += 1
+        elif among[tag]:
+            name = ""
+            while name != tag:
+                name, first = opened.pop()
+                among[name] -= 1
+            if tag in DROPPED:
+                out[first:] = [(out[first][0], at, None)]
+    return out
+
+
 def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     """(path, text, letters inside links) of every block that holds text, in page order.
 
-    Inline elements join their block; comments, scripts, styles and other raw content are no text.
+    Inline elements join their block; comments, scripts, styles and other raw content are no text,
+    nor is what svg, object, template and noscript hold between their tags.
     References are decoded after the tags are found, and white space becomes one space.
     """
     out: list = []
@@ -77,14 +125,13 @@ def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
         held.append(text)
         linked += len(text) if link else 0
 
-    for m in TAGS.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for start, end, m in tokens(page):
+        if start > at:
+            add(page[at:start])
+        at = end
+        if m is None:
             continue
-        tag = tag.lower()
+        tag = m["tag"].lower()
         if m["end"]:
             if tag in names:
                 close(len(names) - 1 - names[::-1].index(tag))
