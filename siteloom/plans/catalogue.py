@@ -203,6 +203,12 @@ def orphans(spark, d):
     return X.orphaned_pages(V.part_pages(spark, d), V.edges(spark, d).where("source_id % 50 = 0")).select("url")
 
 
+@query(f"WITH {V.E}, {V.Q} SELECT url FROM q WHERE indexability = 'indexable' AND url NOT IN (SELECT target_url FROM e)")
+def orphans_all_links(spark, d):
+    """Orphans of the whole link graph; ``orphans`` and its SQL count links from every 50th source."""
+    return X.orphaned_pages(V.part_pages(spark, d), V.edges(spark, d)).select("url")
+
+
 @query(f"WITH {V.E}, {V.Q} SELECT source_url AS url, CAST(count(*) AS VARCHAR) AS detail FROM e WHERE is_internal AND target_url IN (SELECT url FROM q WHERE status_code BETWEEN 400 AND 499) GROUP BY 1")
 def links_to_4xx(spark, d):
     return X.links_to_4xx(V.part_pages(spark, d), V.edges(spark, d)).select("url", "detail")
@@ -504,6 +510,15 @@ def crawl_bfs_levels(spark, d):
     return C.frontier_levels(spark.createDataFrame([("1",)], "url string"), edges, max_depth=4)
 
 
+@query()
+def crawl_bfs_all_levels(spark, d):
+    """Breadth-first levels from page 1 over every line item, ids as they are, until no page is new;
+    ``crawl_bfs_levels`` and its SQL fold the ids and stop at four. No SQL: recursion there ends by depth alone."""
+    edges = V.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"))
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return C.frontier_levels(spark.createDataFrame([("1",)], "url string"), edges, max_depth=2**31 - 1, cut=lambda f, _: f.checkpoint() if kept else f.localCheckpoint())
+
+
 @query("SELECT event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1")
 def stream_progress(spark, d):
     from uuid import uuid4

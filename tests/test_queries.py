@@ -81,3 +81,24 @@ def test_frontier_and_sinks(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"https://a.b/{i}?x=1&y", 200, "indexable") for i in range(5)], "page_id long, url string, status_code int, indexability string")
     files = sinks.sitemap_files(sinks.sitemap_blocks(pages, per_file=2)).collect()
     assert sorted(f.urls for f in files) == [1, 2, 2] and "&amp;y" in files[0].xml
+
+
+def test_whole_link_graph(spark, tmp_path):
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["orphans_all_links"]).fetchall()
+    assert rows(catalogue.QUERIES["orphans_all_links"](spark, DATA).select("url")) == sorted(want, key=str)
+    # Part 7 is linked from source 3 alone, which is no multiple of 50; only part 8 has no link.
+    spark.createDataFrame([(3, 7, 1, "A", "O")], "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(7, "a"), (8, "b")], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    assert rows(catalogue.QUERIES["orphans_all_links"](spark, str(tmp_path))) == [("/p/8",)]
+    links = {}
+    for s, t in con.execute("SELECT l_orderkey, l_partkey FROM lineitem").fetchall():
+        links.setdefault(s, set()).add(t)
+    depth, level = {1: 0}, {1}
+    while level:
+        level = {t for s in level for t in links.get(s, ())} - set(depth)
+        depth |= dict.fromkeys(level, max(depth.values()) + 1)
+    assert rows(catalogue.QUERIES["crawl_bfs_all_levels"](spark, DATA)) == sorted(((str(u), k) for u, k in depth.items()), key=str)
+    assert max(depth.values()) > 4 or len(depth) > 50
