@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 #: A word is a run of anything but these six characters (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: dict[str, str] = {}
 
 
@@ -38,7 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs a re-read and not a recomputation. Removed when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siteloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Once it is written, nothing reads the shuffles that led to it: they leave the disks at once.
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -51,9 +59,14 @@ def discard(df: DataFrame) -> None:
     """Remove what :func:`materialize` wrote; nothing may read it afterwards."""
     path = getattr(df, "_siteloom_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared one; nothing happens if it isn't there."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -1,9 +1,8 @@
-"""Elias-Fano sequences and an n-gram trie over them, in memory-mapped levels."""
+"""Elias-Fano sequences, and a trie level of them in one flat, memory-mapped byte string."""
 
 from __future__ import annotations
 
 import mmap
-import tempfile
 
 import numpy as np
 
@@ -13,64 +12,98 @@ for _b in range(256):
     _at = [k for k in range(8) if _b >> k & 1]
     _SELECT[_b, : len(_at)] = _at
 
+_KINDS = [np.dtype(k) for k in ("u1", "u2", "i4", "i8", "u8")]
 
-def mapped(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The same arrays over one memory-mapped file, whose name is gone at once: its pages leave and enter memory
-    as needed, and nothing stays on the disk when they are dropped."""
-    with tempfile.TemporaryFile() as f:
-        at, places = 0, {}
-        for k, a in arrays.items():
-            f.write(b"\0" * (-at % 8))
-            at += -at % 8
-            f.write(a.tobytes())
-            places[k] = at
-            at += a.nbytes
-        f.write(b"\0" * 8)
-        f.flush()
-        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    return {k: np.frombuffer(m, a.dtype, a.size, places[k]) for k, a in arrays.items()}
+
+def flat(arrays: list[np.ndarray]) -> bytes:
+    """The arrays one after another, each at a multiple of 8 bytes, after a head of their kinds and lengths."""
+    head = np.array([len(arrays), *(v for a in arrays for v in (_KINDS.index(a.dtype), len(a)))], np.int64)
+    return b"".join(x for a in (head, *arrays) for x in (a.tobytes(), b"\0" * (-a.nbytes % 8)))
+
+
+def views(data: bytes | mmap.mmap) -> list[np.ndarray]:
+    """What :func:`flat` wrote, as arrays over the same memory: nothing is copied or read before it is used."""
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 1 + 2 * n)[1:].reshape(n, 2)
+    out, at = [], 8 * (1 + 2 * n)
+    for kind, size in head.tolist():
+        out.append(np.frombuffer(data, _KINDS[kind], size, at))
+        at += out[-1].nbytes + -out[-1].nbytes % 8
+    return out
 
 
 class EliasFano:
     """A non-decreasing sequence of n numbers below u: about 2 + log2(u / n) bits each.
 
     The low bits are packed; the high parts are a unary bit vector, with the ones before each word of it
-    (8 bytes) sampled. ``get`` takes any array of places.
+    (8 bytes) sampled. ``get`` and ``rank`` take whole arrays.
     """
 
+    PARTS = 4
+
     def __init__(self, values: np.ndarray):
         values = np.asarray(values, np.uint64)
         n, u = len(values), int(values[-1]) + 1 if len(values) else 1
         self.n, self.low_bits = n, max(0, int(np.log2(max(1, u // max(n, 1)))))
-        low = values & np.uint64((1 << self.low_bits) - 1)
-        bits = ((low[:, None] >> np.arange(self.low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        self.low = np.zeros((n * self.low_bits + 7) // 8 + 16, np.uint8)
+        # A stretch at a time: a bit of a number takes a byte here.
+        for a in range(0, n if self.low_bits else 0, 1 << 16):
+            bits = ((values[a : a + (1 << 16), None] >> np.arange(self.low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            packed = np.packbits(bits.ravel(), bitorder="little")
+            self.low[a * self.low_bits // 8 : a * self.low_bits // 8 + len(packed)] = packed
         high = np.zeros(int(values[-1] >> np.uint64(self.low_bits)) + n + 1 if n else 1, np.uint8)
         high[(values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(high, bitorder="little")
-        high = np.concatenate([high, np.zeros(-len(high) % 8 + 8, np.uint8)])
-        ones = np.concatenate([[0], np.cumsum(_POP[high].reshape(-1, 8).sum(1, dtype=np.int64))]).astype(np.int32 if n < 2**31 else np.int64)
-        self.levels = {"low": np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(16, np.uint8)]), "high": high, "ones": ones}
+        self.high = np.concatenate([high, np.zeros(-len(high) % 8 + 8, np.uint8)])
+        self.ones = np.concatenate([[0], np.cumsum(_POP[self.high].reshape(-1, 8).sum(1, dtype=np.int64))])
 
-    def use(self, levels: dict[str, np.ndarray]) -> None:
-        self.levels = levels
+    def arrays(self) -> list[np.ndarray]:
+        return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ones]
+
+    @classmethod
+    def over(cls, arrays: list[np.ndarray]) -> EliasFano:
+        out = cls.__new__(cls)
+        (out.n, out.low_bits), out.low, out.high, out.ones = (*map(int, arrays[0]),), *arrays[1:]
+        return out
+
+    def lows(self, i: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(i), np.int64)
+        bit = i * self.low_bits
+        # Eight bytes from any byte on: a view, so that one gather reads the low bits (up to 57).
+        word = np.ndarray((len(self.low) - 7,), np.uint64, self.low, strides=(1,))[bit >> 3]
+        return ((word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        low, high, ones = self.levels["low"], self.levels["high"], self.levels["ones"]
-        block = np.searchsorted(ones, i, "right") - 1
-        left = i - ones[block]
+        block = np.searchsorted(self.ones, i, "right") - 1
+        left = i - self.ones[block]
         # The byte within the block, then the bit within the byte.
-        inside = np.cumsum(_POP[high.reshape(-1, 8)[block]], axis=1, dtype=np.int16)
+        inside = np.cumsum(_POP[self.high.reshape(-1, 8)[block]], axis=1, dtype=np.int16)
         byte = (inside <= left[:, None]).sum(1)
         left = left - np.where(byte > 0, np.take_along_axis(inside, np.maximum(byte - 1, 0)[:, None], 1)[:, 0], 0)
         place = block * 8 + byte
-        top = place * 8 + _SELECT[high[place], left] - i
-        if not self.low_bits:
-            return top
-        bit = i * self.low_bits
-        start = bit >> 3
-        # Eight bytes from any byte on: a view, so that one gather reads the low bits (up to 57).
-        word = np.ndarray((len(low) - 7,), np.uint64, low, strides=(1,))[start]
-        return (top << self.low_bits) | ((word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        return ((place * 8 + _SELECT[self.high[place], left] - i) << self.low_bits) | self.lows(i)
+
+    def starts(self) -> np.ndarray:
+        """How many numbers have a smaller high part than 0, 1, ...: the zeros of the unary vector, in one pass."""
+        zeros = np.flatnonzero(np.unpackbits(self.high, bitorder="little") == 0)
+        return zeros - np.arange(len(zeros))
+
+    def rank(self, goal: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The place of the first number that is at least ``goal`` (n if none): among those of the same high part,
+        which the unary vector finds, by halving over their low bits. ``starts``: what :meth:`starts` gave."""
+        top = goal >> self.low_bits
+        inside = top < len(starts)
+        lo = np.where(inside, np.concatenate([[0], starts])[np.minimum(top, len(starts))], self.n)
+        hi = np.where(inside, starts[np.minimum(top, len(starts) - 1)], self.n)
+        lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
+        want = goal & ((1 << self.low_bits) - 1)
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self.lows(mid) < want[open_]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+        return lo
 
 
 #: Log10 probabilities are kept as 16-bit codes: steps of 1/4096 from 0 to -16.
@@ -81,51 +114,67 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 * STEP), 0, 65535).astype(np.uint16)
 
 
-class BigramTrie:
-    """Contexts at the first level, their successors at the second.
+class TrieLevel:
+    """One level of an n-gram trie: contexts and their successors.
 
-    The first level holds the contexts' hashes in order and monotone pointers to where each one's successors
-    start. The second holds successor numbers, ascending within a context; each has the last number of the
-    contexts before it added, so that the level is monotone throughout, and the search for a successor is one
-    within its context's range, relative to that sum. Probabilities of the n-grams stand beside the second
-    level; a successor that is missing gets the context's backoff and its own unigram probability.
+    Contexts are numbers in ascending order, with monotone pointers to where each one's successors start.
+    Successors ascend within a context; each has the last of all contexts before it added, so that the level is
+    monotone throughout, and the search for one is relative to its context's sum. Beside them stand the
+    quantised smoothed probabilities, and the counts as differences of a monotone sum. A context has its backoff.
     """
 
-    def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, log_p: np.ndarray, backoff: np.ndarray):
-        self.n = len(successors)
+    SEQUENCES = ("contexts", "pointers", "base", "successors", "sums")
+
+    def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, counts: np.ndarray, log_p: np.ndarray, backoff: np.ndarray):
+        some = np.diff(starts) > 0
+        last = np.zeros(len(contexts), np.int64)
+        last[some] = successors[starts[1:][some] - 1] + 1
+        base = np.concatenate([[0], np.cumsum(last)])
         run = np.repeat(np.arange(len(contexts)), np.diff(starts))
-        last = successors[starts[1:] - 1] if len(contexts) else np.empty(0, np.int64)
-        base = np.concatenate([[0], np.cumsum(last + 1)])
-        self.pointers, self.base, self.values = EliasFano(starts), EliasFano(base), EliasFano(successors + base[run])
-        parts = {"contexts": contexts, "codes": quantised(log_p), "backoff": quantised(backoff)}
-        for name, ef in (("p", self.pointers), ("b", self.base), ("v", self.values)):
-            parts |= {f"{name}.{k}": a for k, a in ef.levels.items()}
-        parts = mapped(parts)
-        self.contexts, self.codes, self.backoff = parts["contexts"], parts["codes"], parts["backoff"]
-        for name, ef in (("p", self.pointers), ("b", self.base), ("v", self.values)):
-            ef.use({k: parts[f"{name}.{k}"] for k in ("low", "high", "ones")})
-
-    def look_up(self, contexts: np.ndarray, successors: np.ndarray, unigram_codes: np.ndarray, stride: int = 200_000) -> np.ndarray:
-        """Codes of (context, successor) pairs; unknown contexts leave the unigram's."""
-        out = unigram_codes.astype(np.int64)
-        if not self.n:
-            return np.clip(out, 0, 65535).astype(np.uint16)
-        for a in range(0, len(contexts), stride):
-            c, w = contexts[a : a + stride], successors[a : a + stride]
-            rank = np.minimum(np.searchsorted(self.contexts, c), len(self.contexts) - 1)
-            known = np.flatnonzero(self.contexts[rank] == c)
-            if not len(known):
-                continue
-            rank, w = rank[known], w[known]
-            lo, hi = self.pointers.get(rank), self.pointers.get(rank + 1)
-            goal = w + self.base.get(rank)
-            end = hi.copy()
-            while (open_ := np.flatnonzero(lo < hi)).size:
-                mid = (lo[open_] + hi[open_]) >> 1
-                less = self.values.get(mid) < goal[open_]
-                lo[open_] = np.where(less, mid + 1, lo[open_])
-                hi[open_] = np.where(less, hi[open_], mid)
-            at = np.minimum(lo, self.n - 1)
-            hit = (lo < end) & (self.values.get(at) == goal)
-            out[a + known] = np.where(hit, self.codes[at], out[a + known] + self.backoff[rank])
-        return np.clip(out, 0, 65535).astype(np.uint16)
+        made = (contexts, starts, base, successors + base[run], np.concatenate([[0], np.cumsum(counts)]))
+        for name, values in zip(self.SEQUENCES, made):
+            setattr(self, name, EliasFano(values))
+        self.codes, self.backoff = quantised(log_p), quantised(backoff)
+
+    def to_bytes(self) -> bytes:
+        return flat([self.codes, self.backoff, *(a for name in self.SEQUENCES for a in getattr(self, name).arrays())])
+
+    @classmethod
+    def over(cls, data: bytes | mmap.mmap) -> TrieLevel:
+        out = cls.__new__(cls)
+        out.codes, out.backoff, *rest = views(data)
+        for k, name in enumerate(cls.SEQUENCES):
+            setattr(out, name, EliasFano.over(rest[EliasFano.PARTS * k : EliasFano.PARTS * (k + 1)]))
+        out.zeros = [None, None]
+        return out
+
+    @classmethod
+    def open(cls, path: str) -> TrieLevel:
+        """Over a memory-mapped file: its pages enter memory as the look-ups touch them."""
+        with open(path, "rb") as f:
+            return cls.over(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    def look_up(self, contexts: np.ndarray, runs: np.ndarray, words: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, counts, places) of (context, word) pairs, the words of each context in runs. A pair that is
+        missing has the lower order's code with the context's backoff, count 0 and place -1."""
+        if self.zeros[0] is None:
+            self.zeros = [self.contexts.starts(), self.successors.starts()]
+        c = self.contexts.rank(contexts, self.zeros[0])
+        known = c < self.contexts.n
+        known[known] = self.contexts.get(c[known]) == contexts[known]
+        c = np.where(known, c, 0)
+        lo, hi, base = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        lo[known], hi[known], base[known] = self.pointers.get(c[known]), self.pointers.get(c[known] + 1), self.base.get(c[known])
+        back = np.zeros(len(c), np.int64)
+        back[known] = self.backoff[c[known]]
+        lo, hi, base, back = (np.repeat(x, runs) for x in (lo, hi, base, back))
+        goal = words + base
+        at = self.successors.rank(goal, self.zeros[1])
+        hit = np.flatnonzero((at >= lo) & (at < hi))
+        hit = hit[self.successors.get(at[hit]) == goal[hit]]
+        codes = np.clip(lower.astype(np.int64) + back, 0, 65535).astype(np.uint16)
+        counts, places = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        places[hit] = at[hit]
+        codes[hit] = self.codes[at[hit]]
+        counts[hit] = self.sums.get(at[hit] + 1) - self.sums.get(at[hit])
+        return codes, counts, places

@@ -118,32 +118,82 @@ def test_components(spark):
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for n, u in ((1, 5), (1000, 1200), (500, 10**9)):
+    for n, u in ((1, 5), (1000, 1200), (500, 10**9), (0, 1), (70_000, 10**6)):
         v = np.sort(rng.integers(0, u, n))
-        assert (eliasfano.EliasFano(v).get(np.arange(n)) == v).all()
-
-
-def test_lm_scores(docs):
-    rows = lmscore.score(docs).collect()
+        e, goals = eliasfano.EliasFano(v), rng.integers(0, u + 10, 1000)
+        assert (e.get(np.arange(n)) == v).all()
+        assert (e.rank(goals, e.starts()) == np.searchsorted(v, goals)).all()
+
+
+def test_trie_level_in_a_file(tmp_path):
+    """A written level answers like a dictionary: hits, missing words, unknown contexts, contexts without words."""
+    rng = np.random.default_rng(1)
+    held = {int(c): np.unique(rng.integers(0, 60, rng.integers(0, 40))) for c in np.unique(rng.integers(0, 900, 300))}
+    starts, words = np.cumsum([0, *map(len, held.values())]), np.concatenate([*held.values()])
+    counts, log_p, back = rng.integers(1, 9, len(words)), -rng.random(len(words)) * 9, -rng.random(len(held))
+    (tmp_path / "level").write_bytes(eliasfano.TrieLevel(np.array([*held]), starts, words, counts, log_p, back).to_bytes())
+    level = eliasfano.TrieLevel.open(str(tmp_path / "level"))
+    asked = np.arange(0, 1000, 3)
+    codes, n, places = level.look_up(asked, np.full(len(asked), 70), np.tile(np.arange(70), len(asked)), np.full(70 * len(asked), 1000, np.uint16))
+    where = {(c, int(w)): int(s) + i for c, s in zip(held, starts) for i, w in enumerate(held[c])}
+    for i, (c, w) in enumerate((int(c), w) for c in asked for w in range(70)):
+        k = where.get((c, w), -1)
+        backoff = eliasfano.quantised(back)[[*held].index(c)] if c in held else 0
+        assert (places[i], n[i], codes[i]) == ((k, counts[k], eliasfano.quantised(log_p)[k]) if k >= 0 else (-1, 0, 1000 + backoff))
+
+
+def brute_lm(rows):
+    """(id, held out, tokens, known, training tokens, base, score) by plain counting of one, two and three words."""
     split = lambda t: (t or "").encode().lower().split()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    one, two = Counter(), Counter()
-    for i, t in AWKWARD:
+    one, two, three = Counter(), Counter(), Counter()
+    for i, t in rows:
         if not held(i):
             w = [*split(t), None]
             one.update(w)
             two.update(zip(["<s>", *w], w))
-    n, v, starts = sum(one.values()), len(one), one[None]
-    want = []
-    for i, t in AWKWARD:
-        w = [*split(t), None]
-        p1 = lambda x: (one[x] + 1) / (n + v + 1)
-        seen = lambda x: starts if x == "<s>" else one[x]
-        s = sum(np.log10((two[a, b] + 100 * p1(b)) / (seen(a) + 100)) for a, b in zip(["<s>", *w], w))
-        want.append((str(i), held(i), len(w), sum(one[x] > 0 for x in w), n, sum(np.log10(p1(x)) for x in w), s))
-    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows)
-    for a, b in zip(got, sorted(want)):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], abs=3e-4 * b[2])
+            three.update(zip(["<s>", *w], w, w[1:]))
+    n, v = sum(one.values()), len(one)
+    p1 = lambda x: (one[x] + 1) / (n + v + 1)
+    smooth = lambda c, seen, of, p: (c + of * seen**0.9 * p) / (seen + of * seen**0.9)
+    out = []
+    for i, t in rows:
+        w, s = [*split(t), None], 0.0
+        for u, a, x in zip([None, "<s>", *w], ["<s>", *w], w):
+            seen = one[None] if a == "<s>" else one[a]
+            p = smooth(two[a, x], seen, 3, p1(x)) if seen else p1(x)
+            if a != "<s>" and two[u, a] >= 2:
+                p = smooth(three[u, a, x], two[u, a], 2, p)
+            s += np.log10(p)
+        out.append((str(i), held(i), len(w), sum(one[x] > 0 for x in w), n, sum(np.log10(p1(x)) for x in w), s))
+    return sorted(out)
+
+
+def lm_equal(got, want):
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], abs=6e-4 * b[2])
+
+
+def test_lm_scores(docs):
+    lm_equal(lmscore.score(docs).collect(), brute_lm(AWKWARD))
+    assert lmscore.score(empty(docs)).count() == 0
+
+
+def test_lm_scores_over_many_blocks_and_shards(spark, monkeypatch):
+    """The same scores from one block and one shard as from many of both, with a word and a pair so common that their
+    contexts are dealt over several shards; and from levels that travel in rows, as where no folder is mounted."""
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    rows = [(i if i % 9 else None, " ".join(rng.choice(("the", "of the", rng.choice(words))) for _ in range(rng.randint(0, 40)))) for i in range(150)]
+    d, want = spark.createDataFrame(rows, SCHEMA).repartition(3), brute_lm(rows)
+    lm_equal(lmscore.score(d).collect(), want)
+    lm_equal(lmscore.score(d, block_tokens=300, shard_tokens=150).collect(), want)
+    monkeypatch.setattr(lmscore, "shared_dir", lambda spark: "hdfs:/nowhere")
+    monkeypatch.setattr(lmscore, "remove", lambda spark, path: None)
+    lm_equal(lmscore.score(d, shard_tokens=900).collect(), want)
+    assert not spark.sql("show tables").count()
 
 
 def test_top_k(spark):
