@@ -89,21 +89,26 @@ class EliasFano:
         zeros = np.flatnonzero(np.unpackbits(self.high, bitorder="little") == 0)
         return zeros - np.arange(len(zeros))
 
-    def rank(self, goal: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The place of the first number that is at least ``goal`` (n if none): among those of the same high part,
-        which the unary vector finds, by halving over their low bits. ``starts``: what :meth:`starts` gave."""
-        top = goal >> self.low_bits
-        inside = top < len(starts)
-        lo = np.where(inside, np.concatenate([[0], starts])[np.minimum(top, len(starts))], self.n)
-        hi = np.where(inside, starts[np.minimum(top, len(starts) - 1)], self.n)
-        lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
-        want = goal & ((1 << self.low_bits) - 1)
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) >> 1
+    def rank(self, goal: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first number that is at least ``goal`` (n if none), and whether it is equal: among those
+        of the same high part, which the unary vector finds, by halving over their low bits. ``starts``: what
+        :meth:`starts` gave."""
+        top = np.minimum(goal >> self.low_bits, len(starts))
+        ends = np.concatenate([[0], starts, [self.n]])
+        lo, hi = np.minimum(ends[top], self.n), np.minimum(ends[top + 1], self.n)
+        last, want = hi, goal & ((1 << self.low_bits) - 1)
+        hi = hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while open_.size:
+            a, b = lo[open_], hi[open_]
+            mid = (a + b) >> 1
             less = self.lows(mid) < want[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-        return lo
+            lo[open_], hi[open_] = a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            open_ = open_[a < b]
+        equal = np.zeros(len(goal), bool)
+        some = np.flatnonzero(lo < last)
+        equal[some] = self.lows(lo[some]) == want[some]
+        return lo, equal
 
 
 #: Log10 probabilities are kept as 16-bit codes: steps of 1/4096 from 0 to -16.
@@ -120,10 +125,11 @@ class TrieLevel:
     Contexts are numbers in ascending order, with monotone pointers to where each one's successors start.
     Successors ascend within a context; each has the last of all contexts before it added, so that the level is
     monotone throughout, and the search for one is relative to its context's sum. Beside them stand the
-    quantised smoothed probabilities, and the counts as differences of a monotone sum. A context has its backoff.
+    quantised smoothed probabilities, and the counts: a byte, or 255 and the count in a list of the large ones. A
+    context has its backoff.
     """
 
-    SEQUENCES = ("contexts", "pointers", "base", "successors", "sums")
+    SEQUENCES = ("contexts", "pointers", "base", "successors")
 
     def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, counts: np.ndarray, log_p: np.ndarray, backoff: np.ndarray):
         some = np.diff(starts) > 0
@@ -131,21 +137,22 @@ class TrieLevel:
         last[some] = successors[starts[1:][some] - 1] + 1
         base = np.concatenate([[0], np.cumsum(last)])
         run = np.repeat(np.arange(len(contexts)), np.diff(starts))
-        made = (contexts, starts, base, successors + base[run], np.concatenate([[0], np.cumsum(counts)]))
-        for name, values in zip(self.SEQUENCES, made):
+        for name, values in zip(self.SEQUENCES, (contexts, starts, base, successors + base[run])):
             setattr(self, name, EliasFano(values))
-        self.codes, self.backoff = quantised(log_p), quantised(backoff)
+        self.codes, self.backoff, self.counts = quantised(log_p), quantised(backoff), np.minimum(counts, 255).astype(np.uint8)
+        self.large = np.flatnonzero(counts >= 255)
+        self.larger = counts[self.large].astype(np.int64)
 
     def to_bytes(self) -> bytes:
-        return flat([self.codes, self.backoff, *(a for name in self.SEQUENCES for a in getattr(self, name).arrays())])
+        return flat([self.codes, self.backoff, self.counts, self.large, self.larger, *(a for name in self.SEQUENCES for a in getattr(self, name).arrays())])
 
     @classmethod
     def over(cls, data: bytes | mmap.mmap) -> TrieLevel:
         out = cls.__new__(cls)
-        out.codes, out.backoff, *rest = views(data)
+        out.codes, out.backoff, out.counts, out.large, out.larger, *rest = views(data)
         for k, name in enumerate(cls.SEQUENCES):
             setattr(out, name, EliasFano.over(rest[EliasFano.PARTS * k : EliasFano.PARTS * (k + 1)]))
-        out.zeros = [None, None]
+        out.zeros = (out.contexts.starts(), out.successors.starts())
         return out
 
     @classmethod
@@ -157,24 +164,18 @@ class TrieLevel:
     def look_up(self, contexts: np.ndarray, runs: np.ndarray, words: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(codes, counts, places) of (context, word) pairs, the words of each context in runs. A pair that is
         missing has the lower order's code with the context's backoff, count 0 and place -1."""
-        if self.zeros[0] is None:
-            self.zeros = [self.contexts.starts(), self.successors.starts()]
-        c = self.contexts.rank(contexts, self.zeros[0])
-        known = c < self.contexts.n
-        known[known] = self.contexts.get(c[known]) == contexts[known]
-        c = np.where(known, c, 0)
-        lo, hi, base = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
-        lo[known], hi[known], base[known] = self.pointers.get(c[known]), self.pointers.get(c[known] + 1), self.base.get(c[known])
-        back = np.zeros(len(c), np.int64)
-        back[known] = self.backoff[c[known]]
+        c, known = self.contexts.rank(contexts, self.zeros[0])
+        lo, hi, base, back = (np.zeros(len(c), np.int64) for _ in range(4))
+        at = c[known]
+        lo[known], hi[known], base[known], back[known] = self.pointers.get(at), self.pointers.get(at + 1), self.base.get(at), self.backoff[at]
         lo, hi, base, back = (np.repeat(x, runs) for x in (lo, hi, base, back))
-        goal = words + base
-        at = self.successors.rank(goal, self.zeros[1])
-        hit = np.flatnonzero((at >= lo) & (at < hi))
-        hit = hit[self.successors.get(at[hit]) == goal[hit]]
-        codes = np.clip(lower.astype(np.int64) + back, 0, 65535).astype(np.uint16)
+        at, hit = self.successors.rank(words + base, self.zeros[1])
+        hit = np.flatnonzero(hit & (at >= lo) & (at < hi))
+        codes = np.minimum(lower + back, 65535).astype(np.uint16)
         counts, places = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
-        places[hit] = at[hit]
-        codes[hit] = self.codes[at[hit]]
-        counts[hit] = self.sums.get(at[hit] + 1) - self.sums.get(at[hit])
+        places[hit] = at = at[hit]
+        codes[hit] = self.codes[at]
+        n = self.counts[at].astype(np.int64)
+        n[n == 255] = self.larger[np.searchsorted(self.large, at[n == 255])]
+        counts[hit] = n
         return codes, counts, places

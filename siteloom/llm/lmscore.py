@@ -22,7 +22,6 @@ END = xxhash.xxh64_intdigest(b"")
 ENCODED = "block long, n int, vocab array<long>, counts array<int>, ids binary, docs binary, nulls binary, lens binary, held binary"
 STATE = "block long, ids binary, docs binary, nulls binary, lens binary, held binary, names binary, seen binary"
 SENT = "shard long, block long, contexts binary, runs binary, seen binary, words binary, lower binary, times binary"
-LEVEL = "shard long, path string, level binary"
 ANSWERED = "shard long, block long, codes binary, counts binary, places binary"
 #: A context of the next order: the shard and the place of its n-gram in the level before.
 PLACE_BITS = 40
@@ -237,8 +236,8 @@ def score(
     Nothing that grows with the corpus is broadcast or collected. Documents become blocks of word numbers; words
     meet once to be counted and named. For each order, blocks send their distinct pairs, compressed, to shards by
     context (very frequent contexts to several, by word; their counts are known, so nothing has to meet again). A
-    shard builds its level of the trie once, as a file in the shared folder that is memory-mapped (in the row, where that folder is no
-    mounted path), and then answers each block's pairs, one message at a time. Every step is written, so lost
+    shard builds its level of the trie once, as a file in the shared folder that it maps into memory (or in its own
+    memory, where that folder is no mounted path), and answers each block's pairs, one message at a time. Every step is written, so lost
     executors cost its repetition at most; all is removed at the end.
     """
     spark = docs.sparkSession
@@ -304,31 +303,27 @@ def score(
                 block.deal()
                 return table(list(block.messages(r["block"], kind)), columns, SENT)
 
-            sent = written(state.mapInArrow(first, SENT) if n == 2 else state.groupBy("block").cogroup(together(answered).groupBy("block")).applyInArrow(after, SENT), "sent")
+            sent = state.mapInArrow(first, SENT) if n == 2 else state.groupBy("block").cogroup(together(answered).groupBy("block")).applyInArrow(after, SENT)
 
-            def build(key: tuple, rows: pa.Table) -> pa.Table:
+            def answer(key: tuple, rows: pa.Table) -> pa.Table:
                 level = built(rows, kind, width, of).to_bytes()
-                path = None
                 if mounted:
-                    path = f"{mounted}/{n}-{key[0].as_py()}"
                     os.makedirs(mounted, exist_ok=True)
+                    path = f"{mounted}/{n}-{key[0].as_py()}"
                     with open(part := f"{path}.{uuid4().hex}", "wb") as f:
                         f.write(level)
                     os.replace(part, path)
-                return table([(key[0].as_py(), path, None if path else level)], ("shard", "path", "level"), LEVEL)
-
-            def answer(key: tuple, rows: pa.Table, levels: pa.Table) -> pa.Table:
-                path = levels.column("path")[0].as_py()
-                level = TrieLevel.open(path) if path else TrieLevel.over(levels.column("level")[0].as_py())
+                level = TrieLevel.open(path) if mounted else TrieLevel.over(level)
                 out = []
                 for b, c, runs, _, w, low, _ in entries(rows, kind):
                     codes, counts, places = level.look_up(c, runs, w, low)
+                    if n == order:
+                        counts[:], places[:] = 0, 0
                     out.append((key[0].as_py(), b, pressed(codes), pressed(counts.astype(np.uint32)), pressed(np.diff(places[counts >= least], prepend=0))))
                 return table(out, ("shard", "block", "codes", "counts", "places"), ANSWERED)
 
-            levels = written(sent.groupBy("shard").applyInArrow(build, LEVEL), "level")
-            answered.append(written(sent.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(answer, ANSWERED).withColumn("n", F.lit(n)), "answers"))
-            discard(sent), discard(levels)
+            answered.append(written(sent.groupBy("shard").applyInArrow(answer, ANSWERED).withColumn("n", F.lit(n)), "answers"))
+            remove(spark, folder)
 
         def last(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             r = left.to_pylist()[0]
