@@ -32,9 +32,11 @@ INSIDE = frozenset("foreignobject desc title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 NO_PARAGRAPH = BLOCKS - {"body", "head", "html", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "caption", "legend", "button", "select"}
 
+#: Every part takes what it can and gives nothing back, and ends at the end of the page if not before: no character is
+#: read again for each tag that is left open.
 TAGS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<open>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<open>[^>]*+)(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?P<shut>>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 HAS_DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})[\s/>]", re.I)
@@ -50,18 +52,50 @@ def marks(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class Place:
+    """Where a block stands: its element and what holds it. The vector of a place is its own marks and, at four
+    fifths, its parent's: signed hashing in which nearer marks weigh more, and the nearest count apart."""
+
+    __slots__ = ("parent", "found", "made")
+
+    def __init__(self, parent: Place | None, found: tuple[str, ...]):
+        self.parent, self.found, self.made = parent, found, None
+
+    def vector(self) -> np.ndarray:
+        todo, place = [], self
+        while place is not None and place.made is None:
+            todo.append(place)
+            place = place.parent
+        for place in reversed(todo):
+            own = mark_vector(place.found)
+            place.made = own if place.parent is None else own + np.float32(0.8) * place.parent.made
+        return self.made
+
+
+@lru_cache(65536)
+def mark_vector(found: tuple[str, ...]) -> np.ndarray:
+    v = np.zeros(PATH, np.float32)
+    for mark in found:
+        for told in (mark, "#" + mark):
+            h = zlib.crc32(told.encode("utf-8", "surrogatepass"))
+            v[h % PATH] += 1.0 if h & 0x10000 else -1.0
+    return v
+
+
 def tokens(page: str) -> list[tuple[int, int, re.Match | None]]:
-    """(start, end, tag if it is one) of all that is no text, in page order.
+    """(start, end, tag if it is one) of all that is no text, in page order. A tag that the page leaves open is text.
 
     An element of ``DROPPED`` is one token if its end is there: its end tag, '/>' of an svg, or what ends an svg in
     HTML. One that is left open is a tag like others, and hides nothing."""
     if not HAS_DROPPED.search(page):
-        return [(m.start(), m.end(), m if m["tag"] else None) for m in TAGS.finditer(page)]
+        return [(m.start(), m.end(), m if m["tag"] else None) for m in TAGS.finditer(page) if m["shut"] != ""]
     out: list[tuple[int, int, re.Match | None]] = []
     opened: list[tuple[str, int]] = []
     among: Counter[str] = Counter()
     at = 0
     while m := TAGS.search(page, at):
+        if m["shut"] == "":
+            break
         at = m.end()
         in_svg = bool(opened) and opened[-1][0] == "svg"
         if m["raw"] and in_svg and m["open"].endswith("/"):
@@ -90,18 +124,21 @@ def tokens(page: str) -> list[tuple[int, int, re.Match | None]]:
     return out
 
 
-def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
-    """(path, text, letters inside links) of every block that holds text, in page order.
+def leaves(page: str) -> list[tuple[Place | None, str, int]]:
+    """(place, text, letters inside links) of every block that holds text, in page order.
 
     Inline elements join their block; comments, scripts, styles and other raw content are no text,
     nor is what svg, object, template and noscript hold between their tags.
     References are decoded after the tags are found, and white space becomes one space.
+    The time is linear in the page, however many elements are open.
     """
     out: list = []
     names: list[str] = []
-    path: list[tuple[str, ...]] = []
+    path: list[Place] = []
+    #: The depths at which each tag is open, the nearest last.
+    depths: dict[str, list[int]] = {}
     held: list[str] = []
-    linked = link = at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -109,21 +146,21 @@ def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
             text = "".join(held)
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((tuple(path), text, linked))
+                out.append((path[-1] if path else None, text, linked))
             held.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal link
         if any(n in BLOCKS for n in names[upto:]):
             flush()
-        link -= names[upto:].count("a")
+        for n in names[upto:]:
+            depths[n].pop()
         del names[upto:], path[upto:]
 
     def add(text: str) -> None:
         nonlocal linked
         held.append(text)
-        linked += len(text) if link else 0
+        linked += len(text) if depths.get("a") else 0
 
     for start, end, m in tokens(page):
         if start > at:
@@ -133,15 +170,15 @@ def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            if tag in names:
-                close(len(names) - 1 - names[::-1].index(tag))
+            if depths.get(tag):
+                close(depths[tag][-1])
             elif tag in BLOCKS:
                 flush()
             continue
         if tag == "br":
             add(" ")
-        if tag in NO_PARAGRAPH and "p" in names:
-            close(len(names) - 1 - names[::-1].index("p"))
+        if tag in NO_PARAGRAPH and depths.get("p"):
+            close(depths["p"][-1])
         if tag in CLOSES:
             for k in range(len(names) - 1, max(-1, len(names) - 5), -1):
                 if names[k] in CLOSES[tag]:
@@ -152,28 +189,15 @@ def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
         if tag in BLOCKS:
             flush()
         if tag not in VOID and not m["attrs"].endswith("/"):
+            depths.setdefault(tag, []).append(len(names))
             names.append(tag)
-            path.append(marks(tag, m["attrs"]))
-            link += tag == "a"
+            path.append(Place(path[-1] if path else None, marks(tag, m["attrs"])))
     if at < len(page):
         add(page[at:])
     flush()
     return out
 
 
-@lru_cache(65536)
-def path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    """Signed hashing of the path's marks; those nearer to the text weigh more, and the nearest count apart."""
-    v = np.zeros(PATH, np.float32)
-    for depth, found in enumerate(reversed(path)):
-        for mark in found:
-            h = zlib.crc32(mark.encode("utf-8", "surrogatepass"))
-            v[h % PATH] += (1.0 if h & 0x10000 else -1.0) * 0.8**depth
-            h = zlib.crc32(b"#" + mark.encode("utf-8", "surrogatepass"))
-            v[h % PATH] += (1.0 if h & 0x10000 else -1.0) * 0.8**depth
-    return v
-
-
 class WordBuckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
@@ -187,7 +211,8 @@ def vectors(blocks: list, buckets: WordBuckets) -> np.ndarray:
     x = np.zeros((len(blocks), FEATURES), np.float32)
     for i, (path, text, linked) in enumerate(blocks):
         words = text.split(" ")
-        x[i, :PATH] = path_vector(path)
+        if path is not None:
+            x[i, :PATH] = path.vector()
         x[i, PATH : PATH + WORDS] = np.bincount([buckets[w] for w in words], minlength=WORDS) / np.sqrt(len(words)) / 4
         x[i, -EXTRA:] = (np.log1p(len(words)) / 4, min(linked / len(text), 1), (text[-1] in ".!?…\"'") - 0.5, text.count(".") / len(words), i / len(blocks), 1 / (1 + i))
     return x
@@ -408,7 +433,8 @@ def label(model: BiLstm, pages: list[list], buckets: WordBuckets, cells: int = 6
 def extract(pages: DataFrame, *, html: str = "html", model: BiLstm | None = None) -> DataFrame:
     """Adds ``text`` (the main text: blocks of the article joined by a space) and ``n_chars`` to every row, in
     place of ``html``; replaces columns so named. Null and empty pages, and pages without main text, give the
-    empty string. Rows are independent: no shuffle, and repeated rows stay."""
+    empty string. Rows are independent: no shuffle, and repeated rows stay; an empty table gives no rows; pages have
+    any length, and their time is linear in it."""
     small_batches(pages.sparkSession, 256)
     pages = pages.drop(*(c for c in ("text", "n_chars") if c != html))
     keep = [c for c in pages.columns if c != html]

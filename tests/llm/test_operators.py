@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -321,3 +323,30 @@ def test_fingerprints(docs):
         assert r.near_edited == pytest.approx(like(parts(t), parts(edited))) and r.near_next == pytest.approx(like(parts(t), parts(after)))
     by = {r.doc_id: r.fingerprint for r in got}
     assert by[1] == by[2] != by[7] and by[3] == by[4]
+
+
+def test_main_text_of_the_given_pages(spark):
+    """Against the article element of every page of the small table, by words."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    told = {r.page_id: r.html for r in pages.collect()}
+    wrong = both = mine = true = 0
+    for r in html.extract(pages).collect():
+        body = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", re.search(r"<article>(.*?)(?:</article>|<footer|$)", told[r.page_id], re.S)[1], flags=re.S)
+        want = Counter(unescape(re.sub(r"<[^>]*>", " ", body)).split())
+        got = Counter(r.text.split())
+        wrong += got != want
+        both, mine, true = both + (got & want).total(), mine + got.total(), true + want.total()
+    assert both / mine > 0.995 and both / true > 0.995 and wrong < 0.05 * len(told)
+
+
+def test_pages_of_any_length_and_depth():
+    """Unclosed tags, odd quotes and deep nesting take linear time, and lose no text but markup."""
+    begin = time.time()
+    assert [t for _, t, _ in html.leaves("<p>one</p>" + "<a " * 200_000)] == ["one", ("<a " * 200_000).strip()]
+    assert len(html.leaves("<div>x" * 50_000 + "</b>" * 50_000)) == 50_000
+    assert [t for _, t, _ in html.leaves("<div>" * 50_000 + "<p>in" * 3)] == ["in"] * 3
+    for hard in ('<a "' * 100_000, "<a '>" * 100_000, "<!" * 200_000, "<script " * 100_000, "<script>" + "</script " * 50_000, "<svg>" * 20_000 + "<a " * 50_000):
+        html.leaves(hard)
+    assert time.time() - begin < 10
+    model = html.trained()
+    assert len(html.label(model, [html.leaves("<div>x" * 3_000)], html.WordBuckets())[0]) == 3_000
