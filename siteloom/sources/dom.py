@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 #: Fixed values of HTML: elements without content, elements of raw text, and what an opening tag closes.
@@ -15,8 +15,10 @@ CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"d
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Every part takes what it can and gives nothing back, and ends at the end of the page if not before: no character is
+#: read again for each tag that is left open.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
@@ -55,32 +57,47 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Node:
-    """The document: html with head and body, which are there whether or not the page says so."""
+    """The document: html with head and body, which are there whether or not the page says so. A tag that the page
+    leaves open is text. The time is linear in the page: where each tag is open is known, not searched."""
     root = Node("html", {}, None)
     head, body = Node("head", {}, root), Node("body", {}, root)
     root.children = [head, body]
     at, here, in_body = 0, head, False
     end = len(page)
+    #: The open elements below head or body, and the depths at which each tag is open, the nearest last.
+    path: list[Node] = []
+    depths: dict[str, list[int]] = {}
 
-    def text(t: str) -> None:
+    def leave(depth: int) -> None:
+        nonlocal here
+        here = path[depth].parent
+        for n in path[depth:]:
+            depths[n.tag].pop()
+        del path[depth:]
+
+    def begin_body() -> None:
         nonlocal here, in_body
+        if path:
+            leave(0)
+        here, in_body = body, True
+
+    def text(t: str) -> None:
         if here is head and not t.isspace():
-            here, in_body = body, True
+            begin_body()
         if here is not head:
             here.children.append(unescape(t) if "&" in t else t)
 
+    def nearest(tags: Iterable[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
+
     def up_to(tags: set[str], stops: set[str]) -> None:
-        nonlocal here
-        n = here
-        while n is not body and n is not head and n.parent is not None and n.tag not in stops:
-            if n.tag in tags:
-                here = n.parent
-                return
-            n = n.parent
+        depth = nearest(tags)
+        if depth > nearest(stops):
+            leave(depth)
 
     while at < end:
         m = TOKEN.search(page, at)
-        if not m:
+        if not m or m[4] == "":
             text(page[at:])
             break
         if m.start() > at:
@@ -91,30 +108,24 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            n = here
             if tag == "head":
-                here, in_body = body, True
-                continue
-            if tag in ("body", "html"):
-                continue
-            while n is not None and n is not body and n is not head and n.tag != tag:
-                n = n.parent
-            if n is not None and n is not body and n is not head:
-                here = n.parent
+                begin_body()
+            elif tag not in ("body", "html") and depths.get(tag):
+                leave(depths[tag][-1])
             continue
         attrs = attributes(m[3]) if m[3] else {}
         if tag in ("html", "body", "head"):
             target = {"html": root, "head": head, "body": body}[tag]
             target.attrs = attrs | target.attrs
-            if tag == "body":
-                here, in_body = (here if in_body else body), True
+            if tag == "body" and not in_body:
+                begin_body()
             continue
         if here is head and tag not in IN_HEAD:
-            here, in_body = body, True
+            begin_body()
         if tag in CLOSES_P:
             up_to({"p"}, {"button", "td", "th", "table"})
         if tag in HEADINGS and here.tag in HEADINGS:
-            here = here.parent
+            leave(len(path) - 1)
         if tag in CLOSES:
             up_to(*CLOSES[tag])
         node = Node(tag, attrs, here)
@@ -122,12 +133,14 @@ def parse(page: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
             raw = page[at : close.start() if close else end]
             if raw:
                 node.children.append(unescape(raw) if tag in DECODED and "&" in raw else raw)
             at = close.end() if close else end
             continue
+        depths.setdefault(tag, []).append(len(path))
+        path.append(node)
         here = node
     return root
 
