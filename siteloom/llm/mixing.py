@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import materialize, words_count
 
 SLICES = 4096
+#: Patterns up to which the plan is broadcast; beyond, it is joined like any table.
+FEW = 100_000
 
 
 def fair_targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -75,13 +77,37 @@ def route(patterns: list[tuple[tuple[int, ...], int]], targets: Sequence[float],
     """Tokens to take from each pattern (the sources its documents belong to, its size).
 
     Each pattern has an arc for every repetition, each as wide as its size and dearer than the one before
-    (convex), so no text is repeated while fresh text of a source that still wants some is left."""
-    p, s = len(patterns), len(targets)
-    arcs = [(0, 1 + i, size, copy * (copy + 1) // 2) for i, (_, size) in enumerate(patterns) for copy in range(repeats)]
-    arcs += [(1 + i, 1 + p + j, size * repeats, 0) for i, (member, size) in enumerate(patterns) for j in member]
-    arcs += [(1 + p + j, 1 + p + s, round(t), 0) for j, t in enumerate(targets)]
-    flow = min_cost_flow(p + s + 2, arcs, 0, 1 + p + s)
-    return [sum(flow[i * repeats : (i + 1) * repeats]) for i in range(p)]
+    (convex), so no text is repeated while fresh text of a source that still wants some is left. Sources that no
+    document joins are networks of their own; one of a single pattern takes what it wants of what is there."""
+    root = list(range(len(targets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for member, _ in patterns:
+        for j in member[1:]:
+            root[find(j)] = find(member[0])
+    nets: dict[int, list[int]] = {}
+    takes = [0] * len(patterns)
+    for i, (member, _) in enumerate(patterns):
+        if member:
+            nets.setdefault(find(member[0]), []).append(i)
+    for net in nets.values():
+        if len(net) == 1:
+            member, size = patterns[net[0]]
+            takes[net[0]] = min(size * repeats, sum(round(targets[j]) for j in member))
+            continue
+        at = {j: k for k, j in enumerate(dict.fromkeys(j for i in net for j in patterns[i][0]))}
+        p, s = len(net), len(at)
+        arcs = [(0, 1 + k, patterns[i][1], copy * (copy + 1) // 2) for k, i in enumerate(net) for copy in range(repeats)]
+        arcs += [(1 + k, 1 + p + at[j], patterns[i][1] * repeats, 0) for k, i in enumerate(net) for j in patterns[i][0]]
+        arcs += [(1 + p + k, 1 + p + s, round(targets[j]), 0) for j, k in at.items()]
+        flow = min_cost_flow(p + s + 2, arcs, 0, 1 + p + s)
+        for k, i in enumerate(net):
+            takes[i] = sum(flow[k * repeats : (k + 1) * repeats])
+    return takes
 
 
 def mix(
@@ -94,35 +120,40 @@ def mix(
     share: float = 1.5,
     repeats: int = 2,
     seed: int = 17,
-    most_patterns: int = 100_000,
+    into: str | None = None,
 ) -> DataFrame:
-    """Adds ``size`` (words), ``source_size``, ``target`` and ``taken`` (words taken, repeats counted) to ``docs``.
+    """Adds ``size`` (words), ``source_size``, ``target`` and ``taken`` (words taken, repeats counted) to ``docs``, in
+    place of columns so named; with ``into``, as one struct of that name instead, and every column stays.
 
     ``sources`` is a string or an array of strings (a document of several sources serves any of them; its
     ``source_size`` and ``target`` are those of the first by code point). Null is a source of its own, the
-    last. Only totals by membership pattern reach the driver; more than ``most_patterns`` patterns are an
-    error. Within a pattern documents are taken by seeded hash of id and text length: whole rounds first,
-    then by cumulated size up to the quota; the document at the edge is taken if at least half of it fits.
-    The cumulated size comes from ``4096`` hash slices of a pattern, and only the slice at the edge is
-    ordered, so a source that holds most rows is never sorted in one task. No document exceeds ``repeats``
-    times its size; empty documents (null or no words) are taken 0 times; repeated rows count each.
+    last. Only totals by membership pattern reach the driver. Within a pattern documents are taken by seeded hash of
+    id and text: whole rounds first, then by cumulated size while they fit the quota, and at the edge the largest one
+    further on that fits what is left. The cumulated size comes from ``4096`` hash slices of a pattern, and only
+    the slice at the edge is ordered, so a source that holds most rows is never sorted in one task. No document
+    exceeds ``repeats`` times its size; empty documents (null or no words) are taken 0 times. Repeated rows count
+    each, and as many of them are taken as fit; which of them is not told apart. An empty table gives no rows; texts
+    have any length; the caller's columns have any names.
     """
     spark = docs.sparkSession
     names = ("size", "source_size", "target", "taken")
-    docs = docs.drop(*(c for c in names if c not in (id_col, sources, text)))
+    kept = docs.columns if into else [c for c in docs.columns if c not in names or c in (id_col, sources, text)]
+    kept = [c for c in kept if c != into]
     many = docs.schema[sources].dataType.typeName() == "array"
-    member = F.array_sort(F.array_distinct(sources)) if many else F.array(sources)
-    # A row's place: hash of what identifies it, so reruns agree; equal rows get the same place and count as one run.
-    sized = docs.withColumns({
-        "size": words_count(F.col(text)),
-        "_pattern": F.to_json(F.struct(F.coalesce(member, F.array(F.lit(None).cast("string"))).alias("s")), {"ignoreNullFields": "false"}),
-    }).withColumn("_hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col("size")))
-    slim = materialize(sized.select(F.col(id_col).alias("_id"), "_pattern", "size", "_hash"), "mix").withColumn("_slice", F.pmod("_hash", F.lit(SLICES)).cast("int"))
-    sizes = slim.groupBy("_pattern").agg(F.sum("size").alias("n")).limit(most_patterns + 1).collect()
-    if len(sizes) > most_patterns:
-        raise ValueError(f"more than {most_patterns} membership patterns")
+    member = F.array_sort(F.array_distinct(docs[sources])) if many else F.array(docs[sources])
+    # The caller's row is one column, so that its names meet none of those below. A row's place is a hash of what
+    # identifies it, so reruns agree; equal rows have the same place.
+    sized = docs.select(
+        F.struct(*(docs[c].alias(c) for c in kept)).alias("row"), words_count(docs[text]).alias("size"),
+        F.to_json(F.struct(F.coalesce(member, F.array(F.lit(None).cast("string"))).alias("s")), {"ignoreNullFields": "false"}).alias("pattern"),
+        F.xxhash64(F.lit(seed), docs[id_col], docs[text]).alias("hash"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"),
+    )
+    slice_ = F.pmod("hash", F.lit(SLICES)).cast("int")
+    place = F.struct("hash", "id", "size")
+    slim = materialize(sized.drop("row"), "mix").withColumn("slice", slice_)
+    sizes = slim.groupBy("pattern").agg(F.sum("size").alias("n")).collect()
     by_name = lambda v: (v is None, v or "")
-    patterns = sorted(((json.loads(r["_pattern"])["s"], r["n"], r["_pattern"]) for r in sizes), key=lambda p: [by_name(v) for v in p[0]])
+    patterns = sorted(((json.loads(r["pattern"])["s"], r["n"], r["pattern"]) for r in sizes), key=lambda p: [by_name(v) for v in p[0]])
     known = sorted({v for m, _, _ in patterns for v in m}, key=by_name)
     rank = {v: i for i, v in enumerate(known)}
     source_sizes = [0] * len(known)
@@ -131,33 +162,47 @@ def mix(
             source_sizes[rank[v]] += n
     targets = fair_targets(source_sizes, [weights(i) for i in range(len(known))], share * sum(n for _, n, _ in patterns), repeats)
     takes = route([(tuple(rank[v] for v in m), n) for m, n, _ in patterns], targets, repeats)
-    plan = [(key, source_sizes[rank[m[0]]] if m else 0, targets[rank[m[0]]] if m else 0.0, take // n if n else 0, take % n if n else 0) for (m, n, key), take in zip(patterns, takes)]
-    plan = spark.createDataFrame(plan, "_pattern string, source_size long, target double, _rounds long, _rest long")
-    # The plan has a row for each pattern, at most most_patterns: a proven bound.
-    plan = F.broadcast(plan)
-    before = Window.partitionBy("_pattern").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = [(key, source_sizes[rank[m[0]]] if m else 0, targets[rank[m[0]]] if m else 0.0, take // n if n else 0, take % n if n else 0) for (m, n, key), take in zip(patterns, takes)]
+    # A row for each pattern: sent to all only while they are few.
+    small = F.broadcast if len(rows) <= FEW else lambda df: df
+    plan = spark.createDataFrame(rows, "pattern string, source_size long, target double, rounds long, rest long")
+    before = Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
-        slim.groupBy("_pattern", "_slice").agg(F.sum("size").alias("_in"))
-        .withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-        .join(plan.select("_pattern", "_rest"), "_pattern")
-        .where(F.col("_before") < F.col("_rest"))
+        slim.groupBy("pattern", "slice").agg(F.sum("size").alias("in"))
+        .withColumn("before", F.coalesce(F.sum("in").over(before), F.lit(0)))
+        .join(small(plan.select("pattern", "rest")), "pattern")
     )
     # The slice in which the quota ends, one for each pattern.
-    edge = slices.where(F.col("_before") + F.col("_in") > F.col("_rest")).select("_pattern", F.col("_slice").alias("_edge"), "_before")
-    plan = materialize(plan.join(edge, "_pattern", "left"), "mix-plan")
-    within = Window.partitionBy("_pattern").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = (
-        slim.join(F.broadcast(plan), "_pattern").where(F.col("_slice") == F.col("_edge"))
-        .withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    )
-    # The last document that is taken at the edge: all up to it, in the order of (hash, id), are taken.
-    last = at_edge.where(2 * (F.col("_rest") - F.col("_ahead")) >= F.col("size")).groupBy("_pattern").agg(F.max(F.struct("_hash", "_id")).alias("_last"))
-    final = materialize(plan.join(last, "_pattern", "left"), "mix-edge")
-    place = F.struct(F.col("_hash"), F.col(id_col).alias("_id"))
-    extra = F.when(F.col("_rest") == 0, False).when(F.col("_edge").isNull(), F.col("_rest") > 0).when(F.col("_slice") < F.col("_edge"), True).when(F.col("_slice") > F.col("_edge"), False).otherwise(F.coalesce(place <= F.col("_last"), F.lit(False)))
-    return (
-        sized.withColumn("_slice", F.pmod("_hash", F.lit(SLICES)).cast("int"))
-        .join(F.broadcast(final), "_pattern")
-        .withColumn("taken", (F.col("size") * (F.col("_rounds") + F.when(extra & (F.col("_rounds") < repeats), 1).otherwise(0))).cast("long"))
-        .select(*docs.columns, *names)
-    )
+    edge = slices.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("in") > F.col("rest"))).select("pattern", F.col("slice").alias("edge"), "before")
+    plan = materialize(plan.join(edge, "pattern", "left"), "mix-plan")
+    # Equal rows at the edge are one group. The first that does not fit whole gives as many rows as fit.
+    groups = slim.join(small(plan), "pattern").where("slice = edge").groupBy("pattern", "rest", "before", place.alias("place")).agg(F.count("*").alias("rows"))
+    within = Window.partitionBy("pattern").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("rows") * F.col("place.size")).over(within), F.lit(0)))
+    stop = groups.where(F.col("left") < F.col("rows") * F.col("place.size")).groupBy("pattern").agg(F.min(F.struct("place", "left", "rows")).alias("stop"))
+    fit = F.floor(F.col("stop.left") / F.col("stop.place.size"))
+    stop = stop.select("pattern", F.col("stop.place").alias("stop"), F.col("stop.rows").alias("stop_rows"), fit.alias("fit"), (F.col("stop.left") - fit * F.col("stop.place.size")).alias("gap"))
+    plan = materialize(plan.join(stop, "pattern", "left"), "mix-stop")
+    behind = (F.col("slice") > F.col("edge")) | (F.col("slice") == F.col("edge")) & (place > F.col("stop"))
+    fill = slim.join(small(plan), "pattern").where(behind & F.col("size").between(1, F.col("gap"))).groupBy("pattern").agg(F.max(F.struct("size", place.alias("place"))).alias("m")).select("pattern", F.col("m.place").alias("fill"))
+    filled = slim.join(small(fill), "pattern").where(place == F.col("fill")).groupBy("pattern").agg(F.first("fill").alias("fill"), F.count("*").alias("fill_rows"))
+    final = materialize(plan.join(filled, "pattern", "left"), "mix-edge")
+    split = final.where("fit between 1 and stop_rows - 1 or fill_rows > 1")
+    whole = F.when(F.col("rest") == 0, False).when(F.col("slice") != F.col("edge"), F.col("slice") < F.col("edge")).otherwise(place < F.col("stop"))
+    at_stop, at_fill = place == F.col("stop"), F.coalesce(place == F.col("fill"), F.lit(False))
+    told = sized.withColumn("slice", slice_).join(small(final), "pattern")
+    if split.isEmpty():
+        told = told.withColumn("extra", whole | at_stop & (F.col("fit") > 0) | at_fill)
+    else:
+        # Some of a group of equal rows: the rows are numbered in 1024 lots of it, and the lots follow one another.
+        limit = F.when(at_stop, F.col("fit")).when(at_fill, F.lit(1))
+        told = told.withColumn("limit", limit).withColumn("lot", F.when(F.col("limit").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024))))
+        tied = materialize(told.where("limit is not null"), "mix-tied")
+        lots = tied.groupBy("pattern", place.alias("place"), "lot").agg(F.count("*").alias("in"))
+        lots = lots.withColumn("ahead", F.coalesce(F.sum("in").over(Window.partitionBy("pattern", "place").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        number = F.row_number().over(Window.partitionBy("pattern", "hash", "id", "size", "lot").orderBy(F.lit(1)))
+        tied = tied.withColumn("number", number).withColumn("place", place).join(lots.drop("in"), ["pattern", "place", "lot"])
+        told = told.where("limit is null").withColumn("extra", whole).unionByName(tied.withColumn("extra", F.col("ahead") + F.col("number") <= F.col("limit")).select(*told.columns, "extra"))
+    taken = (F.col("size") * F.least(F.col("rounds") + F.coalesce(F.col("extra"), F.lit(False)).cast("int"), F.lit(repeats))).cast("long")
+    out = [F.col("size"), F.col("source_size"), F.col("target"), taken.alias("taken")]
+    return told.select(*(F.col("row").getField(c).alias(c) for c in kept), *([F.struct(*out).alias(into)] if into else out))
