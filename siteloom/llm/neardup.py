@@ -58,39 +58,45 @@ def minima(s: np.ndarray) -> np.ndarray:
     return best
 
 
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    data = s.tobytes()
+    return xxhash.xxh64_intdigest(data) - 2**63, xxhash.xxh64_intdigest(data, 1) - 2**63
+
+
 def signatures(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(id, n, k1, k2, bands, sig): set size, two hashes of the whole set, a hash for each band, low bytes of all
-    minima. Empty sets have null bands."""
+    """(id, t, n, k1, k2, bands, sig): the text's hash, set size, two hashes of the whole set, a hash for each band,
+    low bytes of all minima. Empty sets have null bands."""
     small_batches(docs.sparkSession)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingles(t or b"", size, hashes)
                 if not len(s):
                     rows.append((0, 0, 0, None, None))
                     continue
                 m = minima(s)
-                data = s.tobytes()
                 bands = [xxhash.xxh64_intdigest(m[ROWS * k : ROWS * (k + 1)].tobytes(), k) - 2**63 for k in range(BANDS)]
-                rows.append((len(s), xxhash.xxh64_intdigest(data) - 2**63, xxhash.xxh64_intdigest(data, 1) - 2**63, bands, m.astype(np.uint8).tobytes()))
+                rows.append((len(s), *set_hashes(s), bands, m.astype(np.uint8).tobytes()))
             n, k1, k2, bands, sig = zip(*rows) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "n", "k1", "k2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "t", "n", "k1", "k2", "bands", "sig"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("binary").alias("t")).mapInArrow(signed, "id long, n long, k1 long, k2 long, bands array<long>, sig binary")
+    return docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text]).alias("t"), docs[text].cast("binary").alias("x")).mapInArrow(signed, "id long, t long, n long, k1 long, k2 long, bands array<long>, sig binary")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(id, s): the whole set of each row, as bytes of sorted 64-bit hashes."""
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(n, k1, k2, s): the whole set of each text, as bytes of sorted 64-bit hashes, and what names it."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or b"", size, hashes).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+            sets = [shingles(t or b"", size, hashes) for t in b.column(0).to_pylist()]
+            keys = [(len(s), *set_hashes(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "k1", "k2", "s"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("binary").alias("t")).mapInArrow(made, "id long, s binary")
+    return texts.mapInArrow(made, "n long, k1 long, k2 long, s binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -154,11 +160,13 @@ def cross_links(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sigs: np.
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept): the smallest id linked to each document, directly or through others.
+    """(id, n_shingles, component_id, kept, group, text_hash) of every row: the smallest id linked to each document,
+    directly or through others; ``group`` names the component also where ids repeat.
 
     Documents are linked when 100 * |both| >= percent * |either| over their sets of ``shingle``-word runs; without
-    words, with nothing. Rows of equal sets collapse into their smallest id first. Rows with equal ids count as
-    one document, that of the smallest set hash; rows with a null id stay, linked with nothing, kept.
+    words (null, empty, blank), with nothing. Rows of equal sets collapse first. Rows that repeat an id are documents
+    of their own if their sets differ, and copies if not; those of a null id are linked with nothing and kept. An
+    empty table gives no rows; texts have any length; columns beside the two are not read, whatever their names.
 
     1. 128 minima in 32 bands of 4 (a linked pair at 80 % shares no band with probability 5e-8). Each row of a
        bucket is paired with the bucket's smallest id: as many pairs as rows, however large the bucket.
@@ -167,29 +175,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
        buckets (each set of rows once) are dealt into chunks of bounded size, and every two chunks of a bucket
        are compared across components; only the links that join components leave a task. Components again.
     """
-    size = shingle
-    signed = materialize(signatures(docs, id_col, text, size), "signatures")
-    one = signed.where("id is not null").groupBy("id").agg(F.min(F.struct("n", "k1", "k2", "bands", "sig")).alias("r")).select("id", "r.*")
-    # Equal sets: the same two hashes and size.
-    heads = one.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "bands", "sig")).alias("r")).select("n", "k1", "k2", "r.*")
-    heads = materialize(heads, "heads")
+    size, key = shingle, ["n", "k1", "k2"]
+    made: list[DataFrame] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialize(df, name))
+        return made[-1]
+
+    signed = written(signatures(docs, id_col, text, size), "signatures")
+    full_rows = signed.where("id is not null and n > 0")
+    # Equal sets: the same two hashes and size. A set's node is its smallest id; where an id has several sets, it is
+    # that of the first of them, and the others get numbers below all ids that a hash makes.
+    equal = full_rows.groupBy(*key).agg(F.min(F.struct("id", "bands", "sig")).alias("r")).select(*key, F.col("r.id").alias("least"), "r.bands", "r.sig")
+    several = written(full_rows.groupBy("id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi").select(F.col("id").alias("least"), "lo"), "several")
+    other = F.lit(-1) - F.shiftrightunsigned(F.xxhash64("least", *key), 1)
+    node = F.when(F.col("lo").isNull() | (F.col("lo") == F.struct(*key)), F.col("least")).otherwise(other)
+    heads = written(equal.join(several, "least", "left").withColumn("id", node).drop("lo"), "heads")
     rows = heads.select("id", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")).where("rows > 1")
-    shared = materialize(rows.join(buckets, "bucket"), "buckets")
+    buckets = written(rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")).where("rows > 1"), "bucket-sizes")
+    shared = written(rows.join(buckets, "bucket"), "buckets")
     wanted = shared.select("id").distinct()
-    # Whole sets are made only for rows that share a bucket; repeated ids are settled by the hashes.
-    full = shingle_sets(docs.join(wanted, docs[id_col].cast("long") == wanted["id"], "left_semi"), id_col, text, size)
-    sets = materialize(full.groupBy("id").agg(F.min("s").alias("s")), "sets")
+    # Whole sets are made only for rows that share a bucket.
+    named = written(heads.join(wanted, "id", "left_semi").select("id", "least", *key), "wanted")
+    texts = docs.select(docs[id_col].cast("long").alias("least"), docs[text].cast("binary").alias("x"))
+    full = shingle_sets(texts.join(named.select("least").distinct(), "least", "left_semi").select("x"), size)
+    sets = written(full.join(named.drop("least"), key).groupBy("id").agg(F.first("s").alias("s")), "sets")
     sigs = heads.join(wanted, "id", "left_semi").select("id", "sig", "n")
     pairs = shared.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
-    links = materialize(star_links(pairs, sets, sigs, percent), "links")
-    first = materialize(components(links), "first")
+    links = written(star_links(pairs, sets, sigs, percent), "links")
+    first = written(components(links), "first")
 
-    several = shared.where("rows > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = several.groupBy("bucket").agg(F.first("rows").alias("c"), F.first("mark").alias("mark"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    mixed_rows = shared.where("rows > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = mixed_rows.groupBy("bucket").agg(F.first("rows").alias("c"), F.first("mark").alias("mark"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     # Buckets of several bands often hold the same rows: one of them is enough.
     mixed = mixed.groupBy("c", "mark").agg(F.min("bucket").alias("bucket"))
-    open_rows = materialize(several.join(mixed.select("bucket"), "bucket").join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open")
+    open_rows = written(mixed_rows.join(mixed.select("bucket"), "bucket").join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open")
     loads = open_rows.groupBy("bucket").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
     chunks = loads.select("bucket", F.ceil(F.greatest(F.col("load") / CHUNK_SHINGLES, F.col("rows") / 1000)).cast("int").alias("chunks"))
     placed = open_rows.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -209,13 +229,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
     more = met.groupBy("bucket", "lo", "hi").applyInArrow(compare, "u long, v long")
     joined = first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)
-    final = components(joined)
-    return (
-        signed.where("id is null").select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-        .unionByName(
-            one.join(heads.select("n", "k1", "k2", F.col("id").alias("head")), ["n", "k1", "k2"], "left")
-            .join(final.withColumnRenamed("id", "head"), "head", "left")
-            .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "head", "id").alias("component_id"))
-            .withColumn("kept", F.col("id") == F.col("component_id"))
-        )
-    )
+    final = written(components(joined), "components")
+    # A component's name is its smallest node; its smallest id may be that of another.
+    least = final.join(heads.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    by_set = written(heads.select(*key, "id", "least").join(final.join(least, "component"), "id", "left").select(*key, F.coalesce("component", "id").alias("group"), F.coalesce("component_id", "least").alias("component_id")), "by-set")
+    # The rows' own shuffle meets the sets' own: a large group of copies can be split.
+    out = written(
+        signed.where("id is not null and n > 0").join(by_set, key).select("id", "n", "component_id", "group", "t")
+        .unionByName(signed.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"), F.col("id").alias("group"), "t"))
+        .select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "group", F.col("t").alias("text_hash")), "near-duplicates")
+    for df in made[:-1]:
+        discard(df)
+    return out

@@ -20,7 +20,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return neardup.near_duplicates(docs, shingle=3, percent=85).withColumnRenamed("id", "doc_id")
+    return neardup.near_duplicates(docs, shingle=3, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators on small and awkward tables, each against brute force or exact laws."""
 
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -78,6 +79,65 @@ def test_mixing(docs):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_repeated_rows(spark):
+    """Equal rows, with and without ids: as many as fit the quota, no more; the caller's own columns stay."""
+    ten = "a b c d e f g h i j"
+    rows = [(7, ten, "x")] * 40 + [(None, ten, "y")] * 30 + [(i, ten + f" {i}", "z") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in ("hash", "size", "slice", "pattern", "row", "place", "_hash")}).repartition(4)
+    for own in (mixing.mix(d), mixing.mix(d, into="told").select("*", "told.*").drop("told")):
+        got = [r.asDict() for r in mixing.mix(d).collect()] if own.columns.count("size") == 1 else [dict(zip(["own" if i == d.columns.index("size") else c for i, c in enumerate(own.columns)], r)) for r in own.collect()]
+        assert len(got) == 90 and all(r["hash"] == "hash" and r["_hash"] == "_hash" and r.get("own", "size") == "size" for r in got)
+        for s in "xyz":
+            mine = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 10
+            assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in mine)
+
+
+def test_mixing_comes_near_the_targets(spark):
+    """Whole texts of the small table: each source within its smallest texts' size of its target."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(d).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    told = {r.doc_id: r for r in d.collect()}
+    size = Counter()
+    for r in told.values():
+        size[r.source] += words(r.text)
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    left, open_, want = 1.5 * size.total(), set(names), {}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    while open_:
+        full = {s for s in open_ if left * weight[s] / sum(weight[t] for t in open_) > 2 * size[s]}
+        if not full:
+            want |= {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+            break
+        want |= {s: 2 * size[s] for s in full}
+        left -= sum(want[s] for s in full)
+        open_ -= full
+    taken = Counter()
+    for r in rows:
+        assert r.size == words(told[r.doc_id].text) and r.source_size == size[r.source] and r.target == pytest.approx(want[r.source])
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.03 * want[s] for s in names)
+
+
+def test_flow_is_the_cheapest():
+    """Against every way to take tokens, on small networks."""
+    rng = random.Random(12)
+    for _ in range(30):
+        sizes, targets = [rng.randint(0, 3) for _ in range(3)], [rng.randint(0, 5) for _ in range(2)]
+        members = [rng.choice(((0,), (1,), (0, 1))) for _ in sizes]
+        cost = lambda take, size: max(0, take - size)
+        best = None
+        for take in itertools.product(*(range(2 * s + 1) for s in sizes)):
+            only = [sum(t for t, m in zip(take, members) if m == (j,)) for j in range(2)]
+            both = sum(t for t, m in zip(take, members) if m == (0, 1))
+            if only[0] <= targets[0] and only[1] <= targets[1] and sum(take) <= sum(targets) and both <= sum(targets) - sum(only):
+                key = (-sum(take), sum(cost(t, s) for t, s in zip(take, sizes)))
+                best = min(best, key) if best else key
+        got = mixing.route(list(zip(members, sizes)), targets, 2)
+        assert (-sum(got), sum(cost(t, s) for t, s in zip(got, sizes))) == best
+
+
 def test_fair_targets_and_flow():
     assert mixing.fair_targets([10, 10, 10], [3, 1, 2], 45, 2) == [20.0, pytest.approx(25 / 3), pytest.approx(50 / 3)]
     # A document of both sources serves the one that its other documents can't fill; nothing repeats before all is used.
@@ -112,6 +172,51 @@ def test_near_duplicates(spark):
     assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def brute_groups(rows, size, percent):
+    """(id, set size, smallest id linked) of every row: rows of equal sets are one node."""
+    key = lambda t: frozenset({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else ())) if (w := (t or "").lower().split()) else frozenset()
+    nodes = {}
+    for i, t in rows:
+        if i is not None and key(t):
+            nodes.setdefault(key(t), []).append(i)
+    names = list(nodes)
+    root = list(range(len(names)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in range(len(names)):
+        for b in range(a):
+            both = len(names[a] & names[b])
+            if 100 * both >= percent * (len(names[a]) + len(names[b]) - both):
+                root[find(a)] = find(b)
+    least = {}
+    for k, s in enumerate(names):
+        least[find(k)] = min(least.get(find(k), min(nodes[s])), *nodes[s])
+    of = {s: least[find(k)] for k, s in enumerate(names)}
+    return Counter((i, len(key(t)), of[key(t)] if i is not None and key(t) else i) for i, t in rows)
+
+
+def test_near_duplicates_where_ids_repeat(spark):
+    """Two texts an id, a near copy of each under other ids, null ids, exact copies, and a hot group of near copies."""
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    near = lambda w: [f"v{rng.randint(0, 9999)}" if k == 5 else x for k, x in enumerate(w)]
+    rows, n = [], 100
+    for i in range(30):
+        a, b = some(60), some(60)
+        rows += [(i, " ".join(a)), (i, " ".join(b)), (n, " ".join(near(a))), (n + 1, " ".join(near(b))), (None, " ".join(a))]
+        n += 2
+    hot = some(80)
+    rows += [(n + k, " ".join(near(hot) if k % 3 else hot)) for k in range(60)] + [(n + 1, ""), (n + 1, None), (3, "one two three four"), (3, "ONE two three four")]
+    d = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("id", "n", "k1", "bucket", "least", "x")}).repartition(4)
+    got = neardup.near_duplicates(d, shingle=3, percent=85).collect()
+    want = brute_groups(rows, 3, 85)
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.id is None or r.id == r.component_id) for r in got)
+    assert neardup.near_duplicates(empty(d)).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(9, 8), (8, 7), (7, 1), (3, 4), (4, 3), (5, 5), (None, 1)] + [(100 + i, 101 + i) for i in range(20)], "u long, v long")
     got = {r.id: r.component for r in components.components(edges).collect()}
