@@ -316,10 +316,28 @@ def test_top_k(spark):
     for q in range(0, 230, 50):
         best = sorted((-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints if i != q)[:5]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert sorted(map(tuple, got)) == want
+    assert sorted(tuple(r)[:4] for r in got) == want
     assert topk.top_k(frame.where("false"), frame.where("false")).count() == 0
 
 
+def test_top_k_prunes_and_ties(spark):
+    """On vectors with strong directions the bound ends the walks early, over many blocks; ties and repeats as told."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(3000, 16)) * 0.5 ** np.arange(16) * 4, 2)
+    x[100:140] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, None), (50, [None] * 16), (50, (x[50] + 9).tolist()), (7, x[8].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("block", "dims", "score", "floors")}).repartition(2)
+    got = topk.top_k(frame, frame.where("vec_id % 50 = 0"), candidates_per_block=700, queries_per_block=20).collect()
+    ints = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if v and v[0] is not None]
+    want = []
+    for q in range(0, 3000, 50):
+        mine = min(v.tolist() for i, v in ints if i == q)
+        best = sorted((-int(v @ mine), i) for i, v in ints if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(r)[:4] for r in got) == want
+    assert np.mean([r.scored for r in got]) < 0.35 * len(ints)
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/a>Home</a></ul></nav><article><h1>Big &amp; new</h1><p>First words here.\n  And more of them.<p>Second part, which ends.</p></article><div class=comments><p>Reader says hi.</p></div><footer>&copy; me</footer></body></html>"
     got = html.extract(spark.createDataFrame([(1, page, "k"), (2, None, "k"), (3, "", "k")], "page_id long, html string, text string")).collect()
