@@ -7,145 +7,173 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A paragraph is a line; lines of more than 16 words are cut after every 16th. The first 240 code points also count
-#: in runs of four words, so that short texts have more than one or two paragraphs.
-PARAGRAPH = r"\S++(?:[^\S\n]++\S++){0,15}"
-OPENING, OPENING_RUN = 240, r"\S++(?:\s++\S++){0,3}"
-TABLES, FIXED_CELLS = 3, 4
+#: A paragraph is a line; lines of more than 12 words are cut after every 12th. One rule for the whole text.
+PARAGRAPH = r"\S++(?:[^\S\n]++\S++){0,11}"
+TABLES = 3
 CHECK = 99
+KEYS = ["block", "place"]
 
 
 def paragraph_digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs; the empty array for null or blank text."""
-    text = F.coalesce(text, F.lit(""))
-    found = F.concat(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), F.regexp_extract_all(F.substring(text, 1, OPENING), F.lit(OPENING_RUN), F.lit(0)))
-    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def fingerprint(digests: Column) -> Column:
-    """The smallest sketch, written out: for each of 3 x 4 cells the count, the xor of digests, the xor of their
-    checks (16 bits). A function of the set of paragraphs alone."""
-    def cell(j: int, c: int) -> Column:
-        inside = F.filter(digests, lambda d: F.pmod(F.xxhash64(d, F.lit(j)), F.lit(FIXED_CELLS)) == c)
-        xor = lambda a, d: a.bitwiseXOR(d)
-        key = F.aggregate(inside, F.lit(0).cast("long"), xor)
-        check = F.aggregate(inside, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(F.xxhash64(d, F.lit(CHECK)))).bitwiseAND(F.lit(0xFFFF))
-        return F.concat_ws(".", F.size(inside).cast("string"), F.lower(F.hex(key)), F.lower(F.hex(check)))
+def width(size: Column) -> Column:
+    """Cells of each table in the sketch of so many digests: a power of two, so that a sketch folds to any narrower
+    one. The three tables have 0.75 to 1.5 cells a digest."""
+    return F.greatest(F.lit(4).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / 4))).cast("long"))
 
-    return F.concat_ws(":", F.size(digests).cast("string"), *(cell(j, c) for j in range(TABLES) for c in range(FIXED_CELLS)))
 
+def sketched(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, width, seed, cell, n, d, h): the sketch of each row's ``digests``, a row for each cell that is not empty:
+    how many digests it holds, their xor, the xor of their checks."""
+    item = rows.select(*by, "width", "seed", F.explode("digests").alias("d"))
+    cells = F.array(*_cells(F.col("d")))
+    return item.select(*by, "width", "seed", "d", F.xxhash64("d", F.lit(CHECK)).alias("h"), F.explode(cells).alias("cell")).groupBy(*by, "width", "seed", "cell").agg(
+        F.count("*").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("h").alias("h"))
 
-def _cells(digest: Column, width: Column) -> list[Column]:
+
+def _cells(digest: Column) -> list[Column]:
     """The digest's cell in each table: tables stand one after the other, each ``width`` cells wide."""
-    return [(F.pmod(F.xxhash64(digest, F.lit(j), F.col("seed")), width) + width * j).cast("long") for j in range(TABLES)]
+    return [(F.pmod(F.xxhash64(digest, F.lit(j), F.col("seed")), F.col("width")) + F.col("width") * j).cast("long") for j in range(TABLES)]
+
+
+def written_out(cells: Column, size: Column) -> Column:
+    """A sketch as text: the digests, then each cell's place, count, xor and check (16 bits), in hexadecimal."""
+    low = lambda x: F.lower(F.hex(x))
+    one = lambda c: F.concat_ws(".", low(c["cell"]), low(c["n"]), low(c["d"]), low(c["h"].bitwiseAND(F.lit(0xFFFF))))
+    return F.concat_ws(":", low(size.cast("long")), low(width(size)), F.array_join(F.transform(F.array_sort(cells), one), ":"))
 
 
-def peel(pairs: DataFrame, keys: list[str], rounds: int = 5) -> DataFrame:
-    """(keys, differing, left): how many digests peeling recovers from the difference of two sketches, and how
-    many cells it leaves; pairs without any difference have no row.
+def peel(cells: DataFrame, by: list[str], rounds: int = 5) -> DataFrame:
+    """(by, differing, left): of the difference of two sketches, how many digests peeling recovers, and how many cells
+    it leaves; pairs without any difference have no row.
 
-    ``pairs``: keys, ``a`` and ``b`` (digests), ``width`` (cells of a table), ``seed``. Rows must be dealt by
-    a subset of ``keys``; then nothing below moves. A cell whose count is 1 or -1 and whose check fits its digest is
-    pure. Tables take turns, as in one table a digest has one cell and so is recovered once: it leaves its
-    own cell, and its other two cells get it with the opposite sign.
+    ``cells``: by, width, seed, cell, s, d, h, dealt by a subset of ``by``; then nothing below moves. A cell whose
+    count is 1 or -1 and whose check fits its digest is pure. Tables take turns, as in one table a digest has one
+    cell and so is recovered once: it leaves its own cell, and its other two cells get it with the opposite sign.
     """
-    signed = F.concat(F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).cast("long").alias("s"))), F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).cast("long").alias("s"))))
-    by = [*keys, "width", "seed"]
-    item = pairs.select(*by, F.explode(signed).alias("i")).select(*by, "i.d", "i.s")
-    state = item.select(*by, "s", "d", F.xxhash64("d", F.lit(CHECK)).alias("h"), F.explode(F.array(*_cells(F.col("d"), F.col("width")))).alias("cell"))
+    by = [*by, "width", "seed"]
+    one = lambda cell, s, d, h: F.struct(cell.alias("cell"), s.alias("s"), d.alias("d"), h.alias("h"))
+    zero = F.lit(0).cast("long")
 
     def summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*by, "cell").agg(F.sum("s").alias("s"), F.bit_xor("d").alias("d"), F.bit_xor("h").alias("h")).where("s <> 0 or d <> 0 or h <> 0")
 
-    state = summed(state)
+    state = summed(cells)
     for k in range(rounds * TABLES):
         j = k % TABLES
         pure = (F.floor(F.col("cell") / F.col("width")) == j) & (F.abs("s") == 1) & (F.xxhash64("d", F.lit(CHECK)) == F.col("h")) & (F.col("cell") >= 0)
-        one = lambda cell, s, d, h: F.struct(cell.alias("cell"), s.alias("s"), d.alias("d"), h.alias("h"))
-        zero = F.lit(0).cast("long")
         taken = [one(F.lit(-1).cast("long"), F.lit(1).cast("long"), zero, zero)]
-        taken += [one(c, -F.col("s"), F.col("d"), F.col("h")) for i, c in enumerate(_cells(F.col("d"), F.col("width"))) if i != j]
+        taken += [one(c, -F.col("s"), F.col("d"), F.col("h")) for i, c in enumerate(_cells(F.col("d"))) if i != j]
         own = F.array(one(F.col("cell"), F.col("s"), F.col("d"), F.col("h")))
         state = summed(state.select(*by, F.explode(F.when(pure, F.array(*taken)).otherwise(own)).alias("r")).select(*by, "r.cell", "r.s", "r.d", "r.h"))
-    return state.groupBy(*keys).agg(
+    return state.groupBy(*by[:-2]).agg(
         F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("s"))), F.lit(0)).alias("differing"),
         F.count_if(F.col("cell") >= 0).alias("left"),
     )
 
 
-def successors(docs: DataFrame, id_col: str, text: str, rows_per_block: int = 64, most_blocks: int = 100_000) -> DataFrame:
+def successors(docs: DataFrame, id_col: str, text: str, rows_per_block: int = 512, quantiles: int = 1024) -> DataFrame:
     """(block, place, id, text, next): every row with the text of the row after it by id (ties: by hash of the
     text); after the last comes the first. Null ids come first.
 
-    Ids are dealt into blocks of equal id ranges. Each block also gets the first row of the next block, so no
-    order over all rows is needed: texts are shuffled once, by block.
+    Ids are dealt into blocks: equal ranges between quantiles of the ids, so that neither gaps nor far-off ids fill
+    one; null ids by the text's hash. Each block also gets the first row of the next block, so no order over all rows
+    is needed: texts are shuffled once, by block.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lo, hi, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    lo, hi = (lo or 0), (hi or 0)
-    blocks = max(1, min(most_blocks, n // rows_per_block))
-    width = max(1.0, (float(hi) - float(lo) + 1) / blocks)
-    rows = rows.withColumns({
-        "block": F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(lo))) / F.lit(width)).cast("int"), F.lit(0)),
-        "key": F.coalesce("id", F.lit(-(2**63)).cast("long")), "tie": F.xxhash64("text"),
-    })
-    # At most most_blocks narrow rows: a proven bound for the window and the broadcast.
-    firsts = rows.groupBy("block").agg(F.min("key").alias("key"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    shares = F.array(*(F.lit(k / quantiles) for k in range(quantiles + 1)))
+    n, nulls, bounds = rows.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.percentile_approx("id", shares, 20 * quantiles)).first()
+    bounds = sorted(set(bounds or [0]))
+    first = -(-nulls // rows_per_block)
+    each = max(1, -(-n // (rows_per_block * len(bounds))))
+    ends = [*bounds[1:], bounds[-1] + 1]
+    lo, hi = (F.array(*(F.lit(b).cast("long") for b in x)) for x in (bounds, ends))
+    tie = F.xxhash64("text")
+    rows = rows.withColumn("bucket", F.greatest(F.size(F.filter(lo, lambda b: b <= F.col("id"))) - 1, F.lit(0)))
+    a, b = (F.get(x, F.col("bucket")).cast("double") for x in (lo, hi))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 1e-9), (F.col("id").cast("double") - a) / F.greatest(b - a, F.lit(1.0))))
+    block = F.when(F.col("id").isNull(), F.floor((tie / F.lit(2.0**64) + 0.5) * first)).otherwise(first + F.col("bucket") * each + F.floor(inside * each)).cast("long")
+    rows = rows.withColumns({"block": block, "key": F.coalesce("id", F.lit(-(2**63)).cast("long")), "tie": tie}).drop("bucket")
+    # A narrow row for each block.
+    firsts = rows.groupBy("block").agg(F.min(F.struct("key", "tie")).alias("f"))
     order = Window.orderBy("block")
-    firsts = firsts.withColumn("to", F.coalesce(F.lag("block").over(order), F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    extra = rows.join(F.broadcast(firsts), ["block", "key"]).groupBy("to").agg(F.min("tie").alias("tie"), F.min_by("text", "tie").alias("text"), F.min_by("id", "tie").alias("id"))
+    firsts = firsts.withColumn("to", F.coalesce(F.lag("block").over(order), F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("block", "f.key", "f.tie", "to")
+    extra = rows.join(firsts, ["block", "key", "tie"]).groupBy("to").agg(F.min("tie").alias("tie"), F.first("text").alias("text"), F.first("id").alias("id"))
     both = rows.select("block", "id", "key", "tie", "text", F.lit(False).alias("copy")).unionByName(
         extra.select(F.col("to").alias("block"), "id", F.lit(0).cast("long").alias("key"), "tie", "text", F.lit(True).alias("copy")))
     w = Window.partitionBy("block").orderBy("copy", "key", "tie")
     return both.withColumns({"next": F.lead("text").over(w), "place": F.row_number().over(w)}).where("not copy").select("block", "place", "id", "text", "next")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", attempts: int = 12) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", first_rounds: int = 3, rows_per_block: int = 512) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The edited text has the last quarter of its code points replaced by as many of the next document's first.
-    Likeness is |both| / |either| of the paragraph sets, from their sizes and the number of digests that peeling
-    the sketches' difference recovers; two texts without paragraphs are alike (1). The first sketches have
-    more cells than the two sets have digests; pairs that leave a cell unpeeled are tried again with sketches twice as
-    wide and another seed, until none is left. Null text counts as empty; repeated rows each have a row; null
-    ids come first; columns beside the two are not read.
+    A fingerprint is the text's sketch, written out: its width is that of the size class of its paragraphs. Likeness
+    is |both| / |either| of the paragraph sets, from their sizes and the number of digests that peeling recovers from
+    the difference of the two fingerprints, the wider folded to the narrower. Where a cell stays unpeeled, both sides
+    are sketched anew, twice as wide and by another seed, until none is left. Two texts without paragraphs are alike
+    (1).
+
+    Null text counts as empty; repeated rows each have a row, and follow one another; null ids come first; an empty
+    table gives no rows; texts have any length; columns beside the two are not read, whatever their names.
     """
     spark = docs.sparkSession
-    s = successors(docs, id_col, text)
+    s = successors(docs, id_col, text, rows_per_block)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     s = s.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next"), F.lit(1), quarter)))
-    s = s.select("block", "place", "id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *(paragraph_digests(F.col(c)).alias(a) for c, a in (("text", "own"), ("edited", "changed"), ("next", "after"))))
-    s = s.withColumns({"fingerprint": fingerprint(F.col("own")), "edited_fingerprint": fingerprint(F.col("changed"))})
-    s = materialize(s, "sketches")
-    keys = ["block", "place", "other"]
-    todo = s.select("block", "place", F.explode(F.array(F.struct(F.lit("edited").alias("other"), F.col("changed").alias("b")), F.struct(F.lit("next").alias("other"), F.col("after").alias("b")))).alias("p"), F.col("own").alias("a")).select("block", "place", "p.other", "a", "p.b")
-    wide = lambda t: F.greatest(F.ceil((F.size("a") + F.size("b")) * F.when(F.col("other") == "edited", 0.5).otherwise(0.8) * 2**t), F.lit(8)).cast("long")
-    # Few pairs to a task, so that its cells fit in memory; without the number, Spark would merge the partitions by
-    # the size of the digests, which is a small part of that of the cells.
-    pairs_a_task, rows = 5000, 2 * s.count()
-    solved, waiting = None, todo
-    for t in range(attempts):
-        tried = peel(waiting.withColumns({"width": wide(t), "seed": F.lit(t)}).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // pairs_a_task), "block"), keys)
-        found = materialize(tried, "peeled")
-        done = found.where("left = 0").select(*keys, "differing")
-        solved = done if solved is None else solved.unionByName(done)
-        failed = found.where("left > 0").select(*keys)
-        rows = failed.count()
-        if not rows:
-            break
-        # The blocks of the failed pairs are at most most_blocks numbers, a proven bound; they keep the digests of
-        # all other blocks out of the shuffle.
-        waiting = todo.join(F.broadcast(failed.select("block").distinct()), "block", "left_semi").join(failed, keys, "left_semi")
-    else:
-        raise RuntimeError("sketches did not peel")
-    by = solved.groupBy("block", "place").agg(F.max(F.when(F.col("other") == "edited", F.col("differing"))).alias("e"), F.max(F.when(F.col("other") == "next", F.col("differing"))).alias("n"))
+    s = s.select(*KEYS, "id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *(paragraph_digests(F.col(c)).alias(a) for c, a in (("text", "own"), ("edited", "changed"), ("next", "after"))))
+    s = materialize(s, "digests")
+    sides = ("own", "changed", "after")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), s.count() // 2500)
+    versions = s.repartition(tasks, "block").select(*KEYS, F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("digests")) for c in sides))).alias("v")).select(*KEYS, "v.*")
+    versions = versions.withColumns({"width": width(F.size("digests")), "seed": F.lit(0)})
+    # Every version's sketch on its own; what is subtracted and what is returned are these.
+    cell = F.struct("cell", "n", "d", "h")
+    sketches = sketched(versions, [*KEYS, "side"]).groupBy(*KEYS).agg(*(F.collect_list(F.when(F.col("side") == c, cell)).alias(c) for c in sides))
+    sketches = materialize(sketches, "sketches")
+    pair = [*KEYS, "other"]
+    sizes = s.select(*KEYS, *(width(F.size(c)).alias(f"w_{c}") for c in sides))
+
+    def difference(a: str, b: str) -> DataFrame:
+        """The cells of a's sketch less those of b's, at the narrower width."""
+        narrow = F.least(F.col(f"w_{a}"), F.col(f"w_{b}"))
+        side = lambda c, sign: F.transform(F.col(c), lambda x: F.struct((F.floor(x["cell"] / F.col(f"w_{c}")) * narrow + F.pmod(x["cell"], F.col(f"w_{c}")) % narrow).cast("long").alias("cell"), (x["n"] * sign).alias("s"), x["d"].alias("d"), x["h"].alias("h")))
+        return met.select(*KEYS, F.lit(b).alias("other"), narrow.alias("width"), F.lit(0).alias("seed"), F.explode(F.concat(side(a, 1), side(b, -1))).alias("c")).select(*pair, "width", "seed", "c.*")
+
+    met = sketches.join(sizes, KEYS).repartition(tasks, "block")
+    tried = peel(difference("own", "changed").unionByName(difference("own", "after")), pair, first_rounds)
+    found = materialize(tried, "peeled")
+    solved = [found.where("left = 0").select(*pair, "differing")]
+    failed = found.where("left > 0").select(*pair)
+    t = 1
+    while rows := failed.count():
+        again = failed.join(s.select(*KEYS, *sides), KEYS).withColumn("b", F.when(F.col("other") == "changed", F.col("changed")).otherwise(F.col("after")))
+        most = F.greatest(width(F.size("own")), width(F.size("b"))) * 2**t
+        again = again.withColumns({"width": most.cast("long"), "seed": F.lit(t)}).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 5000), "block")
+        both = again.select(*pair, "width", "seed", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("own").alias("digests")), F.struct(F.lit(-1).alias("sign"), F.col("b").alias("digests")))).alias("v")).select(*pair, "width", "seed", "v.*")
+        cells = sketched(both, [*pair, "sign"]).select(*pair, "width", "seed", "cell", (F.col("sign") * F.col("n")).alias("s"), "d", "h")
+        found = materialize(peel(cells, pair), "peeled")
+        solved.append(found.where("left = 0").select(*pair, "differing"))
+        failed = found.where("left > 0").select(*pair)
+        t += 1
+    told = solved[0]
+    for more in solved[1:]:
+        told = told.unionByName(more)
+    by = told.groupBy(*KEYS).agg(F.max(F.when(F.col("other") == "changed", F.col("differing"))).alias("e"), F.max(F.when(F.col("other") == "after", F.col("differing"))).alias("n"))
     # Lengths of the three sets are all that the likeness needs of them.
-    flat = s.select("block", "place", "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *(F.size(c).alias(c) for c in ("own", "changed", "after")))
+    flat = s.select(*KEYS, "id", "n_chars", "edited_sha256", *(F.size(c).alias(c) for c in sides))
+    none = F.array().cast(sketches.schema["own"].dataType)
+    texts = sketches.select(*KEYS, F.col("own").alias("c_own"), F.col("changed").alias("c_changed"))
 
     def like(other: str, differing: str) -> Column:
         total, d = F.col("own") + F.col(other), F.coalesce(F.col(differing), F.lit(0))
         return F.when(total == 0, 1.0).otherwise((total - d) / (total + d))
 
-    return flat.join(by, ["block", "place"], "left").select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("changed", "e").alias("near_edited"), like("after", "n").alias("near_next"))
+    return flat.join(texts, KEYS, "left").join(by, KEYS, "left").select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", written_out(F.coalesce("c_own", none), F.col("own")).alias("fingerprint"), written_out(F.coalesce("c_changed", none), F.col("changed")).alias("edited_fingerprint"),
+        like("changed", "e").alias("near_edited"), like("after", "n").alias("near_next"))

@@ -13,6 +13,7 @@ from html import unescape
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -433,19 +434,58 @@ def test_quality(spark):
     assert quality.score(spark.createDataFrame([(1, None)], SCHEMA), none).first().keep
 
 
+def sketch_of(text):
+    """What a fingerprint says: {cell: (count, xor, check)} and the table width."""
+    size, wide, *cells = text.split(":")
+    return int(size, 16), int(wide, 16), {int(c, 16): (int(n, 16), int(d, 16), int(h, 16)) for c, n, d, h in (x.split(".") for x in cells if x)}
+
+
+def brute_fingerprints(rows):
+    """(id, length, sha, both likenesses) of rows in their order, by plain sets."""
+    parts = lambda t: set(re.findall(r"\S+(?:[^\S\n]+\S+){0,11}", t, re.A))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    out = []
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), len(parts(t)), round(like(parts(t), parts(edited)), 9), round(like(parts(t), parts(after)), 9)))
+    return out
+
+
+def told_fingerprints(got):
+    return Counter((r.doc_id, r.n_chars, r.edited_sha256, sketch_of(r.fingerprint)[0], round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
+
+
 def test_fingerprints(docs):
     got = sketch.fingerprints(docs.where("doc_id is not null and doc_id <> 6")).orderBy("doc_id").collect()
     rows = sorted((i, t or "") for i, t in AWKWARD if i not in (None, 6))
-    parts = lambda t: set(re.findall(r"\S+(?:[^\S\n]+\S+){0,15}", t, re.A)) | set(re.findall(r"\S+(?:\s+\S+){0,3}", t[:240], re.A))
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    for k, ((i, t), r) in enumerate(zip(rows, got)):
-        after = rows[(k + 1) % len(rows)][1]
-        q = len(t) // 4
-        edited = t[: len(t) - q] + after[:q]
-        assert (r.doc_id, r.n_chars, r.edited_sha256) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.near_edited == pytest.approx(like(parts(t), parts(edited))) and r.near_next == pytest.approx(like(parts(t), parts(after)))
+    assert told_fingerprints(got) == Counter(brute_fingerprints(rows))
     by = {r.doc_id: r.fingerprint for r in got}
     assert by[1] == by[2] != by[7] and by[3] == by[4]
+    # Every row of the awkward table, those without and with repeated ids too.
+    assert Counter((r.doc_id, r.n_chars) for r in sketch.fingerprints(docs).collect()) == Counter((i, len(t or "")) for i, t in AWKWARD)
+    assert sketch.fingerprints(empty(docs)).count() == 0
+
+
+def test_fingerprints_far_ids_repeats_and_retries(spark):
+    """Long and short neighbours need wider sketches; ids lie far apart or are equal; many blocks."""
+    rng = random.Random(10)
+    text = lambda n: "\n".join(" ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 15))) for _ in range(n))
+    rows = [(i, text(rng.choice((0, 1, 5, 40)))) for i in range(60)] + [(10**15 + i, text(9)) for i in range(30)] + [(-(2**60), text(300)), (2**62, text(2))]
+    rows += [(500, t) for t in sorted({text(6) for _ in range(6)}, key=lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63))]
+    rows.sort(key=lambda r: r[0])
+    d = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("block", "place", "id", "own", "next")}).repartition(3)
+    got = sketch.fingerprints(d, rows_per_block=4).collect()
+    assert told_fingerprints(got) == Counter(brute_fingerprints(rows))
+    # A fingerprint is a sketch: subtracted from its neighbour's and peeled by hand, it gives the same likeness.
+    for r in got:
+        (n, w, a), (m, v, b) = sketch_of(r.fingerprint), sketch_of(r.edited_fingerprint)
+        assert sum(c[0] for c in a.values()) == 3 * n and sum(c[0] for c in b.values()) == 3 * m
+        diff = Counter()
+        for sign, wide, cells in ((1, w, a), (-1, v, b)):
+            for c, (k, _, _) in cells.items():
+                diff[c // wide, c % wide % min(w, v)] += sign * k
+        assert sum(map(abs, diff.values())) / 3 <= n + m - 2 * r.near_edited * (n + m) / (1 + r.near_edited) + 1e-6
 
 
 def test_main_text_of_the_given_pages(spark):
