@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -87,36 +88,26 @@ class Chunks(dict):
         return ids
 
 
-def cuts(n: int, capacity: int, slack: float = 0.03) -> list[tuple[int, int]]:
-    """(length, class) of the pieces that ``n`` ids are cut into; class k takes lengths up to capacity // k.
-
-    Full sequences first. A rest that nearly fills a share of its class stays whole; else the largest share
-    that it covers is cut off, so that the piece fits exactly.
-    """
-    out = [(capacity, 1)] * (n // capacity)
+def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(length, class) of what ``n`` ids take: full sequences, and the rest whole. Class k takes lengths from above
+    capacity // (k + 1) up to capacity // k."""
     rest = n % capacity
-    while rest:
-        k = capacity // rest
-        share = capacity // k
-        if share - rest <= slack * share or rest <= capacity // 32:
-            out.append((rest, k))
-            break
-        k = -(-capacity // rest)
-        out.append((capacity // k, k))
-        rest -= capacity // k
-    return out
+    return [(capacity, 1)] * (n // capacity) + ([(rest, capacity // rest)] if rest else [])
 
 
 class HarmonicBins:
-    """One worker's open bins, one for each class: class k's bin closes when it has k pieces.
+    """One worker's open bins, one for each class: class k's bin is done when it has k documents.
 
-    Bins that are open at the end are packed anew by first fit, longest first (fewer pieces than the sum of
-    the classes), so that a worker pads a sequence or two.
+    What a done bin has left is its gap. Documents stay whole until the gaps could hold one: then that one is cut over
+    them. So little is padded, most documents are in one piece, and no more bins wait than a document can fill.
+    Gaps below a 128th of the capacity stay. Bins that are open at the end are packed anew by first fit, longest first (fewer
+    pieces than the sum of the classes), so that a worker pads a sequence or two.
     """
 
     def __init__(self, capacity: int, first_id: int):
-        self.capacity, self.next = capacity, first_id
+        self.capacity, self.next, self.least, self.room = capacity, first_id, capacity // 128 + 1, 0
         self.open: dict[int, list[list]] = {}
+        self.gaps: deque[tuple[int, list[list]]] = deque()
 
     def close(self, pieces: list[list]) -> list[tuple]:
         at, out = 0, []
@@ -126,22 +117,45 @@ class HarmonicBins:
         self.next += 1
         return out
 
-    def add(self, k: int, piece: list) -> list[tuple]:
-        held = self.open.setdefault(k, [])
-        held.append(piece)
-        return self.close(self.open.pop(k)) if len(held) == k else []
+    def done(self, pieces: list[list], gap: int) -> list[tuple]:
+        if gap < self.least:
+            return self.close(pieces)
+        self.gaps.append((gap, pieces))
+        self.room += gap
+        return []
+
+    def add(self, piece: Callable[[int, int], list], n: int) -> list[tuple]:
+        """Rows of the sequences that a document of ``n`` ids completes; ``piece(start, length)`` makes a piece of it."""
+        out, at = [], 0
+        for length, k in cuts(n, self.capacity):
+            if length == self.capacity:
+                out += self.close([piece(at, length)])
+                at += length
+            elif length <= self.room:
+                while at < n:
+                    gap, pieces = self.gaps.popleft()
+                    self.room -= gap
+                    take = min(gap, n - at)
+                    out += self.done([*pieces, piece(at, take)], gap - take)
+                    at += take
+            else:
+                held = self.open.setdefault(k, [])
+                held.append(piece(at, length))
+                if len(held) == k:
+                    del self.open[k]
+                    out += self.done(held, self.capacity - sum(p[2] for p in held))
+        return out
 
     def end(self) -> list[tuple]:
-        bins: list[tuple[int, list]] = []
+        bins = [(self.capacity - gap, pieces) for gap, pieces in self.gaps]
         for piece in sorted((p for held in self.open.values() for p in held), key=lambda p: (-p[2], p[0] is None, p[0], p[1])):
             for i, (used, pieces) in enumerate(bins):
                 if used + piece[2] <= self.capacity:
-                    pieces.append(piece)
-                    bins[i] = (used + piece[2], pieces)
+                    bins[i] = (used + piece[2], [*pieces, piece])
                     break
             else:
                 bins.append((piece[2], [piece]))
-        self.open = {}
+        self.open, self.gaps = {}, deque()
         return [row for _, pieces in bins for row in self.close(pieces)]
 
 
@@ -149,7 +163,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", capacit
     """A row for each piece of each document: ids from ``start``, ``length`` of them, at ``offset`` of ``sequence_id``.
 
     Each worker packs its own documents, without a shuffle. Null and empty texts are one piece, the end id
-    alone; repeated rows are packed each on its own; a null id stays null; columns beside the two are not read.
+    alone; repeated rows are packed each on its own; a null id stays null; an empty table gives no rows; texts of any
+    length fill sequences of their own, but for the rest; columns beside the two are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
@@ -168,10 +183,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", capacit
             rows: list[tuple] = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = ids.encode(t or "") + end
-                n, at = len(data) // 4, 0
-                for length, k in cuts(n, capacity):
-                    rows += bins.add(k, [doc, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]), n])
-                    at += length
+                n = len(data) // 4
+                rows += bins.add(lambda at, length: [doc, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]), n], n)
             yield batch(rows)
         yield batch(bins.end())
 
