@@ -112,11 +112,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, *, least_df: in
 
 def train(docs: DataFrame, ratings: DataFrame, grade: Column, *, levels: int, id_col: str = "doc_id", text: str = "text", bound: int = 8000) -> OrdinalModel:
     """Fits on at most ``bound`` rated documents, those of the smallest hashed ids (a documented bound; the
-    features of that many documents are all that reaches the driver). Rows without id, text or grade don't
-    count; with no rated document of two grades, a model that gives every document the top grade results.
+    features of that many documents are all that reaches the driver). Rows without id, text or grade, or of a grade
+    outside 0 to ``levels`` - 1, don't count; an id rated more than once has its lowest grade; with no rated document of two grades, a model that gives every document the top grade results.
     """
     small_batches(docs.sparkSession)
-    rated = ratings.select(F.col(id_col).alias("_id"), grade.cast("int").alias("_grade")).where("_id is not null and _grade is not null")
+    rated = ratings.select(F.col(id_col).alias("_id"), grade.cast("int").alias("_grade")).where(F.col("_id").isNotNull() & F.col("_grade").between(0, levels - 1))
     chosen = rated.groupBy("_id").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(bound)
     # At most bound rows: a proven size.
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").where("_text is not null").select("_id", "_grade", "_text")
@@ -136,7 +136,8 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, *, levels: int, id
 
 def score(docs: DataFrame, model: OrdinalModel, *, text: str = "text", keep_at: float = 0.5) -> DataFrame:
     """Adds ``expected_grade``, ``tail_prob`` (of the top grade) and ``keep`` (tail_prob >= keep_at) to every
-    row; replaces columns so named. Null text is scored as empty. Rows are independent: no shuffle."""
+    row; replaces columns so named. Null text is scored as empty; repeated rows each; an empty table gives no rows; texts
+    have any length. Rows are independent: no shuffle."""
     small_batches(docs.sparkSession)
     docs = docs.drop(*(c for c in ("expected_grade", "tail_prob", "keep") if c != text))
     names = docs.columns
