@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: dict[str, str] = {}
+_scratch: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: lineage ends here, so a lost
     executor costs a re-read and not a recomputation. Removed when the driver's JVM ends."""
     spark = df.sparkSession
@@ -52,9 +55,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._siteloom_path = path
+    if _scratch and not keep:
+        _scratch[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is materialized inside and not kept is removed at the end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what :func:`materialize` wrote; nothing may read it afterwards."""
     path = getattr(df, "_siteloom_path", None)
