@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A paragraph is a line; lines of more than 12 words are cut after every 12th. One rule for the whole text.
-PARAGRAPH = r"\S++(?:[^\S\n]++\S++){0,11}"
+#: A paragraph is a line; lines of more than 16 words are cut after every 16th. One rule for the whole text.
+PARAGRAPH = r"\S++(?:[^\S\n]++\S++){0,15}"
 TABLES = 3
 CHECK = 99
 KEYS = ["block", "place"]
@@ -27,10 +27,10 @@ def width(size: Column) -> Column:
 
 def sketched(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, width, seed, cell, n, d, h): the sketch of each row's ``digests``, a row for each cell that is not empty:
-    how many digests it holds, their xor, the xor of their checks."""
+    how many digests it holds, their xor, the xor of their checks (32 bits)."""
     item = rows.select(*by, "width", "seed", F.explode("digests").alias("d"))
     cells = F.array(*_cells(F.col("d")))
-    return item.select(*by, "width", "seed", "d", F.xxhash64("d", F.lit(CHECK)).alias("h"), F.explode(cells).alias("cell")).groupBy(*by, "width", "seed", "cell").agg(
+    return item.select(*by, "width", "seed", "d", F.hash("d", F.lit(CHECK)).alias("h"), F.explode(cells).alias("cell")).groupBy(*by, "width", "seed", "cell").agg(
         F.count("*").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("h").alias("h"))
 
 
@@ -40,18 +40,18 @@ def _cells(digest: Column) -> list[Column]:
 
 
 def written_out(cells: Column, size: Column) -> Column:
-    """A sketch as text: the digests, then each cell's place, count, xor and check (16 bits), in hexadecimal."""
+    """A sketch as text: the digests, the width, then each cell's place, count, xor and check, in hexadecimal."""
     low = lambda x: F.lower(F.hex(x))
-    one = lambda c: F.concat_ws(".", low(c["cell"]), low(c["n"]), low(c["d"]), low(c["h"].bitwiseAND(F.lit(0xFFFF))))
+    one = lambda c: F.concat_ws(".", low(c["cell"]), low(c["n"]), low(c["d"]), low(c["h"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))))
     return F.concat_ws(":", low(size.cast("long")), low(width(size)), F.array_join(F.transform(F.array_sort(cells), one), ":"))
 
 
-def peel(cells: DataFrame, by: list[str], rounds: int = 5) -> DataFrame:
+def peel(cells: DataFrame, by: list[str], rounds: int = 4) -> DataFrame:
     """(by, differing, left): of the difference of two sketches, how many digests peeling recovers, and how many cells
     it leaves; pairs without any difference have no row.
 
     ``cells``: by, width, seed, cell, s, d, h, dealt by a subset of ``by``; then nothing below moves. A cell whose
-    count is 1 or -1 and whose check fits its digest is pure. Tables take turns, as in one table a digest has one
+    count is 1 or -1, and whose check and place fit its digest, is pure. Tables take turns, as in one table a digest has one
     cell and so is recovered once: it leaves its own cell, and its other two cells get it with the opposite sign.
     """
     by = [*by, "width", "seed"]
@@ -64,8 +64,8 @@ def peel(cells: DataFrame, by: list[str], rounds: int = 5) -> DataFrame:
     state = summed(cells)
     for k in range(rounds * TABLES):
         j = k % TABLES
-        pure = (F.floor(F.col("cell") / F.col("width")) == j) & (F.abs("s") == 1) & (F.xxhash64("d", F.lit(CHECK)) == F.col("h")) & (F.col("cell") >= 0)
-        taken = [one(F.lit(-1).cast("long"), F.lit(1).cast("long"), zero, zero)]
+        pure = (F.abs("s") == 1) & (F.hash("d", F.lit(CHECK)) == F.col("h")) & (F.col("cell") == _cells(F.col("d"))[j])
+        taken = [one(F.lit(-1).cast("long"), F.lit(1).cast("long"), zero, zero.cast("int"))]
         taken += [one(c, -F.col("s"), F.col("d"), F.col("h")) for i, c in enumerate(_cells(F.col("d"))) if i != j]
         own = F.array(one(F.col("cell"), F.col("s"), F.col("d"), F.col("h")))
         state = summed(state.select(*by, F.explode(F.when(pure, F.array(*taken)).otherwise(own)).alias("r")).select(*by, "r.cell", "r.s", "r.d", "r.h"))
@@ -76,8 +76,8 @@ def peel(cells: DataFrame, by: list[str], rounds: int = 5) -> DataFrame:
 
 
 def successors(docs: DataFrame, id_col: str, text: str, rows_per_block: int = 512, quantiles: int = 1024) -> DataFrame:
-    """(block, place, id, text, next): every row with the text of the row after it by id (ties: by hash of the
-    text); after the last comes the first. Null ids come first.
+    """(block, place, copy, id, text, next): every row with the text of the row after it by id (ties: by hash of the
+    text); after the last comes the first. Null ids come first. The last row of a block is a copy of the next one's first.
 
     Ids are dealt into blocks: equal ranges between quantiles of the ids, so that neither gaps nor far-off ids fill
     one; null ids by the text's hash. Each block also gets the first row of the next block, so no order over all rows
@@ -105,7 +105,7 @@ def successors(docs: DataFrame, id_col: str, text: str, rows_per_block: int = 51
     both = rows.select("block", "id", "key", "tie", "text", F.lit(False).alias("copy")).unionByName(
         extra.select(F.col("to").alias("block"), "id", F.lit(0).cast("long").alias("key"), "tie", "text", F.lit(True).alias("copy")))
     w = Window.partitionBy("block").orderBy("copy", "key", "tie")
-    return both.withColumns({"next": F.lead("text").over(w), "place": F.row_number().over(w)}).where("not copy").select("block", "place", "id", "text", "next")
+    return both.withColumns({"next": F.lead("text").over(w), "place": F.row_number().over(w)}).select("block", "place", "copy", "id", "text", "next")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", first_rounds: int = 3, rows_per_block: int = 512) -> DataFrame:
@@ -126,54 +126,59 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     s = s.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next"), F.lit(1), quarter)))
-    s = s.select(*KEYS, "id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *(paragraph_digests(F.col(c)).alias(a) for c, a in (("text", "own"), ("edited", "changed"), ("next", "after"))))
+    s = s.select(*KEYS, "copy", "id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("changed"))
     s = materialize(s, "digests")
-    sides = ("own", "changed", "after")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), s.count() // 2500)
-    versions = s.repartition(tasks, "block").select(*KEYS, F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("digests")) for c in sides))).alias("v")).select(*KEYS, "v.*")
-    versions = versions.withColumns({"width": width(F.size("digests")), "seed": F.lit(0)})
-    # Every version's sketch on its own; what is subtracted and what is returned are these.
+    sides = ("own", "changed")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Few rows to a task, so that its cells fit in memory; without the number, Spark would merge the partitions by
+    # the size of the digests, which is a small part of that of the cells.
+    dealt = s.repartition(max(least, s.count() // 2500), "block")
+    # Every version's sketch on its own: what is subtracted and what is returned are these.
+    versions = dealt.select(*KEYS, "copy", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("digests")) for c in sides))).alias("v")).select(*KEYS, "copy", "v.*")
     cell = F.struct("cell", "n", "d", "h")
-    sketches = sketched(versions, [*KEYS, "side"]).groupBy(*KEYS).agg(*(F.collect_list(F.when(F.col("side") == c, cell)).alias(c) for c in sides))
-    sketches = materialize(sketches, "sketches")
+    size = lambda c: F.coalesce(F.max(F.when(F.col("side") == c, F.col("size"))), F.lit(0)).alias(f"n_{c}")
+    versions = versions.withColumns({"size": F.size("digests"), "width": width(F.size("digests")), "seed": F.lit(0), "digests": F.when(F.size("digests") > 0, F.col("digests")).otherwise(F.array(F.lit(None).cast("long")))})
+    sketches = sketched(versions, [*KEYS, "copy", "side", "size"]).groupBy(*KEYS, "copy").agg(*(F.collect_list(F.when((F.col("side") == c) & (F.col("size") > 0), cell)).alias(c) for c in sides), *map(size, sides))
     pair = [*KEYS, "other"]
-    sizes = s.select(*KEYS, *(width(F.size(c)).alias(f"w_{c}") for c in sides))
-
-    def difference(a: str, b: str) -> DataFrame:
-        """The cells of a's sketch less those of b's, at the narrower width."""
-        narrow = F.least(F.col(f"w_{a}"), F.col(f"w_{b}"))
-        side = lambda c, sign: F.transform(F.col(c), lambda x: F.struct((F.floor(x["cell"] / F.col(f"w_{c}")) * narrow + F.pmod(x["cell"], F.col(f"w_{c}")) % narrow).cast("long").alias("cell"), (x["n"] * sign).alias("s"), x["d"].alias("d"), x["h"].alias("h")))
-        return met.select(*KEYS, F.lit(b).alias("other"), narrow.alias("width"), F.lit(0).alias("seed"), F.explode(F.concat(side(a, 1), side(b, -1))).alias("c")).select(*pair, "width", "seed", "c.*")
-
-    met = sketches.join(sizes, KEYS).repartition(tasks, "block")
-    tried = peel(difference("own", "changed").unionByName(difference("own", "after")), pair, first_rounds)
-    found = materialize(tried, "peeled")
+    # The next document's sketch is its own one: a block's last row is the next block's first.
+    w = Window.partitionBy("block").orderBy("place")
+    met = sketches.withColumns({"after": F.lead("own").over(w), "n_after": F.lead("n_own").over(w)}).where("not copy")
+
+    def difference(b: str) -> Column:
+        """The cells of the text's sketch less those of b's, the wider folded to the narrower."""
+        ours, theirs = width(F.col("n_own")), width(F.col(f"n_{b}"))
+        narrow = F.least(ours, theirs)
+        side = lambda c, w, sign: F.transform(F.col(c), lambda x: F.struct((F.floor(x["cell"] / w) * narrow + x["cell"] % w % narrow).cast("long").alias("cell"), (x["n"] * sign).alias("s"), x["d"].alias("d"), x["h"].alias("h")))
+        return F.struct(F.lit(b).alias("other"), narrow.alias("width"), F.concat(side("own", ours, 1), side(b, theirs, -1)).alias("cells"))
+
+    both = met.select(*KEYS, F.explode(F.array(difference("changed"), difference("after"))).alias("p")).select(*pair[:2], "p.other", "p.width", F.lit(0).alias("seed"), F.explode("p.cells").alias("c"))
+    found = materialize(peel(both.select(*pair, "width", "seed", "c.*"), pair, first_rounds), "peeled")
     solved = [found.where("left = 0").select(*pair, "differing")]
     failed = found.where("left > 0").select(*pair)
     t = 1
     while rows := failed.count():
-        again = failed.join(s.select(*KEYS, *sides), KEYS).withColumn("b", F.when(F.col("other") == "changed", F.col("changed")).otherwise(F.col("after")))
+        # A failed pair is sketched anew from its digests; what it needs of the next row meets it in the block.
+        asked = failed.groupBy(*KEYS).agg(F.collect_set("other").alias("others"))
+        told = s.join(asked, KEYS, "left").repartition(max(least, rows // 5000), "block").withColumn("after", F.lead("own").over(w))
+        again = told.select(*KEYS, "own", "changed", "after", F.explode("others").alias("other")).withColumn("b", F.when(F.col("other") == "changed", F.col("changed")).otherwise(F.col("after")))
         most = F.greatest(width(F.size("own")), width(F.size("b"))) * 2**t
-        again = again.withColumns({"width": most.cast("long"), "seed": F.lit(t)}).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 5000), "block")
+        again = again.withColumns({"width": most.cast("long"), "seed": F.lit(t)})
         both = again.select(*pair, "width", "seed", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("own").alias("digests")), F.struct(F.lit(-1).alias("sign"), F.col("b").alias("digests")))).alias("v")).select(*pair, "width", "seed", "v.*")
         cells = sketched(both, [*pair, "sign"]).select(*pair, "width", "seed", "cell", (F.col("sign") * F.col("n")).alias("s"), "d", "h")
         found = materialize(peel(cells, pair), "peeled")
         solved.append(found.where("left = 0").select(*pair, "differing"))
         failed = found.where("left > 0").select(*pair)
         t += 1
-    told = solved[0]
+    differing = solved[0]
     for more in solved[1:]:
-        told = told.unionByName(more)
-    by = told.groupBy(*KEYS).agg(F.max(F.when(F.col("other") == "changed", F.col("differing"))).alias("e"), F.max(F.when(F.col("other") == "after", F.col("differing"))).alias("n"))
-    # Lengths of the three sets are all that the likeness needs of them.
-    flat = s.select(*KEYS, "id", "n_chars", "edited_sha256", *(F.size(c).alias(c) for c in sides))
-    none = F.array().cast(sketches.schema["own"].dataType)
-    texts = sketches.select(*KEYS, F.col("own").alias("c_own"), F.col("changed").alias("c_changed"))
-
-    def like(other: str, differing: str) -> Column:
-        total, d = F.col("own") + F.col(other), F.coalesce(F.col(differing), F.lit(0))
+        differing = differing.unionByName(more)
+    by = differing.groupBy(*KEYS).agg(F.max(F.when(F.col("other") == "changed", F.col("differing"))).alias("e"), F.max(F.when(F.col("other") == "after", F.col("differing"))).alias("n"))
+
+    def like(other: str, d: str) -> Column:
+        total, d = F.col("n_own") + F.col(f"n_{other}"), F.coalesce(F.col(d), F.lit(0))
         return F.when(total == 0, 1.0).otherwise((total - d) / (total + d))
 
-    return flat.join(texts, KEYS, "left").join(by, KEYS, "left").select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", written_out(F.coalesce("c_own", none), F.col("own")).alias("fingerprint"), written_out(F.coalesce("c_changed", none), F.col("changed")).alias("edited_fingerprint"),
+    flat = s.where("not copy").select(*KEYS, "id", "n_chars", "edited_sha256")
+    return flat.join(met.drop("after", "copy"), KEYS).join(by, KEYS, "left").select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", written_out(F.col("own"), F.col("n_own")).alias("fingerprint"), written_out(F.col("changed"), F.col("n_changed")).alias("edited_fingerprint"),
         like("changed", "e").alias("near_edited"), like("after", "n").alias("near_next"))

@@ -492,7 +492,7 @@ def sketch_of(text):
 
 def brute_fingerprints(rows):
     """(id, length, sha, both likenesses) of rows in their order, by plain sets."""
-    parts = lambda t: set(re.findall(r"\S+(?:[^\S\n]+\S+){0,11}", t, re.A))
+    parts = lambda t: set(re.findall(r"\S+(?:[^\S\n]+\S+){0,15}", t, re.A))
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     out = []
     for k, (i, t) in enumerate(rows):
