@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
@@ -74,10 +75,15 @@ def same_domain(url: Column, root_host: str) -> Column:
 def frontier_levels(seeds: DataFrame, edges: DataFrame, *, max_depth: int = 3, max_urls: int | None = None, cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(url, depth): breadth-first levels over edges (source, target) from seeds (url). Each level is an anti-join
     with what was seen; ``max_urls`` takes the smallest URLs of the level that would pass it. ``cut`` ends the
-    lineage of a level (default: a checkpoint in the session's folder, or none without one)."""
-    spark = seeds.sparkSession
+    lineage of a level (default: a checkpoint in the session's folder; without one, in local mode, in a temporary one)."""
+    sc = seeds.sparkSession.sparkContext
     if cut is None:
-        cut = (lambda d, _: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d, _: d)
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            told = sc.getConf().get("spark.checkpoint.dir")
+            if not told and not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="siteloom-"))
+        cut = lambda d, _: d.checkpoint()
     level = seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0))
     seen = level = cut(level, "0") if max_urls is None else cut(level.orderBy("url").limit(max_urls), "0")
     for depth in range(1, max_depth + 1):

@@ -251,6 +251,60 @@ def new_broken_links(old_pages: DataFrame, old_links: DataFrame, new_pages_: Dat
     return broken_links(new_pages_, new_links).join(broken_links(old_pages, old_links), ["source_url", "target_key"], "left_anti")
 
 
+def broken_count(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(broken): links whose own status (``own_status``), else their target's, is 400 or more. A link counts once, however many pages
+    it leads to."""
+    own = F.col("own_status") if "own_status" in links.columns else F.lit(None).cast("int")
+    key = lambda c: F.struct(F.lit(c == "normalized_url").alias("normal"), F.col(c).alias("key"))
+    keys = pages.select("status_code", F.explode(F.array(*map(key, ("normalized_url", "url", "final_url")))).alias("k")).select("k.*", "status_code").where("key is not null").groupBy("normal", "key").agg(F.max("status_code").alias("status"))
+    # Each key is there once, so no link is repeated by the joins.
+    by = lambda normal, told, name: keys.where("normal" if normal else "not normal").select(F.col("key").alias(told), F.col("status").alias(name))
+    met = links.join(by(True, "target_normalized_url", "_n"), "target_normalized_url", "left").join(by(False, "target_url", "_u"), "target_url", "left")
+    return met.agg(F.count_if(F.coalesce(own, F.greatest("_n", "_u")) >= 400).alias("broken"))
+
+
+def critical_count(issues: DataFrame) -> DataFrame:
+    return issues.agg(F.count_if(F.lower("severity") == "critical").alias("critical"))
+
+
+def compared(older: dict[str, DataFrame], newer: dict[str, DataFrame]) -> DataFrame:
+    """One row of deltas between two crawls, each given as ``pages``, ``links`` and ``issues``: one-row aggregates that
+    meet."""
+    def side(c: dict[str, DataFrame], n: str) -> DataFrame:
+        out = c["pages"].agg(F.count("*").alias(f"{n}_pages")).crossJoin(broken_count(c["pages"], c["links"]).withColumnRenamed("broken", f"{n}_broken"))
+        return out.crossJoin(c["issues"].agg(F.count("*").alias(f"{n}_issues"), F.count_if(F.lower("severity") == "critical").alias(f"{n}_critical")))
+
+    lone = lambda a, b, name: new_pages(a, b).agg(F.count("*").alias(name))
+    met = side(older, "a").crossJoin(side(newer, "b")).crossJoin(lone(older["pages"], newer["pages"], "new_urls")).crossJoin(lone(newer["pages"], older["pages"], "removed_urls"))
+    delta = lambda n: (F.col(f"b_{n}") - F.col(f"a_{n}")).alias(f"{n}_delta")
+    return met.select(delta("pages"), "new_urls", "removed_urls", delta("broken"), delta("issues"), delta("critical"))
+
+
+def diff_detail(older: dict[str, DataFrame], newer: dict[str, DataFrame], limit: int = 25) -> DataFrame:
+    """(section, place, url, other, detail): the first rows of the seven sections of a diff, ``limit`` (1 to 100) of
+    each: new, removed and changed pages by URL, new and resolved issues by severity, new and resolved broken links.
+    A section takes the first rows as top-k, so none is sorted whole."""
+    most = max(1, min(100, limit))
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "warning", 2).when(F.col("severity") == "medium", 3).otherwise(4)
+    none = F.lit(None).cast("string")
+
+    def section(name: str, rows: DataFrame, order: list, url: str, other: Column, detail: Column) -> DataFrame:
+        first = rows.orderBy(*order).limit(most)
+        return first.select(F.lit(name).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("place"), F.col(url).alias("url"), other.alias("other"), detail.alias("detail"))
+
+    keyed = lambda c: c["issues"].withColumn("key", diff_key() if "normalized_url" in c["issues"].columns else F.col("url"))
+    lost = lambda a, b: keyed(b).join(keyed(a).select("issue_type", "key", "detail").distinct(), ["issue_type", "key", "detail"], "left_anti")
+    broken = lambda a, b: new_broken_links(a["pages"], a["links"], b["pages"], b["links"])
+    parts = [section(n, new_pages(a["pages"], b["pages"]), ["url", "page_id"], "url", none, F.col("status_code").cast("string")) for n, a, b in (("new_urls", older, newer), ("removed_urls", newer, older))]
+    parts.append(section("changed_urls", changed_pages(older["pages"], newer["pages"]), ["url"], "url", none, F.col("changed")))
+    parts += [section(n, lost(a, b), [rank, "url", "issue_type", "detail"], "url", F.col("issue_type"), F.col("detail")) for n, a, b in (("new_issues", older, newer), ("resolved_issues", newer, older))]
+    parts += [section(n, broken(a, b), ["source_url", "target_key"], "source_url", F.col("target_key"), none) for n, a, b in (("new_broken_links", older, newer), ("resolved_broken_links", newer, older))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def diff_summary(older: DataFrame, newer: DataFrame) -> DataFrame:
     """One row: pages before and after, new, removed, changed. The counts are aggregates of one full outer pass."""
     fields = ["status_code", "title", "meta_description", "indexability", "content_hash"]

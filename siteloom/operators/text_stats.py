@@ -18,32 +18,38 @@ def page_text(pages: DataFrame, fields: tuple[str, ...] = FIELDS) -> Column:
     return F.concat_ws(" ", *(F.col(c) for c in fields if c in pages.columns))
 
 
+def once(docs: DataFrame, toks: Column, *keep: str) -> DataFrame:
+    """(keep, t): the tokens as a generated column, so that what reads them several times makes them once."""
+    return docs.select(*keep, F.explode(F.array(toks)).alias("t"))
+
+
 def keyword_counts(docs: DataFrame, text: Column, n: int) -> DataFrame:
     """(phrase, count) of all n-grams; the counts combine before the shuffle."""
-    return docs.select(F.explode(T.ngrams(T.keyword_tokens(text), n)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("count"))
+    return once(docs, T.keyword_tokens(text)).select(F.explode(T.ngrams(F.col("t"), n)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("count"))
 
 
 def keywords(docs: DataFrame, text: Column, n: int, most: int = 250) -> DataFrame:
     """(phrase, count, frequency): the ``most`` frequent n-grams; frequency is the share of all phrases."""
     counts = keyword_counts(docs, text, n)
-    total = docs.select(F.size(T.ngrams(T.keyword_tokens(text), n)).alias("n")).agg(F.sum("n").alias("total_phrases"))
+    # The same aggregate twice in one plan: its shuffle is made once.
+    total = counts.agg(F.sum("count").alias("total_phrases"))
     return counts.orderBy(F.desc("count"), "phrase").limit(most).join(F.broadcast(total)).select("phrase", "count", (F.col("count") / F.col("total_phrases")).alias("frequency"))
 
 
 def keyword_totals(docs: DataFrame, text: Column, n: int) -> DataFrame:
-    toks = T.keyword_tokens(text)
-    return docs.agg(F.coalesce(F.sum(F.size(toks)), F.lit(0)).alias("total_words"), F.coalesce(F.sum(F.size(T.ngrams(toks, n))), F.lit(0)).alias("total_phrases"))
+    toks = once(docs, T.keyword_tokens(text))
+    return toks.agg(F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("total_words"), F.coalesce(F.sum(F.size(T.ngrams(F.col("t"), n))), F.lit(0)).alias("total_phrases"))
 
 
 def keyword_density(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, phrase, density): each term's share of its document's terms."""
-    toks = docs.select(F.col(id_col), T.keyword_tokens(text).alias("t"))
+    toks = once(docs, T.keyword_tokens(text), id_col)
     return toks.select(id_col, F.size("t").alias("n"), F.explode("t").alias("phrase")).groupBy(id_col, "phrase").agg(F.count("*").alias("c"), F.first("n").alias("n")).select(id_col, "phrase", (F.col("c") / F.col("n")).alias("density"))
 
 
 def tfidf(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, weight): tf = count / length, idf = ln((N + 1) / (df + 1)) + 1."""
-    toks = docs.select(F.col(id_col).alias("id"), T.cluster_tokens(text).alias("t")).where(F.size("t") > 0)
+    toks = once(docs, T.cluster_tokens(text), id_col).withColumnRenamed(id_col, "id").where(F.size("t") > 0)
     tf = toks.select("id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("id", "term").agg((F.count("*") / F.first("n")).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = toks.agg(F.count("*").alias("docs"))

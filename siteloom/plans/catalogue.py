@@ -88,8 +88,7 @@ def issues_incremental(spark, d):
 
 @query(f"WITH {V.P} {POST}")
 def issues_per_page(spark, d):
-    found = R.post_crawl_page_issues(V.pages(spark, d)).select("page_id", "issue_type", "severity", "category")
-    return found.where("issue_type <> 'heading_non_sequential'")
+    return R.post_crawl_page_issues(V.pages(spark, d)).select("page_id", "issue_type", "severity", "category")
 
 
 HEADED = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN map {'x-frame-options': 'DENY'} WHEN 1 THEN map {'content-security-policy': 'frame-ancestors none', 'strict-transport-security': 'max-age=1'} WHEN 2 THEN map {'referrer-policy': 'origin', 'x-content-type-options': 'nosniff'} ELSE map {'content-security-policy': 'default-src *'} END AS h, url, status_code, html FROM p"
@@ -137,10 +136,10 @@ def dup_titles(spark, d):
     return groups.select(F.col("key").alias("title"), "url", F.col("n").alias("pages"))
 
 
-@query(f"WITH {V.P}, h AS (SELECT url, CAST(word_count % 50 AS VARCHAR) AS k FROM p) SELECT min(url) AS url, 'duplicate_content' AS issue_type, CAST(count(*) AS VARCHAR) AS detail FROM h GROUP BY k HAVING count(*) > 1")
+@query(f"WITH {V.P}, h AS (SELECT url, content_hash AS k FROM p UNION ALL SELECT url || '-copy', content_hash FROM p WHERE page_id % 7 = 0) SELECT min(url) AS url, 'duplicate_content' AS issue_type, CAST(count(*) AS VARCHAR) AS detail FROM h GROUP BY k HAVING count(*) > 1")
 def dup_content(spark, d):
-    pages = V.pages(spark, d).withColumn("content_hash", (F.col("word_count") % 50).cast("string"))
-    return X.duplicate_content(pages).select("url", "issue_type", "detail")
+    pages = V.pages(spark, d).select("page_id", "url", "content_hash")
+    return X.duplicate_content(pages.unionByName(pages.where("page_id % 7 = 0").withColumn("url", F.concat("url", F.lit("-copy"))))).select("url", "issue_type", "detail")
 
 
 @query(f"WITH {V.P}, h AS (SELECT url, regexp_extract(url, '://([^/?#]*)', 1) AS k FROM p) SELECT min(url) AS url, 'canonical_cluster' AS issue_type, CAST(count(*) AS VARCHAR) AS detail FROM h GROUP BY k HAVING count(*) > 2")
@@ -158,12 +157,11 @@ CLUSTER_TOKENS = rf"list_filter(string_split(regexp_replace(lower(text), '[^\p{{
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({KEYWORD_TOKENS}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL), k AS (SELECT doc_id, max(n) AS m FROM c GROUP BY 1),
 b AS (SELECT doc_id, max(w) AS keyword FROM c JOIN k USING (doc_id) WHERE n = m GROUP BY 1)
-SELECT keyword, count(*) AS pages FROM b GROUP BY 1 HAVING count(*) > 1""")
+SELECT min('/d/' || doc_id) AS url, keyword || ':' || count(*) AS detail FROM b GROUP BY keyword HAVING count(*) > 1""")
 def keyword_cannibalization(spark, d):
     density = S.keyword_density(V.table(spark, d, "documents"), "doc_id", F.col("text"))
-    # The densest term of each page, ties to the greatest; then groups of pages.
-    best = density.groupBy("doc_id").agg(F.max(F.struct("density", "phrase")).alias("m")).select(F.col("m.phrase").alias("keyword"))
-    return best.groupBy("keyword").agg(F.count("*").alias("pages")).where("pages > 1")
+    pages = density.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("phrase", "density"))).alias("keyword_density"))
+    return X.keyword_cannibalization(pages.withColumns({"url": F.concat(F.lit("/d/"), F.col("doc_id").cast("string")), "noindex": F.lit(False)})).select("url", "detail")
 
 
 def in_sitemap(pages: DataFrame) -> DataFrame:
@@ -198,14 +196,8 @@ def sitemap_errors(spark, d):
     return X.sitemap_errors(pages, in_sitemap(pages)).select("url", "detail")
 
 
-@query(f"WITH {V.E}, {V.Q} SELECT url FROM q WHERE indexability = 'indexable' AND url NOT IN (SELECT target_url FROM e WHERE source_id % 50 = 0)")
-def orphans(spark, d):
-    return X.orphaned_pages(V.part_pages(spark, d), V.edges(spark, d).where("source_id % 50 = 0")).select("url")
-
-
 @query(f"WITH {V.E}, {V.Q} SELECT url FROM q WHERE indexability = 'indexable' AND url NOT IN (SELECT target_url FROM e)")
-def orphans_all_links(spark, d):
-    """Orphans of the whole link graph; ``orphans`` and its SQL count links from every 50th source."""
+def orphans(spark, d):
     return X.orphaned_pages(V.part_pages(spark, d), V.edges(spark, d)).select("url")
 
 
@@ -499,24 +491,23 @@ def cron_next(spark, d):
     return spark.createDataFrame(rows, "expression string, next_run string")
 
 
-LEVELS = "edge AS (SELECT DISTINCT l_orderkey % 500 AS s, l_partkey % 500 AS t FROM lineitem WHERE l_linenumber = 1)"
+LEVELS = "edge AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS s, CAST(l_partkey AS BIGINT) AS t FROM lineitem)"
+
+
+def item_edges(spark, d):
+    return V.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"))
 
 
 @query(f"""WITH RECURSIVE {LEVELS}, r(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT t, depth + 1 FROM r JOIN edge ON s = url WHERE depth < 4)
 SELECT CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1""")
 def crawl_bfs_levels(spark, d):
-    items = V.table(spark, d, "lineitem").where("l_linenumber = 1")
-    edges = items.select((F.col("l_orderkey") % 500).cast("string").alias("source"), (F.col("l_partkey") % 500).cast("string").alias("target")).distinct()
-    return C.frontier_levels(spark.createDataFrame([("1",)], "url string"), edges, max_depth=4)
+    return C.frontier_levels(spark.createDataFrame([("1",)], "url string"), item_edges(spark, d), max_depth=4)
 
 
 @query()
 def crawl_bfs_all_levels(spark, d):
-    """Breadth-first levels from page 1 over every line item, ids as they are, until no page is new;
-    ``crawl_bfs_levels`` and its SQL fold the ids and stop at four. No SQL: recursion there ends by depth alone."""
-    edges = V.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"))
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return C.frontier_levels(spark.createDataFrame([("1",)], "url string"), edges, max_depth=2**31 - 1, cut=lambda f, _: f.checkpoint() if kept else f.localCheckpoint())
+    """Levels from page 1 until no page is new. No SQL: recursion there ends by depth alone."""
+    return C.frontier_levels(spark.createDataFrame([("1",)], "url string"), item_edges(spark, d), max_depth=2**31 - 1)
 
 
 @query("SELECT event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1")

@@ -195,6 +195,11 @@ def parsed(pages: DataFrame, *, url: str = "url", html: str = "html", rules: lis
     return pages.select(*keep, *([html] if html not in keep else [])).mapInArrow(run, schema)
 
 
+def html_sitemap(page: str) -> list[str]:
+    """The addresses of all links of a page that lists others, as they are written."""
+    return [n.attrs["href"] for n in parse(page).walk() if n.tag == "a" and "href" in n.attrs]
+
+
 def links(pages: DataFrame, *, id_col: str = "page_id", url: str = "url") -> DataFrame:
     """A row for each link of the parsed pages, with its target's normal form."""
     from ..functions.urls import normalized

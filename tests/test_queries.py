@@ -1,20 +1,26 @@
 """Rules and queries on small tables, and the registered queries against DuckDB on the smallest data."""
 
+import time
+from datetime import datetime
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siteloom.functions import text as T
 from siteloom.operators import crawl as C
+from siteloom.operators import lifecycle as L
 from siteloom.operators import page_issues as R
 from siteloom.operators import queries as Q
 from siteloom.operators import text_stats as S
-from siteloom.plans import catalogue
-from siteloom.sources import sinks
+from siteloom.plans import catalogue, store
+from siteloom.sources import dom, sinks
 from siteloom.sources.pages import parsed
 
 DATA = "/root/testdata/sf0.001"
 CHECKED = ["issue_summary", "page_parse_core", "issues_per_page", "dup_titles", "sitemap_missing", "inlinks_count", "diff_summary", "anchor_summary", "ngrams_2", "readability", "structured_data", "cron_next"]
+#: All of the store's queries: their SQL is the test of what changes projects, crawls, schedules and diffs.
+CHECKED += [n for n in catalogue.ORACLE_SQL if catalogue.QUERIES[n].__module__ == store.__name__]
 
 
 def rows(frame):
@@ -24,7 +30,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", CHECKED)
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "documents", "lineitem", "part", "orders", "customer", "events"):
+    for t in ("pages", "documents", "lineitem", "part", "orders", "customer", "events", "nation", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = catalogue.QUERIES[name](spark, DATA)
     want = con.execute(catalogue.ORACLE_SQL[name])
@@ -102,3 +108,32 @@ def test_whole_link_graph(spark, tmp_path):
         depth |= dict.fromkeys(level, max(depth.values()) + 1)
     assert rows(catalogue.QUERIES["crawl_bfs_all_levels"](spark, DATA)) == sorted(((str(u), k) for u, k in depth.items()), key=str)
     assert max(depth.values()) > 4 or len(depth) > 50
+
+
+def test_pages_with_open_tags_take_linear_time():
+    begin = time.time()
+    for hard in ("<a " * 200_000, "<div>" * 50_000 + "</x>" * 50_000, '<a "' * 100_000, "<!" * 200_000, "<div>" * 20_000 + "<p>a" * 20_000, "<script>" + "</script " * 50_000):
+        dom.parse(hard)
+    assert time.time() - begin < 8
+    assert dom.parse("<p>one<a href='x").text() == "one<a href='x"
+
+
+def test_errors_of_the_lifecycle(spark):
+    table = spark.createDataFrame([(1, "crawling"), (2, "completed")], "crawl_id long, status string")
+    assert L.completed(table, 2).count() == 1
+    for n in (1, 7):
+        with pytest.raises(ValueError):
+            L.completed(table, n)
+    none = spark.createDataFrame([], "schedule_id long, project_id long, start_url string, cron_expression string, enabled boolean, next_run_at timestamp_ntz, created_at timestamp_ntz")
+    projects = spark.createDataFrame([(1,)], "project_id long")
+    good = {"project_id": 1, "start_url": "https://a", "cron_expression": "0 3 * * *"}
+    assert L.new_schedule(none, projects, datetime(2024, 1, 1), **good).count() == 1
+    for bad in ({"project_id": 2}, {"start_url": " "}, {"settings": "[1]"}, {"cron_expression": "x"}):
+        with pytest.raises(ValueError):
+            L.new_schedule(none, projects, datetime(2024, 1, 1), **(good | bad))
+
+
+def test_breadth_first_levels_by_hand(spark):
+    edges = spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "1"), ("2", "4"), ("9", "1"), ("4", None)], "source string, target string")
+    got = C.frontier_levels(spark.createDataFrame([("1",)], "url string"), edges, max_depth=2**31 - 1)
+    assert {r.url: r.depth for r in got.collect()} == {"1": 0, "2": 1, "3": 2, "4": 2}
