@@ -159,7 +159,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     while rows := failed.count():
         # A failed pair is sketched anew from its digests; what it needs of the next row meets it in the block.
         asked = failed.groupBy(*KEYS).agg(F.collect_set("other").alias("others"))
-        told = s.join(asked, KEYS, "left").repartition(max(least, rows // 5000), "block").withColumn("after", F.lead("own").over(w))
+        told = s.join(asked, KEYS, "left").repartition(max(min(least, -(-rows // 500)), rows // 5000), "block").withColumn("after", F.lead("own").over(w))
         again = told.select(*KEYS, "own", "changed", "after", F.explode("others").alias("other")).withColumn("b", F.when(F.col("other") == "changed", F.col("changed")).otherwise(F.col("after")))
         most = F.greatest(width(F.size("own")), width(F.size("b"))) * 2**t
         again = again.withColumns({"width": most.cast("long"), "seed": F.lit(t)})
