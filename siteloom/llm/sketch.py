@@ -80,8 +80,8 @@ def successors(docs: DataFrame, id_col: str, text: str, rows_per_block: int = 51
     text); after the last comes the first. Null ids come first. The last row of a block is a copy of the next one's first.
 
     Ids are dealt into blocks: equal ranges between quantiles of the ids, so that neither gaps nor far-off ids fill
-    one; null ids by the text's hash. Each block also gets the first row of the next block, so no order over all rows
-    is needed: texts are shuffled once, by block.
+    one; null ids by the text's hash. Each block's last row also meets the first row of the next block, so no order
+    over all rows is needed: texts are shuffled once, by block.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     shares = F.array(*(F.lit(k / quantiles) for k in range(quantiles + 1)))
@@ -96,16 +96,25 @@ def successors(docs: DataFrame, id_col: str, text: str, rows_per_block: int = 51
     a, b = (F.get(x, F.col("bucket")).cast("double") for x in (lo, hi))
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 1e-9), (F.col("id").cast("double") - a) / F.greatest(b - a, F.lit(1.0))))
     block = F.when(F.col("id").isNull(), F.floor((tie / F.lit(2.0**64) + 0.5) * first)).otherwise(first + F.col("bucket") * each + F.floor(inside * each)).cast("long")
+    # Never null by type either: joins would add a filter, which sets the readers' plans below apart.
+    block = F.coalesce(block, F.lit(0).cast("long"))
     rows = rows.withColumns({"block": block, "key": F.coalesce("id", F.lit(-(2**63)).cast("long")), "tie": tie}).drop("bucket")
     # A narrow row for each block.
-    firsts = rows.groupBy("block").agg(F.min(F.struct("key", "tie")).alias("f"))
     order = Window.orderBy("block")
-    firsts = firsts.withColumn("to", F.coalesce(F.lag("block").over(order), F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("block", "f.key", "f.tie", "to")
-    extra = rows.join(firsts, ["block", "key", "tie"]).groupBy("to").agg(F.min("tie").alias("tie"), F.first("text").alias("text"), F.first("id").alias("id"))
-    both = rows.select("block", "id", "key", "tie", "text", F.lit(False).alias("copy")).unionByName(
-        extra.select(F.col("to").alias("block"), "id", F.lit(0).cast("long").alias("key"), "tie", "text", F.lit(True).alias("copy")))
-    w = Window.partitionBy("block").orderBy("copy", "key", "tie")
-    return both.withColumns({"next": F.lead("text").over(w), "place": F.row_number().over(w)}).select("block", "place", "copy", "id", "text", "next")
+    last = F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = rows.select("block").distinct().select("block", F.coalesce(F.lag("block").over(order), last).alias("to"))
+    # All three readers of the placed rows use the same columns of one shuffle, which so is written once.
+    w = Window.partitionBy("block").orderBy("key", "tie")
+    held = rows.select("block", "id", "key", "tie", "text").repartition("block")
+    placed = held.withColumns({"place": F.row_number().over(w), "next": F.lead("text").over(w)})
+    firsts = held.withColumn("place", F.row_number().over(w)).where("place = 1").select("block", F.col("id").alias("first_id"), F.col("text").alias("first"))
+    extra = firsts.join(before, "block").select(F.col("to").alias("block"), "first_id", "first")
+    inner = placed.where("next is not null").select("block", "place", F.lit(False).alias("copy"), "id", "text", "next")
+    one = lambda place, copy, i, text, after: F.struct(place.alias("place"), F.lit(copy).alias("copy"), i.alias("id"), text.alias("text"), after.alias("next"))
+    ends = placed.where("next is null").join(extra, "block").select("block", F.inline(F.array(
+        one(F.col("place"), False, F.col("id"), F.col("text"), F.col("first")),
+        one(F.col("place") + 1, True, F.col("first_id"), F.col("first"), F.lit(None).cast("string")))))
+    return inner.unionByName(ends)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", first_rounds: int = 3, rows_per_block: int = 512) -> DataFrame:
