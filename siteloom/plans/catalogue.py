@@ -201,6 +201,12 @@ def orphans(spark, d):
     return X.orphaned_pages(V.part_pages(spark, d), V.edges(spark, d)).select("url")
 
 
+@query(ORACLE_SQL["orphans"])
+def orphans_all_links(spark, d):
+    """The earlier name of the whole-table query, which callers still use."""
+    return orphans(spark, d)
+
+
 @query(f"WITH {V.E}, {V.Q} SELECT source_url AS url, CAST(count(*) AS VARCHAR) AS detail FROM e WHERE is_internal AND target_url IN (SELECT url FROM q WHERE status_code BETWEEN 400 AND 499) GROUP BY 1")
 def links_to_4xx(spark, d):
     return X.links_to_4xx(V.part_pages(spark, d), V.edges(spark, d)).select("url", "detail")
