@@ -8,9 +8,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: A word is a run of anything but these six characters (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: lineage ends here, so a lost
     executor costs a re-read and not a recomputation. Removed when the driver's JVM ends."""
     spark = df.sparkSession
@@ -47,7 +48,7 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     before = spark.conf.get(CLEAN)
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEAN, before)
     jvm = spark.sparkContext._jvm
@@ -91,6 +92,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def bounded_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose ``column`` holds about ``most`` bytes, and one row at least: what is computed for a
+    batch is then bounded too, whatever the session's limits are."""
+    for b in batches:
+        size, n = max(b.column(column).nbytes, 1), b.num_rows
+        if size <= most or n < 2:
+            yield b
+            continue
+        step, at = max(1, n * most // size), 0
+        while at < n:
+            part = b.slice(at, step)
+            while part.num_rows > 1 and sum(len(x) for x in part.column(column).to_pylist() if x is not None) > 2 * most:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,7 +118,7 @@ def words_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def with_fields(schema: StructType, **more: str) -> StructType:
+def with_fields(schema: StructType, **more: str | DataType) -> StructType:
     """A copy of ``schema`` with more fields (name=type)."""
     out = StructType(list(schema.fields))
     for name, kind in more.items():

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, lmscore, mixing, neardup, packing, quality, secrets, sketch, topk
-from .common import table
+from . import bpe, divergence, html, lmscore, mixing, neardup, packing, periodic, quality, secrets, sketch, telephony, topk
+from .common import materialize, table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,29 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    told = periodic.repeats(docs).withColumn("best", periodic.longest(F.col("runs")))
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media column is written as a table in the shared folder; what follows is read back from it."""
+    media = materialize(telephony.store(table(spark, sf_dir, "documents").select("doc_id", "text")), "media", keep=True, codec="zstd")
+    told = telephony.decoded(media, with_pcm=False)
+    feature = F.concat_ws(";", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("codec", "samples", "peak", "rms", "crossings", "pcm_crc32")))
+    return told.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_source_mix": op2_source_mix,
@@ -71,6 +94,24 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_divergence_audit": op12_divergence_audit,
+    "op13_telephony": op13_telephony,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+P = "1 + 1000000000 * ({0} + 1) // ({1} + v)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_divergence_audit": rf"""
+WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k FROM documents),
+w AS (SELECT k, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 3), g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL), n AS (SELECT lang, source, CAST(coalesce(sum(c), 0) AS BIGINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT n.lang, n.source, kept.term, coalesce(c, 0) AS c, {P.format("coalesce(c, 0)", "n")} AS p FROM n JOIN kept ON kept.lang = n.lang JOIN v ON v.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = kept.term),
+l AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL), q AS (SELECT lang, term, CAST({P.format("c", "sum(c) OVER (PARTITION BY lang)")} AS BIGINT) AS q FROM l JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200""",
+}
