@@ -180,12 +180,10 @@ def leaves(page: str) -> list[tuple[Place | None, str, int]]:
         if tag in NO_PARAGRAPH and depths.get("p"):
             close(depths["p"][-1])
         if tag in CLOSES:
-            for k in range(len(names) - 1, max(-1, len(names) - 5), -1):
-                if names[k] in CLOSES[tag]:
-                    close(k)
-                    break
-                if names[k] in ("ul", "ol", "dl", "table", "select"):
-                    break
+            # The innermost open element that this one ends, if no list or table has begun inside it.
+            last = lambda tags: max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
+            if (k := last(CLOSES[tag])) >= max(0, last(("ul", "ol", "dl", "table", "select"))):
+                close(k)
         if tag in BLOCKS:
             flush()
         if tag not in VOID and not m["attrs"].endswith("/"):

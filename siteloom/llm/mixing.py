@@ -14,6 +14,8 @@ from .common import materialize, words_count
 SLICES = 4096
 #: Patterns up to which the plan is broadcast; beyond, it is joined like any table.
 FEW = 100_000
+#: Patterns that the driver plans for: a row of some hundred bytes each. More are refused, before anything is collected.
+MOST = 2_000_000
 
 
 def fair_targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -78,7 +80,7 @@ def route(patterns: list[tuple[tuple[int, ...], int]], targets: Sequence[float],
 
     Each pattern has an arc for every repetition, each as wide as its size and dearer than the one before
     (convex), so no text is repeated while fresh text of a source that still wants some is left. Sources that no
-    document joins are networks of their own; one of a single pattern takes what it wants of what is there."""
+    document joins are networks of their own, and each goes through the flow."""
     root = list(range(len(targets)))
 
     def find(x: int) -> int:
@@ -95,10 +97,6 @@ def route(patterns: list[tuple[tuple[int, ...], int]], targets: Sequence[float],
         if member:
             nets.setdefault(find(member[0]), []).append(i)
     for net in nets.values():
-        if len(net) == 1:
-            member, size = patterns[net[0]]
-            takes[net[0]] = min(size * repeats, sum(round(targets[j]) for j in member))
-            continue
         at = {j: k for k, j in enumerate(dict.fromkeys(j for i in net for j in patterns[i][0]))}
         p, s = len(net), len(at)
         arcs = [(0, 1 + k, patterns[i][1], copy * (copy + 1) // 2) for k, i in enumerate(net) for copy in range(repeats)]
@@ -127,7 +125,7 @@ def mix(
 
     ``sources`` is a string or an array of strings (a document of several sources serves any of them; its
     ``source_size`` and ``target`` are those of the first by code point). Null is a source of its own, the
-    last. Only totals by membership pattern reach the driver. Within a pattern documents are taken by seeded hash of
+    last. Only totals by membership pattern reach the driver, at most ``MOST``; more are an error. Within a pattern documents are taken by seeded hash of
     id and text: whole rounds first, then by cumulated size while they fit the quota, and at the edge the largest one
     further on that fits what is left. The cumulated size comes from ``4096`` hash slices of a pattern, and only
     the slice at the edge is ordered, so a source that holds most rows is never sorted in one task. No document
@@ -151,7 +149,10 @@ def mix(
     slice_ = F.pmod("hash", F.lit(SLICES)).cast("int")
     place = F.struct("hash", "id", "size")
     slim = materialize(sized.drop("row"), "mix").withColumn("slice", slice_)
-    sizes = slim.groupBy("pattern").agg(F.sum("size").alias("n")).collect()
+    totals = materialize(slim.groupBy("pattern").agg(F.sum("size").alias("n")), "mix-totals")
+    if totals.count() > MOST:
+        raise ValueError(f"more than {MOST} sets of sources; group them before they are mixed")
+    sizes = totals.collect()
     by_name = lambda v: (v is None, v or "")
     patterns = sorted(((json.loads(r["pattern"])["s"], r["n"], r["pattern"]) for r in sizes), key=lambda p: [by_name(v) for v in p[0]])
     known = sorted({v for m, _, _ in patterns for v in m}, key=by_name)

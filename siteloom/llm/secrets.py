@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: What candidates look like. A key name with a value, issued tokens, private keys, long random runs.
-#: A match goes on to the end of its run. Runs are possessive and hence linear; a signed token begins within 64
-#: characters of its run, so that a run of many beginnings is not read once for each. A private key goes up to its
-#: END line, whatever stands between; without one, over its headers and base64 text. More specific rules come first.
-HEADER = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: A match goes on to the end of its run; names, gaps and values have any length. Runs are possessive, and a name or a
+#: signed token is looked for from the beginning of its run alone, so a run is read a fixed number of times. What stands
+#: before a signed token in its run is part of the match and not of the value. A private key goes up to its END line,
+#: whatever stands between; without one, over its headers and base64 text. More specific rules come first.
+HEADER = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 RULES = [
-    ("private_key", rf"{HEADER}(?:(?>[\s\S]*?(?=-----(?:BEGIN|END) |\z))-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----|(?:\s*+[A-Za-z-]{{1,40}}: [^\n]*+){{0,8}}[A-Za-z0-9+/=\s\\]*+)"),
+    ("private_key", rf"{HEADER}(?:(?>[\s\S]*?(?=-----(?:BEGIN|END) |\z))-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----|(?:\s*+[A-Za-z-]++: [^\n]*+)*+[A-Za-z0-9+/=\s\\]*+)"),
     ("cloud_key_id", r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{16}\b"),
     ("issued_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_[A-Za-z0-9_]{30,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk[-_](?:live[-_]|test[-_]|proj-)?[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{35,}+|npm_[A-Za-z0-9]{36,}+|hf_[A-Za-z0-9]{30,}+|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{30,}+)"),
-    ("signed_token", r"(?<![A-Za-z0-9_-]{64})\beyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
-    ("named_value", r"(?i)\b[a-z0-9_.-]{0,40}(?:password|passwd|pwd|secret|token|api_?key|apikey|access_?key|private_?key|auth|credential)[a-z0-9_.-]{0,20}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?[^\s\"'<>,;]{6,}+"),
+    ("signed_token", r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8})[A-Za-z0-9_-]*?\beyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    ("named_value", r"(?i)(?<![a-z0-9_.-])(?=[a-z0-9_.-]*?(?:password|passwd|pwd|secret|token|api_?key|apikey|access_?key|private_?key|auth|credential))[a-z0-9_.-]++[\"']?\s*+(?:=>|:=|=|:)\s*+[\"']?[^\s\"'<>,;]{6,}+"),
     ("long_run", r"\b[A-Za-z0-9+/_-]{32,}+={0,2}"),
 ]
 CANDIDATE = "|".join(f"(?:{'(?i:' + p[4:] + ')' if p.startswith('(?i)') else p})" for _, p in RULES)
@@ -43,8 +44,9 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def value_of(rule: Column, found: Column) -> Column:
-    """The part of a match that would be secret: what a name is given, else the whole. It ends where the match ends."""
-    value = F.when(rule == "named_value", F.regexp_extract(found, r"(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>,;]+)[^=:]*$", 1)).otherwise(found)
+    """The part of a match that would be secret: what a name is given, the token in its run, else the whole. It ends
+    where the match ends."""
+    value = F.when(rule == "named_value", F.regexp_extract(found, r"(?:=>|:=|=|:)\s*+[\"']?([^\s\"'<>,;]+)[^=:]*$", 1)).when(rule == "signed_token", F.regexp_extract(found, r"\beyJ[A-Za-z0-9_-]{8,}+\.eyJ.*$", 0)).otherwise(found)
     return F.when(F.length(value) > 0, value).otherwise(found)
 
 
@@ -65,13 +67,13 @@ def word_runs(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")), F.lit(r"\p{L}{4,}+"), F.lit(0)))
 
 
-def dictionary(docs: DataFrame, id_col: str, text: str, sample: int = 400, least: int = 3) -> list[str]:
-    """Words of ``least`` documents or more among the ``sample`` of smallest hashed ids and texts: a documented bound,
-    all that reaches the driver."""
-    chosen = docs.select(F.xxhash64(docs[id_col], docs[text]).alias("h"), docs[text].alias("t")).where("t is not null").orderBy("h", "t").limit(sample)
+def dictionary(docs: DataFrame, id_col: str, text: str, most: int = 4000, least: int = 3) -> list[str]:
+    """The ``most`` words that stand in most documents, of those in ``least`` or more, counted over all of ``docs``;
+    ties by the word. ``most`` bounds what reaches the driver and every task."""
     # Among plain words alone: what stands beside a sign may be a secret's part.
-    plain = F.regexp_extract_all("t", F.lit(r"(?<!\S)\p{L}{4,}+(?=[.,;:!?]?(?:\s|\z))"), F.lit(0))
-    return [r["w"] for r in chosen.select(F.explode(F.array_distinct(F.transform(plain, F.lower))).alias("w")).groupBy("w").count().where(F.col("count") >= least).select("w").orderBy("w").collect()]
+    plain = F.regexp_extract_all(docs[text], F.lit(r"(?<!\S)\p{L}{4,}+(?=[.,;:!?]?(?:\s|\z))"), F.lit(0))
+    counts = docs.select(F.explode(F.array_distinct(F.transform(plain, F.lower))).alias("w")).groupBy("w").count().where(F.col("count") >= least)
+    return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(most).orderBy("w").select("w").collect()]
 
 
 def featured(found: DataFrame, model: Transitions) -> DataFrame:
@@ -192,7 +194,7 @@ def forest(spark: SparkSession, *, rows: int = 3000, trees: int = 24, depth: int
         total = [sum(n for (_, k), n in counts.items() if k == label) for label in (0, 1)]
         odds = [math.log((counts.get((p, 1), 0) + 1) / (total[1] + SIGNS**2)) - math.log((counts.get((p, 0), 0) + 1) / (total[0] + SIGNS**2)) for p in range(SIGNS**2)]
         around = findings.select(F.monotonically_increasing_id().alias("i"), F.concat_ws(" ", "before", "after").alias("t"))
-        model = Transitions(odds, dictionary(around, "i", "t", rows))
+        model = Transitions(odds, dictionary(around, "i", "t"))
         data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(findings, model)).select("features", F.col("label").cast("double").alias("label"))
         _models[key] = Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data), odds)
     return _models[key]
