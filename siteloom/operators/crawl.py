@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
@@ -12,6 +11,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut as checkpointed
+from ..functions.lineage import ranked
 from ..functions.urls import host, host_of, normalized
 
 
@@ -76,14 +77,7 @@ def frontier_levels(seeds: DataFrame, edges: DataFrame, *, max_depth: int = 3, m
     """(url, depth): breadth-first levels over edges (source, target) from seeds (url). Each level is an anti-join
     with what was seen; ``max_urls`` takes the smallest URLs of the level that would pass it. ``cut`` ends the
     lineage of a level (default: a checkpoint in the session's folder; without one, in local mode, in a temporary one)."""
-    sc = seeds.sparkSession.sparkContext
-    if cut is None:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            told = sc.getConf().get("spark.checkpoint.dir")
-            if not told and not re.match(r"local(\[|$)", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="siteloom-"))
-        cut = lambda d, _: d.checkpoint()
+    cut = cut or (lambda d, _: checkpointed(d))
     level = seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0))
     seen = level = cut(level, "0") if max_urls is None else cut(level.orderBy("url").limit(max_urls), "0")
     for depth in range(1, max_depth + 1):
@@ -100,6 +94,46 @@ def frontier_levels(seeds: DataFrame, edges: DataFrame, *, max_depth: int = 3, m
     return seen
 
 
+def crawl_order(seeds: DataFrame, links: DataFrame, *, max_depth: int, max_urls: int, blocked: Callable[[DataFrame], DataFrame] | None = None, in_scope: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(url, depth, place, crawled): what a first-in-first-out crawl queues, in the order of its queue.
+
+    ``seeds`` are (url, position), ``links`` (source, target, position) in normal form, of links that may be followed.
+    A URL enters the queue where it is first met: after the links of pages crawled before, by its position on its page.
+    It must be in scope and not deeper than ``max_depth``; the queue takes ``max_urls`` in all, so the budget ends
+    within a level, in queue order. ``blocked`` gives the URLs (url) of those handed to it that must not be fetched
+    (robots): they keep their place in the queue and the budget, but are not crawled, and lead nowhere.
+
+    Levels follow one another. In each, a target's first link is an aggregate, what was queued leaves by an anti-join,
+    and places come from ranges and their counts: no task sorts a level. Null URLs are left out; a repeated seed counts
+    where it stands first; without seeds there is no row."""
+    scope = (lambda c: F.lit(True)) if in_scope is None else in_scope
+
+    def opened(level: DataFrame) -> DataFrame:
+        if blocked is None:
+            return level.withColumn("crawled", F.lit(True))
+        return level.join(blocked(level.select("url")).select("url").distinct().withColumn("_no", F.lit(True)), "url", "left").withColumn("crawled", F.col("_no").isNull()).drop("_no")
+
+    first = seeds.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("position").alias("_p"))
+    level = ranked(first, [F.col("_p"), F.col("url")], "place").where(F.col("place") < max_urls).select("url", F.lit(0).alias("depth"), "place")
+    level = seen = checkpointed(opened(level))
+    used = seen.count()
+    for depth in range(1, max_depth + 1):
+        if used >= max_urls:
+            break
+        # A page's links meet its place; a hub's many links are an equi-join that may be split by the planner.
+        met = links.join(level.where("crawled").select(F.col("url").alias("source"), F.col("place").alias("_from")), "source")
+        first = met.where(F.col("target").isNotNull() & scope(F.col("target"))).groupBy(F.col("target").alias("url")).agg(F.min(F.struct("_from", "position")).alias("_p"))
+        first = first.join(seen.select("url"), "url", "left_anti").select("url", "_p._from", F.col("_p.position").alias("_position"))
+        level = ranked(first, [F.col("_from"), F.col("_position"), F.col("url")], "place").where(F.col("place") < max_urls - used)
+        level = checkpointed(opened(level.select("url", F.lit(depth).alias("depth"), (F.col("place") + used).alias("place"))))
+        new = level.count()
+        if not new:
+            break
+        used += new
+        seen = checkpointed(seen.unionByName(level))
+    return seen
+
+
 def seeds(urls: DataFrame, scope: Scope) -> DataFrame:
     return urls.where(scope.column(F.col("url"))).select(normalized(F.col("url")).alias("url"))
 

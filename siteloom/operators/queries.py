@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import slice_of
+
 #: Columns that pages may be sorted by; anything else sorts by id.
 SORTS = ("fetched_at", "depth", "url", "indexability", "status_code", "response_time_ms", "word_count", "inlinks_count", "outlinks_count", "title")
 STATUS_CLASSES = {"2xx": (200, 299), "3xx": (300, 399), "4xx": (400, 499), "5xx": (500, 2**31 - 1)}
@@ -41,8 +43,15 @@ def page_filter(pages: DataFrame, *, indexability: str | None = None, status_cla
     return pages if found is None else pages.where(found)
 
 
+#: Rows before a page up to which it is a top-k of the partitions; deeper ones are found by the counts of ranges.
+DEEP = 5000
+
+
 def paged(frame: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """One page of a total order: offset and limit over a sort, which Spark takes as a top-k for small offsets."""
+    """One page of a total order. Near the top, a top-k of each partition serves; deeper, rows are dealt by ranges and
+    counted, and only the ranges that hold the page are sorted."""
+    if 0 < size and DEEP < max(page, 0) * size:
+        return slice_of(frame, list(order), page * size, size)
     return frame.orderBy(*order).offset(max(page, 0) * size).limit(size)
 
 
@@ -107,6 +116,18 @@ def without_crawl(crawl_id: int, *tables: DataFrame) -> tuple[DataFrame, ...]:
     return tuple(t.where(~F.col("crawl_id").eqNullSafe(F.lit(crawl_id))) for t in tables)
 
 
+def cleared(crawl_id: int, crawls: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """``crawls`` and the tables after a crawl was emptied: its pages, links and issues are gone, by the column
+    ``crawl_id`` or, in tables without it, by ``page_id``; the crawl stays, with counters of zero."""
+    mine = F.col("crawl_id") == crawl_id
+    zero = {c: F.when(mine, F.lit(0).cast(crawls.schema[c].dataType)).otherwise(F.col(c)) for c in crawls.columns if c in ("total_urls", "url_count", "issue_count", "link_count", "crawled_urls")}
+    gone = tables["pages"].where(mine).select("page_id") if "pages" in tables else None
+    out = {"crawls": crawls.withColumns(zero) if zero else crawls}
+    for name, t in tables.items():
+        out[name] = without_crawl(crawl_id, t)[0] if "crawl_id" in t.columns else t.join(gone, "page_id", "left_anti") if gone is not None and "page_id" in t.columns else t
+    return out
+
+
 def crawl_with_status(crawls: DataFrame, crawl_id: int, status: str, now: Column) -> DataFrame:
     """The crawls with a new status: ``started_at`` and ``completed_at`` are set once."""
     mine = F.col("crawl_id") == crawl_id
@@ -146,6 +167,12 @@ def query_issues(issues: DataFrame, *, issue_type: str | None = None, severity:
     return paged(issues, order, page, size)
 
 
+def issue_by_id(issues: DataFrame, pages: DataFrame, issue_id: int) -> DataFrame:
+    """One issue with its page's address and status, or no row; an issue whose page is gone keeps its own fields."""
+    one = issues.where(F.col("issue_id") == issue_id).limit(1)
+    return one.join(pages.select("page_id", F.col("url").alias("page_url"), F.col("status_code").alias("page_status")), "page_id", "left")
+
+
 def health_score(issues: DataFrame) -> DataFrame:
     n = F.count_if(F.col("severity") == "critical")
     return issues.agg(n.alias("critical"), F.greatest(F.lit(0), F.least(F.lit(100), 100 - 2 * n - F.count_if(F.col("severity") == "high"))).alias("score"))

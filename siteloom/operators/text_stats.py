@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import cut
 
 FIELDS = ("title", "meta_description", "h1_text", "headings_h2", "headings_h3", "extractable_text")
 
@@ -77,28 +77,48 @@ def similar_pairs(units: DataFrame, least: float = 0.35) -> DataFrame:
     return pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def clusters(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, leader, score): greedy leader clusters. In id order, a document not yet taken leads those later ones
-    that are similar to it and not taken; leaders of none lead nothing. The order makes this sequential, so the
-    pairs that reach the threshold go through one task, as a stream, in order; only ids of taken documents are
-    held."""
-    schema = "id long, leader long, score double"
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken: dict[int, int] = {}
-        for batch in batches:
-            rows = []
-            for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "similarity"))):
-                if taken.get(a, a) != a or b in taken:
-                    continue
-                if a not in taken:
-                    taken[a] = a
-                    rows.append((a, a, 1.0))
-                taken[b] = a
-                rows.append((b, a, round(s, 3)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], names=["id", "leader", "score"])
-
-    return pairs.select("a", "b", "similarity").orderBy("a", "b").coalesce(1).mapInArrow(lead, schema)
+def leaders(pairs: DataFrame) -> DataFrame:
+    """(leader): the greedy leaders over pairs (a, b), a < b: in the order of ids, a document leads if none of its
+    smaller neighbours does. That is the lexicographically first independent set, found in rounds.
+
+    A document without a smaller unsettled neighbour leads; its neighbours are settled, and the pairs of either are
+    gone. Every round settles the smallest document of each part that is left, and usually many more. Rounds are
+    semi-joins and anti-joins, each written out; only whether pairs are left reaches the driver."""
+    all_ = open_ = cut(pairs.select("a", "b").where("a < b").distinct())
+    taken = []
+    while not open_.isEmpty():
+        smaller = open_.select(F.col("b").alias("a")).distinct()
+        new = open_.select("a").distinct().join(smaller, "a", "left_anti")
+        settled = cut(open_.join(new, "a", "left_semi").select(F.col("b").alias("a")).distinct())
+        taken.append(settled)
+        open_ = cut(open_.join(new, "a", "left_anti").join(settled, "a", "left_anti").join(settled.withColumnRenamed("a", "b"), "b", "left_anti"))
+        if len(taken) == 16:
+            taken = [cut(reduce(DataFrame.unionByName, taken))]
+    # A document all of whose smaller neighbours were settled leads too, also those that others settled meanwhile.
+    never = reduce(DataFrame.unionByName, taken, all_.select("a").limit(0))
+    return all_.select("a").distinct().join(never, "a", "left_anti").withColumnRenamed("a", "leader")
+
+
+def clusters(pairs: DataFrame, ids: DataFrame, smallest: int = 2) -> DataFrame:
+    """(id, leader, score): greedy leader clusters over pairs (a, b, similarity). In id order, a document not yet taken
+    leads those later ones of ``ids`` that are similar to it and not taken: each goes to its smallest leader. Clusters
+    of fewer than ``smallest`` are left out; leaders have score 1."""
+    known = ids.select(F.col("id").alias("b"))
+    pairs = cut(pairs.join(known, "b", "left_semi").join(known.withColumnRenamed("b", "a"), "a", "left_semi"))
+    led = pairs.join(leaders(pairs).withColumnRenamed("leader", "a"), "a", "left_semi")
+    members = led.groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct(F.col("a").alias("leader"), F.round("similarity", 3).alias("score")), "a").alias("m")).select("id", "m.leader", "m.score")
+    sizes = members.groupBy("leader").agg((F.count("*") + 1).alias("_n")).where(F.col("_n") >= smallest)
+    kept = members.join(sizes.select("leader"), "leader", "left_semi")
+    return kept.unionByName(sizes.select(F.col("leader").alias("id"), "leader", F.lit(1.0).alias("score")))
+
+
+def cluster_report(members: DataFrame, weights: DataFrame, names: DataFrame, most_terms: int = 10) -> DataFrame:
+    """The report of clusters: (cluster_id, representative_url, cluster_size, keywords, member_url, member_score), a row
+    for each member. ``names`` is (id, url); clusters are named by their leader."""
+    sizes = members.groupBy("leader").agg(F.count("*").alias("cluster_size"))
+    told = members.join(names.select("id", F.col("url").alias("member_url")), "id").join(sizes, "leader").join(cluster_terms(members, weights, most_terms), "leader", "left")
+    lead = names.select(F.col("id").alias("leader"), F.col("url").alias("representative_url"))
+    return told.join(lead, "leader").select(F.col("leader").alias("cluster_id"), "representative_url", "cluster_size", "keywords", "member_url", F.col("score").alias("member_score"))
 
 
 def cluster_terms(members: DataFrame, weights: DataFrame, most: int = 10) -> DataFrame:
@@ -106,7 +126,7 @@ def cluster_terms(members: DataFrame, weights: DataFrame, most: int = 10) -> Dat
     sums = weights.join(members, "id").groupBy("leader", "term").agg(F.sum("weight").alias("w"))
     from pyspark.sql import Window
 
-    best = sums.withColumn("r", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("w"), "term"))).where(F.col("r") <= most)
+    best = sums.withColumn("r", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc(F.round("w", 9)), "term"))).where(F.col("r") <= most)
     return best.groupBy("leader").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), "; ").alias("keywords"))
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.urls import host
+from ..functions.urls import host, normalized
 from ..operators import crawl as C
 from ..operators import cross_issues as X
+from ..operators import lifecycle as L
 from ..operators import page_issues as R
 from ..operators import queries as Q
 from ..operators import registry
@@ -111,19 +112,53 @@ def security_headers(spark, d):
     return found.where(f"issue_type in {SECURITY}").select("page_id", "issue_type", "severity")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(str((i, *registry.DEFAULTS[i])) for i in registry.DEFAULTS)}) t(issue_type, severity, category)")
+@query(f"{I}, g AS (SELECT * FROM (VALUES {', '.join(str((i, *registry.DEFAULTS[i])) for i in registry.DEFAULTS)}) t(issue_type, severity, category)), n AS (SELECT issue_type, count(*) AS n, count(DISTINCT page_id) AS pages FROM i GROUP BY 1) SELECT issue_type, severity, category, coalesce(n, 0) AS issues, coalesce(pages, 0) AS pages FROM g LEFT JOIN n USING (issue_type)")
 def issue_definitions(spark, d):
-    return registry.definitions(spark).select("issue_type", "severity", "category")
+    """Every type of the registry with the issues and pages that show it."""
+    shown = fetch_issues(spark, d).groupBy("issue_type").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("p"))
+    return registry.definitions(spark).join(shown, "issue_type", "left").select("issue_type", "severity", "category", F.coalesce("n", F.lit(0)).alias("issues"), F.coalesce("p", F.lit(0)).alias("pages"))
 
 
-BLOCKS = [(1, '{"@type":"Product","name":"a","description":"b"}'), (2, '{"@type":["Article","Event"],"headline":"x","datePublished":"y","name":"n"}'), (3, '{"@type":"BreadcrumbList"}'), (4, '{"@type":"BlogPosting","headline":"x"}'), (5, '{"@type":"Organization","@graph":[{"name":"n"}]}'), (6, '{"@type":"Unknown"}')]
-
-
-@query("""SELECT * FROM (VALUES (1, 'product_missing_price', 'Product: offers'), (2, 'article_missing_author', 'Article: author'), (2, 'structured_data_missing_fields', 'Event: startDate'),
-(3, 'breadcrumb_invalid', 'BreadcrumbList: itemListElement'), (4, 'structured_data_missing_fields', 'BlogPosting: author,datePublished')) t(page_id, issue_type, detail)""")
+@query(f"""WITH {V.K} SELECT k AS page_id, 'product_missing_price' AS issue_type, 'Product: offers' AS detail FROM k WHERE k % 6 = 1 AND status < 400 UNION ALL SELECT k, 'article_missing_author', 'Article: author' FROM k WHERE k % 6 = 2 AND status < 400
+UNION ALL SELECT k, 'structured_data_missing_fields', 'Event: startDate' FROM k WHERE k % 6 = 2 AND status < 400 UNION ALL SELECT k, 'breadcrumb_invalid', 'BreadcrumbList: itemListElement' FROM k WHERE k % 6 = 3 AND status < 400
+UNION ALL SELECT k, 'structured_data_missing_fields', 'BlogPosting: author,datePublished' FROM k WHERE k % 6 = 4 AND status < 400""")
 def structured_data(spark, d):
-    pages = spark.createDataFrame(BLOCKS, "page_id int, b string").select("page_id", F.lit("https://a.b/c").alias("url"), F.array("b").alias("structured_data"))
-    return R.evaluated(pages, R.post_crawl_rules(), R.many_issues(), phase="post_crawl").where("issue_type rlike 'structured|product|article|breadcrumb'").select("page_id", "issue_type", "detail")
+    """The blocks of the parsed pages against the fields that their types require."""
+    return R.post_crawl_page_issues(V.tagged(spark, d)).where("issue_type rlike 'structured|product|article|breadcrumb'").select("page_id", "issue_type", "detail")
+
+
+@query(f"""WITH {V.K} SELECT k AS page_id, CASE WHEN k % 4 > 0 THEN 'about page ' || k END AS meta_description,
+CASE WHEN k % 36 = 1 THEN 'https://site.test/p/' || (k + 5) WHEN k % 3 = 0 THEN url WHEN k % 3 = 1 THEN before WHEN k % 150 = 20 THEN 'https://other.test/' END AS canonical_url, k % 3 = 0 AS self_referencing_canonical, CASE k % 5 WHEN 0 THEN 'NOINDEX, follow' WHEN 1 THEN 'nofollow' END AS robots_meta, k % 5 = 0 AS noindex, k % 5 = 1 AS nofollow,
+CASE WHEN k % 12 = 1 THEN 'Two ' || k || '|Three' WHEN k % 4 = 1 THEN 'Two ' || k ELSE '' END AS h2, CASE WHEN k % 12 = 1 THEN 1 ELSE 0 END AS h4, CAST(k % 3 + k % 2 AS INTEGER) AS image_count, CAST(k % 3 AS INTEGER) AS images_with_alt, CAST(k % 2 AS INTEGER) AS images_without_alt,
+CAST(k % 2 AS INTEGER) AS images_missing_dimensions, CASE WHEN k % 3 = 2 AND k % 2 = 1 THEN 1 ELSE 0 END AS images_missing_lazy_loading, CASE WHEN k % 2 = 0 THEN 't' || k END AS og_title, CASE WHEN k % 6 = 0 THEN 'i' || k || '.png' END AS og_image, CASE WHEN k % 7 = 0 THEN 'summary' END AS twitter_card,
+CASE WHEN k % 24 = 0 THEN 'de,de' WHEN k % 8 = 0 THEN 'de' WHEN k % 16 = 1 THEN 'en' WHEN k % 32 = 3 THEN 'english' ELSE '' END AS alternates, k % 18 = 1 OR k % 90 = 2 AS is_amp, CASE WHEN k % 9 = 0 THEN following END AS amp_html_url, CASE WHEN k % 10 = 0 THEN following END AS pagination_next,
+CASE WHEN k % 10 = 1 THEN before END AS pagination_prev, CASE WHEN k % 6 > 0 THEN 1 ELSE 0 END AS blocks FROM k""")
+def page_fields(spark, d):
+    """The tags of each page's head and body, as the parse tells them."""
+    one = lambda m, k: F.col(m).getItem(k)
+    return V.tagged(spark, d).select(
+        "page_id", "meta_description", "canonical_url", "self_referencing_canonical", "robots_meta", "noindex", "nofollow", F.array_join("headings_h2", "|").alias("h2"), F.size("headings_h4").alias("h4"),
+        "image_count", "images_with_alt", "images_without_alt", "images_missing_dimensions", "images_missing_lazy_loading", one("open_graph", "title").alias("og_title"), one("open_graph", "image").alias("og_image"), one("twitter_card", "card").alias("twitter_card"),
+        F.array_join("hreflang_alternates", ",").alias("alternates"), "is_amp", "amp_html_url", "pagination_next", "pagination_prev", F.size("structured_data").alias("blocks"))
+
+
+TAGGED = [
+    ("no_canonical_tag", "warning", "technical", "k % 3 = 2 AND k % 150 <> 20"), ("external_canonical", "critical", "technical", "k % 150 = 20"), ("canonicalized_url", "warning", "technical", "k % 3 = 1"),
+    ("important_page_noindex", "critical", "technical", "k % 5 = 0"), ("hreflang_duplicate_lang", "critical", "internationalization", "k % 24 = 0"), ("hreflang_invalid_code", "warning", "internationalization", "k % 32 = 3"),
+    ("amp_missing_canonical", "warning", "technical", "k % 90 = 2"), ("image_missing_alt_attribute", "critical", "content", "k % 2 = 1"), ("image_missing_dimensions", "info", "performance", "k % 2 = 1"),
+    ("image_missing_lazy_loading", "info", "performance", "k % 2 = 1 AND k % 3 = 2"), ("missing_pagination_canonical", "info", "technical", "k % 10 < 2 AND k % 3 = 2 AND k % 150 <> 20"), ("heading_non_sequential", "warning", "structure", "k % 12 = 1"),
+    ("missing_og_tags", "warning", "social", "k % 2 = 1"), ("og_missing_image", "info", "social", "k % 2 = 0 AND k % 6 > 0"), ("missing_twitter_card", "info", "social", "k % 7 > 0"), ("twitter_missing_image", "info", "social", "k % 7 = 0"),
+    ("missing_h2", "info", "structure", "k % 4 <> 1"), ("non_self_referencing_canonical", "info", "technical", "k % 3 = 1 OR k % 150 = 20"),
+]
+
+
+@query(f"WITH {V.K} " + " UNION ALL ".join(f"SELECT k AS page_id, '{i}' AS issue_type, '{s}' AS severity, '{c}' AS category FROM k WHERE status < 400 AND ({w})" for i, s, c, w in TAGGED))
+def issues_tagged(spark, d):
+    """The rules that read the tags of head and body, over pages that have them."""
+    pages = V.tagged(spark, d)
+    names = ", ".join(f"'{i}'" for i, *_ in TAGGED)
+    found = R.post_crawl_page_issues(pages).unionByName(R.incremental_issues(pages).where("issue_type = 'non_self_referencing_canonical'"))
+    return found.where(f"issue_type in ({names})").select("page_id", "issue_type", "severity", "category")
 
 
 # Across pages
@@ -231,19 +266,22 @@ def broken_pagination(spark, d):
     return X.broken_pagination(pages).select("url", "detail")
 
 
-@query("SELECT * FROM (VALUES ('u1', 'u2', 'hreflang_missing_reciprocal'), ('u1', 'mailto:x', 'hreflang_invalid_target'), ('u3', 'u4', 'hreflang_invalid_target')) t(url, detail, issue_type)")
+@query(f"""WITH {V.K}, l AS (SELECT k, url, following AS href FROM k WHERE k % 8 = 0 UNION ALL SELECT k, url, before FROM k WHERE k % 16 = 1 UNION ALL SELECT k, url, url FROM k WHERE k % 24 = 0 OR k % 32 = 3)
+SELECT url, href AS detail, 'hreflang_missing_reciprocal' AS issue_type FROM l WHERE href <> url AND href IN (SELECT url FROM k) AND (href, url) NOT IN (SELECT url, href FROM l) UNION ALL SELECT url, href, 'hreflang_invalid_target' FROM l WHERE href IN (SELECT url FROM k WHERE status >= 400)""")
 def hreflang_reciprocity(spark, d):
-    site = lambda c: F.regexp_replace(c, "https://s/", "")
-    pages = spark.createDataFrame([("https://s/u1", 200), ("https://s/u2", 200), ("https://s/u3", 200), ("https://s/u4", 404)], "url string, status_code int").withColumn("normalized_url", F.col("url"))
-    told = spark.createDataFrame([("https://s/u1", "https://s/u2"), ("https://s/u1", "mailto:x"), ("https://s/u3", "https://s/u1"), ("https://s/u1", "https://s/u3"), ("https://s/u3", "https://s/u4"), ("https://s/u4", "https://s/u3")], "url string, href string").withColumn("href_normalized", F.col("href"))
+    """The alternates that the pages name: targets that fail, and targets that don't name the page in turn."""
+    pages = V.tagged(spark, d)
+    told = pages.select("url", F.explode("hreflang_links").alias("l")).select("url", F.col("l.href").alias("href"), normalized(F.col("l.href")).alias("href_normalized"))
     found = X.hreflang_targets(pages, told).unionByName(X.hreflang_reciprocity(pages, told))
-    return found.select(site(F.col("url")).alias("url"), site(F.col("detail")).alias("detail"), "issue_type")
+    return found.select("url", "detail", "issue_type")
 
 
-@query("SELECT * FROM (VALUES ('p1', 'amp_invalid_target'), ('p2', 'amp_canonical_mismatch')) t(url, issue_type)")
+@query(f"""WITH {V.K} SELECT a.url, 'amp_invalid_target' AS issue_type, b.url AS detail FROM k a JOIN k b ON b.k = a.k + 1 WHERE a.k % 9 = 0 AND b.k % 18 <> 1
+UNION ALL SELECT a.url, 'amp_canonical_mismatch', 'https://site.test/p/' || (b.k + 5) FROM k a JOIN k b ON b.k = a.k + 1 WHERE a.k % 9 = 0 AND b.k % 36 = 1""")
 def amp_pairs(spark, d):
-    pages = spark.createDataFrame([("p1", "x1", False, None), ("x1", None, False, None), ("p2", "x2", False, None), ("x2", None, True, "other"), ("p3", "x3", False, None), ("x3", None, True, "p3"), ("p4", "x4", False, None), ("x4", None, True, None)], "url string, amp_normalized string, is_amp boolean, canonical_normalized string").withColumn("normalized_url", F.col("url"))
-    return X.amp_pairs(pages).select("url", "issue_type")
+    """The AMP pages that the pages name: targets that are none, and those whose canonical leads elsewhere."""
+    pages = V.tagged(spark, d).withColumns({"amp_normalized": normalized(F.col("amp_html_url")), "canonical_normalized": normalized(F.col("canonical_url"))})
+    return X.amp_pairs(pages).select("url", "issue_type", "detail")
 
 
 # Pages, issues, links
@@ -423,11 +461,29 @@ def similar_pairs(spark, d):
     return S.similar_pairs(units).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+GREEDY = f"""{TFIDF}, u AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS w FROM w),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.35), o AS (SELECT a, list(b) AS n, row_number() OVER (ORDER BY a) AS k FROM pr GROUP BY a),
+r(k, a, taken, led) AS (SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], false UNION ALL SELECT o.k, o.a, CASE WHEN list_contains(taken, o.a) THEN taken ELSE list_distinct(list_concat(taken, n)) END, NOT list_contains(taken, o.a) FROM r JOIN o ON o.k = r.k + 1),
+m AS (SELECT b AS id, min(a) AS leader, round(min_by(similarity, a), 3) AS score FROM pr WHERE a IN (SELECT a FROM r WHERE led) GROUP BY 1), members AS (SELECT * FROM m UNION ALL SELECT DISTINCT leader, leader, 1.0 FROM m)"""
+
+
+def cluster_members(spark, d):
+    weights = S.tfidf(V.table(spark, d, "documents"), "doc_id", F.col("text"))
+    return weights, S.clusters(S.similar_pairs(S.unit(weights)), V.table(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT id, leader, score FROM members")
 def clusters(spark, d):
-    docs = V.table(spark, d, "documents")
-    pairs = S.similar_pairs(S.unit(S.tfidf(docs, "doc_id", F.col("text"))))
-    return S.clusters(pairs, docs.select(F.col("doc_id").alias("id")))
+    return cluster_members(spark, d)[1]
+
+
+@query(f"""WITH RECURSIVE {GREEDY}, kw AS (SELECT leader, term, sum(weight) AS v FROM members JOIN w ON id = doc_id GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY round(v, 9) DESC, term) AS k FROM kw),
+g AS (SELECT leader, string_agg(term, '; ' ORDER BY k) AS keywords FROM top WHERE k <= 10 GROUP BY 1), z AS (SELECT leader, count(*) AS n FROM members GROUP BY 1)
+SELECT leader AS cluster_id, '/d/' || leader AS representative_url, n AS cluster_size, keywords, '/d/' || id AS member_url, score AS member_score FROM members JOIN z USING (leader) JOIN g USING (leader)""")
+def cluster_report(spark, d):
+    weights, members = cluster_members(spark, d)
+    names = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("url"))
+    return S.cluster_report(members, weights, names)
 
 
 READ = r"""w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[^a-z'']+'), lambda x: trim(x, '''')), lambda x: x <> '') AS w,
@@ -487,14 +543,16 @@ def robots_filter(spark, d):
 CRONS = ["*/15 * * * *", "0 3 * * *", "30 6 1 * *", "5 */6 * 2 *", "0 0 29 2 1"]
 
 
-@query(f"""WITH c AS (SELECT unnest({CRONS!r}) AS expression), s AS (SELECT expression, string_split(expression, ' ') AS f FROM c), m AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-31 23:59:00' + INTERVAL 1 MINUTE, TIMESTAMP '2024-01-31 23:59:00' + INTERVAL 370 DAY, INTERVAL 1 MINUTE)) AS t)
-SELECT expression, strftime(min(t) FILTER (
+@query(f"""WITH c AS (SELECT unnest({CRONS!r}) AS expression), s AS (SELECT expression, string_split(expression, ' ') AS f FROM c), m AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-31 23:59:00' + INTERVAL 1 MINUTE, TIMESTAMP '2024-01-31 23:59:00' + INTERVAL 370 DAY, INTERVAL 1 MINUTE)) AS t),
+n AS (SELECT expression, strftime(min(t) FILTER (
  (f[1] = '*' OR (f[1] LIKE '*/%' AND minute(t) % nullif(CAST(replace(replace(f[1], '*/', ''), '*', '1') AS INTEGER), 0) = 0) OR f[1] = CAST(minute(t) AS VARCHAR)) AND (f[2] = '*' OR (f[2] LIKE '*/%' AND hour(t) % nullif(CAST(replace(replace(f[2], '*/', ''), '*', '1') AS INTEGER), 0) = 0) OR f[2] = CAST(hour(t) AS VARCHAR))
- AND (f[3] = '*' OR f[3] = CAST(day(t) AS VARCHAR)) AND (f[4] = '*' OR f[4] = CAST(month(t) AS VARCHAR)) AND (f[5] = '*' OR f[5] = CAST(dayofweek(t) AS VARCHAR))), '%Y-%m-%d %H:%M') AS next_run FROM s, m GROUP BY 1""")
+ AND (f[3] = '*' OR f[3] = CAST(day(t) AS VARCHAR)) AND (f[4] = '*' OR f[4] = CAST(month(t) AS VARCHAR)) AND (f[5] = '*' OR f[5] = CAST(dayofweek(t) AS VARCHAR))), '%Y-%m-%d %H:%M') AS next_run FROM s, m GROUP BY 1)
+SELECT c_custkey AS schedule_id, {CRONS!r}[CAST(c_custkey % 5 + 1 AS INTEGER)] AS expression, next_run FROM customer JOIN n ON expression = {CRONS!r}[CAST(c_custkey % 5 + 1 AS INTEGER)]""")
 def cron_next(spark, d):
-    now = datetime(2024, 1, 31, 23, 59)
-    rows = [(c, n.strftime("%Y-%m-%d %H:%M") if (n := C.next_run(c, now)) else None) for c in CRONS]
-    return spark.createDataFrame(rows, "expression string, next_run string")
+    """The next run of each customer's schedule; each expression in use is worked out once."""
+    mine = V.table(spark, d, "customer").select(F.col("c_custkey").alias("schedule_id"), F.get(F.array(*map(F.lit, CRONS)), (F.col("c_custkey") % 5).cast("int")).alias("cron_expression"))
+    runs = L._runs(mine, datetime(2024, 1, 31, 23, 59))
+    return mine.join(runs, "cron_expression").select("schedule_id", F.col("cron_expression").alias("expression"), F.date_format("following", "yyyy-MM-dd HH:mm").alias("next_run"))
 
 
 LEVELS = "edge AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS s, CAST(l_partkey AS BIGINT) AS t FROM lineitem)"
@@ -516,6 +574,32 @@ def crawl_bfs_all_levels(spark, d):
     return C.frontier_levels(spark.createDataFrame([("1",)], "url string"), item_edges(spark, d), max_depth=2**31 - 1)
 
 
+def fifo_sql(levels: int, most: int) -> str:
+    """The queue of a crawl, one subquery a level: a target stands where its first link does."""
+    out = f"x AS (SELECT CAST(l_orderkey AS VARCHAR) AS s, CAST(l_partkey AS VARCHAR) AS t, l_linenumber AS n FROM lineitem WHERE l_returnflag <> 'R'), q0 AS (SELECT '1' AS url, 0 AS depth, 0::BIGINT AS place), all0 AS (SELECT * FROM q0)"
+    for k in range(1, levels + 1):
+        out += f""", f{k} AS (SELECT t AS url, min((place, n)) AS p FROM x JOIN q{k - 1} ON s = url WHERE CAST(url AS BIGINT) % 7 <> 3 AND CAST(t AS BIGINT) % 11 <> 5 AND t NOT IN (SELECT url FROM all{k - 1}) GROUP BY 1),
+q{k} AS (SELECT url, {k} AS depth, (SELECT count(*) FROM all{k - 1}) + row_number() OVER (ORDER BY p, url) - 1 AS place FROM f{k} QUALIFY place < {most}), all{k} AS (SELECT * FROM all{k - 1} UNION ALL SELECT * FROM q{k})"""
+    return f"WITH {out} SELECT url, depth, place, CAST(url AS BIGINT) % 7 <> 3 AS crawled FROM all{levels}"
+
+
+@query(fifo_sql(6, 40))
+def crawl_fifo(spark, d):
+    """A crawl of at most 40 pages from page 1, which ends within a level: links that may be followed, by their place on
+    the page; every seventh page is closed to robots, every eleventh is out of scope."""
+    links = V.table(spark, d, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"), F.col("l_linenumber").alias("position"))
+    return C.crawl_order(
+        spark.createDataFrame([("1", 0)], "url string, position int"), links, max_depth=6, max_urls=40,
+        blocked=lambda urls: urls.where("cast(url as long) % 7 = 3"), in_scope=lambda c: c.cast("long") % 11 != 5)
+
+
+@query("""SELECT o_orderkey AS page_id, '/o/' || o_orderkey AS url, CAST(o_totalprice AS DOUBLE) AS response_time_ms FROM orders ORDER BY response_time_ms DESC, page_id DESC LIMIT 50 OFFSET 9000""")
+def urls_deep_page(spark, d):
+    """Page 180 of a sorted list: the pages are dealt by ranges and counted, and only the ranges that hold it are sorted."""
+    pages = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("/o/"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_totalprice").alias("response_time_ms"))
+    return Q.query_pages(pages, sort="response_time_ms", page=180, size=50)
+
+
 @query("SELECT event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1")
 def stream_progress(spark, d):
     from uuid import uuid4
@@ -530,9 +614,22 @@ def stream_progress(spark, d):
     return spark.table(name)
 
 
-@query("SELECT * FROM (VALUES ('https://a.b/1', '2024-01-01', 0.5::DOUBLE, 'daily'), ('https://a.b/2?x=1&y=2', NULL, NULL, NULL), ('https://a.b/3', NULL, NULL, NULL)) t(loc, lastmod, priority, changefreq)")
+@query("""SELECT url AS loc, CASE WHEN page_id % 3 > 0 THEN '2024-01-0' || (page_id % 3) END AS lastmod, CASE WHEN page_id % 2 = 0 THEN round((page_id % 10) / 10.0, 1) END::DOUBLE AS priority, CASE WHEN page_id % 4 = 0 THEN 'daily' END AS changefreq FROM pages WHERE page_id % 100 < 90""")
 def sitemap_parse(spark, d):
-    one = "<urlset><url><loc>https://a.b/1</loc><lastmod>2024-01-01</lastmod><priority>0.5</priority><changefreq>daily</changefreq></url><url><loc> https://a.b/2?x=1&amp;y=2 </loc><priority>x</priority></url></urlset>"
-    maps = spark.createDataFrame([("r", "<sitemapindex><sitemap><loc>s1</loc></sitemap><sitemap><loc>s2</loc></sitemap></sitemapindex>"), ("s1", one), ("s2", "<urlset><url><loc>https://a.b/3</loc></url></urlset>")], "sitemap string, xml string")
-    tree = landing.sitemap_tree(maps, "r")
-    return landing.sitemap_entries(maps).join(tree, "loc").select("loc", "lastmod", "priority", "changefreq")
+    """Sitemaps of the pages under an index of indexes, read back: namespaces, escaped and CDATA addresses, numbers that
+    are none, and documents of which no index tells (a tenth of the pages)."""
+    k = F.col("page_id")
+    some = lambda when, tag, text: F.when(when, F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))).otherwise("")
+    loc = F.when(k % 5 == 0, F.concat(F.lit("<![CDATA["), F.col("url"), F.lit("]]>"))).otherwise(F.concat(F.lit(" "), sinks.xml_escaped(F.col("url")), F.lit("\n")))
+    entry = F.concat(F.lit("<url>\n<loc>"), loc, F.lit("</loc>"), some(k % 3 > 0, "lastmod", F.concat(F.lit("2024-01-0"), (k % 3).cast("string"))), F.when(k % 2 == 0, F.concat(F.lit("<priority>0."), (k % 10).cast("string"), F.lit("</priority>"))).otherwise("<priority>x</priority>"), some(k % 4 == 0, "changefreq", F.lit("daily")), F.lit("</url>"))
+    entry = F.when(k % 100 < 50, entry).otherwise(F.regexp_replace(F.regexp_replace(entry, "<(?=[a-z])", "<sm:"), "</", "</sm:"))
+    # Ten pages a file, ten files an index: (100k + j) names page ranges, and the j from 9 on is in no index.
+    files = V.table(spark, d, "pages").groupBy(F.floor(k / 10).alias("n"), (k % 100 < 50).alias("plain")).agg(F.array_join(F.collect_list(entry), "").alias("body"))
+    told = lambda name, n: F.concat(F.lit(f"https://site.test/{name}-"), n.cast("string"), F.lit(".xml"))
+    maps = files.select(told("map", F.col("n")).alias("sitemap"), F.when(F.col("plain"), F.concat(F.lit("<urlset>"), F.col("body"), F.lit("</urlset>"))).otherwise(F.concat(F.lit('<sm:urlset xmlns:sm="x">'), F.col("body"), F.lit("</sm:urlset>"))).alias("xml"))
+    listed = files.where("n % 10 < 9").select(F.floor(F.col("n") / 10).alias("i"), F.concat(F.lit("<sitemap><loc>"), told("map", F.col("n")), F.lit("</loc></sitemap>")).alias("s"))
+    indexes = listed.groupBy("i").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list("s"), ""), F.lit("</sitemapindex>")).alias("xml")).select(told("index", F.col("i")).alias("sitemap"), "xml")
+    root = indexes.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), F.col("sitemap"), F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("root").alias("sitemap"), "xml")
+    every = maps.unionByName(indexes).unionByName(root)
+    tree = landing.sitemap_tree(every, "root")
+    return landing.sitemap_entries(every).join(tree, "loc", "left_semi").select("loc", "lastmod", "priority", "changefreq")

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import ranked
 from ..operators import cross_issues as X
 from ..operators import lifecycle as L
 from ..operators import page_issues as R
@@ -19,9 +20,9 @@ from ..operators import queries as Q
 from ..operators import registry
 from ..operators import text_stats as S
 from ..sources import sinks
-from ..sources.pages import html_sitemap, indexability, is_crawlable_type, is_html
+from ..sources.pages import indexability, is_crawlable_type, is_html
 from . import views as V
-from .catalogue import I, query
+from .catalogue import GREEDY, READ, I, cluster_report, ngram_sql, query
 
 
 def crawls(spark: SparkSession, d: str) -> DataFrame:
@@ -67,8 +68,8 @@ def project_updated(spark, d):
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS project_id, n_name AS name, row_number() OVER (ORDER BY n_nationkey * 3 % 25 DESC, n_nationkey DESC) AS place FROM nation")
 def project_list(spark, d):
-    rows = L.projects(nations(spark, d)).select("project_id", "name").collect()
-    return spark.createDataFrame([(r.project_id, r.name, k) for k, r in enumerate(rows, 1)], "project_id long, name string, place long")
+    listed = ranked(L.projects(nations(spark, d)), [F.desc("created_at"), F.desc("project_id")], "place")
+    return listed.select("project_id", "name", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS project_id, n_name AS name FROM nation WHERE n_nationkey = 7")
@@ -117,9 +118,13 @@ def crawl_chosen(spark, d):
     return Q.best_crawl(crawls(spark, d)).select("crawl_id", "status")
 
 
-@query(f"WITH {CRAWLS} SELECT crawl_id, project_id FROM c WHERE crawl_id <> 12")
+@query(f"""WITH {CRAWLS}, {ISSUES}, n AS (SELECT o_custkey AS crawl_id, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT o_custkey AS crawl_id, count(*) AS m FROM i JOIN orders ON o_orderkey = page_id GROUP BY 1)
+SELECT crawl_id, project_id, status, CASE WHEN crawl_id = 13 THEN 0 ELSE total_urls END AS total_urls, CASE WHEN crawl_id = 13 THEN 0 ELSE coalesce(n, 0) END AS url_count, CASE WHEN crawl_id = 13 THEN 0 ELSE coalesce(m, 0) END AS issue_count FROM c LEFT JOIN n USING (crawl_id) LEFT JOIN m USING (crawl_id)""")
 def crawl_cleared(spark, d):
-    return Q.without_crawl(12, crawls(spark, d))[0].select("crawl_id", "project_id")
+    """The crawls after one was emptied, its counter of URLs as stored, those of pages and issues counted anew."""
+    after = Q.cleared(13, crawls(spark, d), pages=order_pages(spark, d), issues=item_issues(spark, d))
+    links = after["issues"].join(after["pages"], "page_id")
+    return L.counted(after["crawls"], after["pages"], after["issues"], links).select("crawl_id", "project_id", "status", "total_urls", "url_count", "issue_count")
 
 
 @query("""SELECT l_orderkey AS url_id, max(l_linenumber) AS version, min(l_shipdate) AS first FROM lineitem GROUP BY 1""")
@@ -143,11 +148,20 @@ def url_details(spark, d):
 
 
 @query(f"{I} SELECT page_id, issue_type, severity FROM i WHERE page_id = 20")
-def issue_details(spark, d):
+def issues_of_page(spark, d):
     found = R.incremental_issues(V.pages(spark, d))
     return found.where("page_id = 20").select("page_id", "issue_type", "severity")
 
 
+@query(f"""SELECT l_orderkey * 10 + l_linenumber AS issue_id, CAST(l_orderkey AS BIGINT) AS page_id, {KINDS!r}[CAST(l_partkey % {len(KINDS)} + 1 AS INTEGER)] AS issue_type, '/o/' || l_orderkey AS page_url, CAST({V.STATUS.format("o_orderkey")} AS INTEGER) AS page_status
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey * 10 + l_linenumber = 13""")
+def issue_details(spark, d):
+    """The issue of number 13, with its page."""
+    issues = V.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("issue_id"), F.col("l_orderkey").cast("long").alias("page_id"), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("l_partkey") % len(KINDS) + 1).cast("int")).alias("issue_type"))
+    pages = V.fetched(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("/o/"), F.col("o_orderkey").cast("string")).alias("url")))
+    return Q.issue_by_id(issues, pages, 13).select("issue_id", "page_id", "issue_type", "page_url", "page_status")
+
+
 @query(f"WITH {ISSUES} SELECT count(*) AS total FROM i WHERE severity = 'warning' AND issue_type ILIKE '%title%'")
 def issues_search_total(spark, d):
     return L.total_pages(Q.query_issues(item_issues(spark, d), severity="warning", term="title", size=2**31 - 1), 50).select("total")
@@ -258,8 +272,7 @@ def content_types(spark, d):
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"')) AS INTEGER) AS links FROM pages")
 def html_sitemap_links(spark, d):
-    count = F.udf(lambda h: len(html_sitemap(h or "")), "int", useArrow=True)
-    return V.table(spark, d, "pages").select("page_id", count("html").alias("links"))
+    return V.pages(spark, d).select("page_id", F.size("links").alias("links"))
 
 
 # Diffs
@@ -367,20 +380,58 @@ def performance_export(spark, d):
     return sinks.report(sinks.search_rows(rows, "/P/", ("url",)), "performance").select("url", "ttfb_ms", "size_bytes")
 
 
-@query(f"WITH {V.P} SELECT url, CAST(status_code AS VARCHAR) AS status_code, coalesce(title, '') AS title, CAST(word_count AS VARCHAR) AS word_count, '' AS language FROM p WHERE status_code BETWEEN 400 AND 499 AND page_id % 2 = 0")
+EMPTY = lambda names: ", ".join(f"'' AS {n}" for n in names.split())
+
+
+@query(f"""WITH {V.P} SELECT url, url AS normalized_url, CAST(status_code AS VARCHAR) AS status_code, 'text/html' AS content_type, coalesce(title, '') AS title, CAST(word_count AS VARCHAR) AS word_count, CAST(response_time_ms AS VARCHAR) AS response_time_ms, CAST(size_bytes AS VARCHAR) AS size_bytes,
+indexability, CAST(depth AS VARCHAR) AS depth, {EMPTY("final_url meta_description h1 canonical_url meta_robots language inlinks_count outlinks_count discovered_at fetched_at last_crawled_at")} FROM p""")
 def urls_export(spark, d):
-    found = Q.page_filter(V.pages(spark, d), status_class="4xx").where("page_id % 2 = 0")
-    return sinks.report(found, "urls").select("url", "status_code", "title", "word_count", "language")
+    """All pages, all columns of the report; the URL as it stands for the key, as DuckDB has no normal form."""
+    return sinks.report(V.pages(spark, d).withColumn("normalized_url", F.col("url")), "urls")
 
 
-@query(f"WITH {V.E} SELECT source_url, target_url, anchor_text, CASE WHEN is_internal THEN 'true' ELSE 'false' END AS is_internal FROM e WHERE is_no_follow")
+@query(f"WITH {V.E} SELECT source_url, target_url, link_relation, anchor_text, CASE WHEN is_internal THEN 'true' ELSE 'false' END AS is_internal, CASE WHEN is_no_follow THEN 'true' ELSE 'false' END AS is_no_follow, '' AS detected_at FROM e")
 def links_export(spark, d):
-    return sinks.report(V.edges(spark, d).where("is_no_follow"), "links").select("source_url", "target_url", "anchor_text", "is_internal")
+    return sinks.report(V.edges(spark, d), "links")
 
 
-@query(f"WITH {ISSUES} SELECT issue_type, severity, category, url FROM (SELECT *, 'content' AS category FROM i) WHERE severity = 'critical'")
+@query(f"""SELECT {KINDS!r}[CAST(l_partkey % {len(KINDS)} + 1 AS INTEGER)] AS issue_type, CASE l_suppkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'info' ELSE 'warning' END AS severity, 'content' AS category, '/o/' || l_orderkey AS url, 'line ' || l_linenumber AS message,
+CASE WHEN l_linenumber = 1 THEN '' ELSE '{{"n":' || l_linenumber || '}}' END AS details_json, CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END AS is_fixed, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS detected_at FROM lineitem""")
 def issues_export(spark, d):
-    return sinks.report(item_issues(spark, d).where("severity = 'critical'"), "issues").select("issue_type", "severity", "category", "url")
+    """All issues, all columns of the report, nulls as nothing and times in RFC 3339."""
+    n = F.col("l_linenumber")
+    told = V.table(spark, d, "lineitem").select(
+        F.element_at(F.array(*map(F.lit, KINDS)), (F.col("l_partkey") % len(KINDS) + 1).cast("int")).alias("issue_type"), F.when(F.col("l_suppkey") % 5 == 0, "critical").when(F.col("l_suppkey") % 5 == 1, "info").otherwise("warning").alias("severity"), F.lit("content").alias("category"),
+        F.concat(F.lit("/o/"), F.col("l_orderkey").cast("string")).alias("url"), F.concat(F.lit("line "), n.cast("string")).alias("message"), F.when(n > 1, F.to_json(F.struct(n.cast("int").alias("n")))).alias("details_json"), (n % 2 == 0).alias("is_fixed"), F.col("l_shipdate").alias("detected_at"))
+    return sinks.report(told, "issues")
+
+
+def keywords_sql(n: int, kind: str) -> str:
+    return f"SELECT '{kind}' AS gram_type, phrase, CAST(\"count\" AS VARCHAR) AS \"count\", CAST(CAST(frequency AS DECIMAL(12, 8)) AS VARCHAR) AS frequency FROM ({ngram_sql(n)})"
+
+
+@query(" UNION ALL ".join(keywords_sql(n, k) for n, k in ((1, "unigram"), (2, "bigram"), (3, "trigram"))))
+def keywords_export(spark, d):
+    docs = V.table(spark, d, "documents")
+    kinds = (S.keywords(docs, F.col("text"), n).select(F.lit(k).alias("gram_type"), "phrase", "count", F.round("frequency", 10).cast("decimal(12,8)").alias("frequency")) for n, k in ((1, "unigram"), (2, "bigram"), (3, "trigram")))
+    return sinks.report(A.reduce(DataFrame.unionByName, kinds), "keywords")
+
+
+@query(f"""WITH {READ}, x AS (SELECT r.*, row_number() OVER (ORDER BY r.doc_id % 1000, r.doc_id) AS k FROM r JOIN documents USING (doc_id) WHERE trim(coalesce(text, '')) <> '')
+SELECT '/d/' || doc_id AS url, '' AS title, '200' AS status_code, CAST(doc_id % 1000 AS VARCHAR) AS word_count, CAST(sentence_count AS VARCHAR) AS sentence_count, CAST(syllable_count AS VARCHAR) AS syllable_count, CAST(CASE WHEN words > 0 THEN round(100 * words / sentence_count) / 100 ELSE 0.0 END AS VARCHAR) AS avg_words_per_sentence,
+CAST(ease AS VARCHAR) AS flesch_reading_ease, CAST(grade AS VARCHAR) AS flesch_kincaid_grade, CASE WHEN ease >= 80 THEN 'Easy' WHEN ease >= 60 THEN 'Standard' WHEN ease >= 30 THEN 'Difficult' ELSE 'Very difficult' END AS reading_level FROM x""")
+def content_audit_export(spark, d):
+    """The readability of every document as a page's."""
+    k = F.col("doc_id")
+    pages = V.table(spark, d, "documents").select(k.alias("page_id"), F.concat(F.lit("/d/"), k.cast("string")).alias("url"), F.lit(None).cast("string").alias("title"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), (k % 1000).alias("word_count"), F.col("text").alias("extractable_text"))
+    return sinks.report(S.content_audit(pages, None), "content_audit")
+
+
+@query(f"""WITH RECURSIVE {GREEDY}, kw AS (SELECT leader, term, sum(weight) AS v FROM members JOIN w ON id = doc_id GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY round(v, 9) DESC, term) AS k FROM kw),
+g AS (SELECT leader, string_agg(term, '; ' ORDER BY k) AS keywords FROM top WHERE k <= 10 GROUP BY 1), z AS (SELECT leader, count(*) AS n FROM members GROUP BY 1)
+SELECT CAST(leader AS VARCHAR) AS cluster_id, '/d/' || leader AS representative_url, CAST(n AS VARCHAR) AS cluster_size, keywords, '/d/' || id AS member_url, CAST(score AS VARCHAR) AS member_score FROM members JOIN z USING (leader) JOIN g USING (leader)""")
+def clusters_export(spark, d):
+    return sinks.report(cluster_report(spark, d), "clusters")
 
 
 @query(f"WITH {V.P} SELECT page_id, url, word_count FROM p WHERE status_code BETWEEN 200 AND 399 AND (title <> '' OR body <> '') ORDER BY word_count, page_id LIMIT 100")

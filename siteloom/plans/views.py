@@ -6,7 +6,9 @@ columns, computed from the row's id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.pages import links, parsed
@@ -31,6 +33,38 @@ def pages(spark: SparkSession, sf_dir: str, keep_html: bool = False) -> DataFram
     return fetched(parsed(table(spark, sf_dir, "pages"), keep_html=keep_html))
 
 
+#: What the given pages lack, by the number k of a page: (when, tags), in the head and in the body. Both engines fill in k.
+HEAD_TAGS = [
+    ("{k} % 4 > 0", '<meta name="description" content="about page {k}">'),
+    ("{k} % 36 = 1", '<link rel="canonical" href="/p/{k + 5}">'), ("{k} % 3 = 0", '<link rel="canonical" href="https://site.test/p/{k}">'), ("{k} % 3 = 1 AND {k} % 36 <> 1", '<link rel="canonical" href="/p/{k - 1}">'), ("{k} % 150 = 20", '<link rel="canonical" href="https://other.test/">'),
+    ("{k} % 5 = 0", '<meta name="robots" content="NOINDEX, follow">'), ("{k} % 5 = 1", '<meta name="robots" content="nofollow">'),
+    ("{k} % 2 = 0", '<meta property="og:title" content="t{k}">'), ("{k} % 6 = 0", '<meta property="og:image" content="i{k}.png">'), ("{k} % 7 = 0", '<meta name="twitter:card" content="summary">'),
+    ("{k} % 8 = 0", '<link rel="alternate" hreflang="de" href="/p/{k + 1}">'), ("{k} % 16 = 1", '<link rel="alternate" hreflang="en" href="/p/{k - 1}">'), ("{k} % 24 = 0", '<link rel="alternate" hreflang="de" href="/p/{k}">'), ("{k} % 32 = 3", '<link rel="alternate" hreflang="english" href="/p/{k}">'),
+    ("{k} % 9 = 0", '<link rel="amphtml" href="/p/{k + 1}">'), ("{k} % 10 = 0", '<link rel="next" href="/p/{k + 1}">'), ("{k} % 10 = 1", '<link rel="prev" href="/p/{k - 1}">'),
+    ("{k} % 6 = 1", '<script type="application/ld+json">{"@type":"Product","name":"a","description":"b"}</script>'),
+    ("{k} % 6 = 2", '<script type="application/ld+json">{"@type":["Article","Event"],"headline":"x","datePublished":"y","name":"n"}</script>'),
+    ("{k} % 6 = 3", '<script type="application/ld+json">{"@type":"BreadcrumbList"}</script>'), ("{k} % 6 = 4", '<script type="application/ld+json">{"@type":"BlogPosting","headline":"x"}</script>'),
+    ("{k} % 6 = 5", '<script type="application/ld+json">{"@type":"Organization","@graph":[{"name":"n"}]}</script><script type="application/ld+json">{not json</script>'),
+]
+BODY_TAGS = [("{k} % 3 > 0", '<img src="a.png" alt="x" width="1" height="1" loading="lazy">'), ("{k} % 3 > 1", '<img src="a.png" alt="y" width="1" height="1">'), ("{k} % 2 = 1", '<img src="b.png">'), ("{k} % 4 = 1", "<h2>Two {k}</h2>"), ("{k} % 12 = 1", "<h2>Three</h2><h4>Four</h4>")]
+
+
+def tag_columns(tags: list[tuple[str, str]]) -> list[Column]:
+    def text(tag: str) -> Column:
+        parts = re.split(r"\{(k(?: [+-] \d+)?)\}", tag)
+        return F.concat(*(F.expr(x.replace("k", "page_id")).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+    return [F.when(F.expr(when.replace("{k}", "page_id")), text(tag)).otherwise("") for when, tag in tags]
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages under addresses of one site, with the tags above, parsed."""
+    rows = table(spark, sf_dir, "pages")
+    html = F.replace(F.replace("html", F.lit("</head>"), F.concat(*tag_columns(HEAD_TAGS), F.lit("</head>"))), F.lit("<body>"), F.concat(F.lit("<body>"), *tag_columns(BODY_TAGS)))
+    html = F.when((F.col("page_id") % 18 == 1) | (F.col("page_id") % 90 == 2), F.regexp_replace(html, "^(<!DOCTYPE html><html)", "$1 amp")).otherwise(html)
+    return fetched(parsed(rows.withColumns({"html": html, "url": F.concat(F.lit("https://site.test/p/"), F.col("page_id").cast("string"))})))
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(parsed(table(spark, sf_dir, "pages")))
 
@@ -87,3 +121,5 @@ q AS (
   FROM part
 )"""
 A = "a AS (SELECT * FROM p WHERE page_id % 10 <> 0), b AS (SELECT * EXCLUDE (title), CASE WHEN page_id % 7 = 0 THEN title || ' v2' ELSE title END AS title FROM p WHERE page_id % 10 <> 1)"
+#: The numbers and addresses of the tagged pages.
+K = f"k AS (SELECT page_id AS k, 'https://site.test/p/' || page_id AS url, 'https://site.test/p/' || (page_id + 1) AS following, 'https://site.test/p/' || (page_id - 1) AS before, {STATUS.format('page_id')} AS status FROM pages)"

@@ -46,9 +46,12 @@ def _tags(xml: Column, tag: str) -> Column:
 
 
 def _one(xml: Column, tag: str) -> Column:
-    text = F.trim(F.regexp_replace(F.regexp_extract(xml, rf"(?s)<(?:\w+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{tag}>", 1), r"^\s*<!\[CDATA\[|\]\]>\s*$", ""))
+    """The text of the first such element without white space around it; references are decoded, but not in CDATA."""
+    raw = F.regexp_replace(F.regexp_extract(xml, rf"(?s)<(?:\w+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{tag}>", 1), r"^\s+|\s+\z", "")
+    plain = raw
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
+        plain = F.replace(plain, F.lit(name), F.lit(sign))
+    text = F.when(raw.startswith("<![CDATA["), F.regexp_replace(raw, r"(?s)\A<!\[CDATA\[\s*|\s*\]\]>\z", "")).otherwise(plain)
     return F.when(text != "", text)
 
 

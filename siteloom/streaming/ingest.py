@@ -1,28 +1,9 @@
-"""Crawls as streams: parse and append by micro-batch, and running counters."""
+"""Running counters over a stream of events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
-
-from ..operators.page_issues import incremental_issues
-from ..sources.pages import links, parsed
-
-
-def ingest(spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Reads landed pages as files arrive; each micro-batch is parsed once and appended to pages, links and issues
-    under ``out``, in folders of its own, so that a batch that runs again replaces what it wrote."""
-    pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-
-    def write(batch: DataFrame, number: int) -> None:
-        rows = parsed(batch).persist()
-        for name, frame in (("pages", rows.drop("links")), ("links", links(rows)), ("issues", incremental_issues(rows))):
-            frame.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        rows.unpersist()
-
-    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(events: DataFrame) -> DataFrame:
