@@ -133,6 +133,36 @@ def star_links(pairs: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int)
     return first.join(sets.select(F.col("id").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("y")), "v").select("u", "v", "x", "y").mapInArrow(confirm, "u long, v long")
 
 
+#: A frequent shingle's rows meet its count in so many tasks.
+LOTS = 16
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, bucket): for each set (id, s) the rarest of its shingles, of which two linked sets share one at least.
+
+    A set of n shingles that is linked with another shares percent * n / 100 of them or more. In any one order of all
+    shingles, such two sets share one among the first n - ceil(percent * n / 100) + 1 of each. The order is by how many
+    of the sets hold a shingle, so the keys are rare. Those that one set alone holds come first and need no row: a set
+    with as many of them as its prefix is long has no key at all."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, held = b.column("id").to_numpy(), [np.frombuffer(x, np.int64) for x in b.column("s").to_pylist()]
+            n = np.array([len(x) for x in held], np.int64)
+            at = 0
+            while at < len(held):  # a few sets at a time, as a batch's sets may be long
+                end = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 1_000_000)) + at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at:end], n[at:end])), pa.array(np.repeat(n[at:end], n[at:end])), pa.array(np.concatenate(held[at:end]))], names=["id", "n", "bucket"])
+                at = end
+
+    rows = sets.select("id", "s").mapInArrow(grams, "id long, n long, bucket long")
+    often = rows.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1").withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+    met = rows.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(LOTS)).cast("int")).join(often, ["bucket", "lot"])
+    own = met.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "bucket"))).alias("v"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("v"))
+    return own.select("id", F.explode(F.slice("v", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("x")).select("id", "x.bucket")
+
+
 def cross_links(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between different components among rows of one block pair: between the two sides, or, if there is
     one side, within it. Those that join what earlier links joined already are left out."""
@@ -171,9 +201,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     1. 128 minima in 32 bands of 4 (a linked pair at 80 % shares no band with probability 5e-8). Each row of a
        bucket is paired with the bucket's smallest id: as many pairs as rows, however large the bucket.
     2. Pairs are verified by signature, then confirmed on whole sets; large-star/small-star joins them.
-    3. Buckets that still hold several components may hide links between rows other than their smallest. Such
-       buckets (each set of rows once) are dealt into chunks of bounded size, and every two chunks of a bucket
-       are compared across components; only the links that join components leave a task. Components again.
+    3. Buckets that still hold several components may hide links between rows other than their smallest. Their rows
+       are keyed anew, by the rarest shingles of each set, as many as two linked sets can't both lack (exact, see
+       :func:`prefixes`): rows of one template, alike in half of their shingles, then share no key. Groups of a key
+       with several components are joined to their smallest rows as in 2.
+    4. Groups that hold several components even now (each set of rows once) are dealt into chunks of bounded size, and
+       every two chunks of a group are compared across components; only the links that join components leave a task.
+       Components again.
     """
     size, key = shingle, ["n", "k1", "k2"]
     made: list[DataFrame] = []
@@ -205,11 +239,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     links = written(star_links(pairs, sets, sigs, percent), "links")
     first = written(components(links), "first")
 
+    # Rows of buckets that still hold several components: a link between two of them may be open.
     mixed_rows = shared.where("rows > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = mixed_rows.groupBy("bucket").agg(F.first("rows").alias("c"), F.first("mark").alias("mark"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    # Buckets of several bands often hold the same rows: one of them is enough.
-    mixed = mixed.groupBy("c", "mark").agg(F.min("bucket").alias("bucket"))
-    open_rows = written(mixed_rows.join(mixed.select("bucket"), "bucket").join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open")
+    mixed = mixed_rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_ids = mixed_rows.join(mixed.select("bucket"), "bucket").select("id").distinct()
+    keyed = written(prefixes(sets.join(open_ids, "id"), percent), "prefixes")
+
+    def groups(known: DataFrame) -> DataFrame:
+        """Rows of prefix shingles that hold several components, each set of rows once."""
+        told = keyed.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        some = told.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"), F.min("id").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        once = some.groupBy("c", "mark").agg(F.min(F.struct("bucket", "least")).alias("r")).select("r.*")
+        return told.join(once, "bucket")
+
+    star = written(groups(first).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct(), "prefix-stars")
+    second = written(components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(star_links(star, sets, sigs, percent))), "second")
+    open_rows = written(groups(second).join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open")
     loads = open_rows.groupBy("bucket").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
     chunks = loads.select("bucket", F.ceil(F.greatest(F.col("load") / CHUNK_SHINGLES, F.col("rows") / 1000)).cast("int").alias("chunks"))
     placed = open_rows.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -228,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
     more = met.groupBy("bucket", "lo", "hi").applyInArrow(compare, "u long, v long")
-    joined = first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)
+    joined = second.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)
     final = written(components(joined), "components")
     # A component's name is its smallest node; its smallest id may be that of another.
     least = final.join(heads.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
