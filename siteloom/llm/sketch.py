@@ -46,32 +46,35 @@ def written_out(cells: Column, size: Column) -> Column:
     return F.concat_ws(":", low(size.cast("long")), low(width(size)), F.array_join(F.transform(F.array_sort(cells), one), ":"))
 
 
-def peel(cells: DataFrame, by: list[str], rounds: int = 4) -> DataFrame:
-    """(by, differing, left): of the difference of two sketches, how many digests peeling recovers, and how many cells
-    it leaves; pairs without any difference have no row.
+def peel(cells: DataFrame, by: list[str], rounds: int = 4, keep: Column | None = None) -> DataFrame:
+    """(by, differing, left, digests): of the difference of two sketches, how many digests peeling recovers, how many
+    cells it leaves, and the digests themselves with the sign of the side that has them, of pairs that fit ``keep``
+    (a condition on ``by``; default all); pairs without any difference have no row.
 
     ``cells``: by, width, seed, cell, s, d, h, dealt by a subset of ``by``; then nothing below moves. A cell whose
     count is 1 or -1, and whose check and place fit its digest, is pure. Tables take turns, as in one table a digest has one
     cell and so is recovered once: it leaves its own cell, and its other two cells get it with the opposite sign.
     """
-    by = [*by, "width", "seed"]
-    one = lambda cell, s, d, h: F.struct(cell.alias("cell"), s.alias("s"), d.alias("d"), h.alias("h"))
+    by, keep = [*by, "width", "seed"], F.lit(True) if keep is None else keep
+    one = lambda cell, s, d, h, got: F.struct(cell.alias("cell"), s.alias("s"), d.alias("d"), h.alias("h"), got.alias("got"))
     zero = F.lit(0).cast("long")
 
     def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*by, "cell").agg(F.sum("s").alias("s"), F.bit_xor("d").alias("d"), F.bit_xor("h").alias("h")).where("s <> 0 or d <> 0 or h <> 0")
+        return rows.groupBy(*by, "cell", "got").agg(F.sum("s").alias("s"), F.bit_xor("d").alias("d"), F.bit_xor("h").alias("h")).where("s <> 0 or d <> 0 or h <> 0")
 
-    state = summed(cells)
+    state = summed(cells.withColumn("got", zero))
     for k in range(rounds * TABLES):
         j = k % TABLES
         pure = (F.abs("s") == 1) & (F.hash("d", F.lit(CHECK)) == F.col("h")) & (F.col("cell") == _cells(F.col("d"))[j])
-        taken = [one(F.lit(-1).cast("long"), F.lit(1).cast("long"), zero, zero.cast("int"))]
-        taken += [one(c, -F.col("s"), F.col("d"), F.col("h")) for i, c in enumerate(_cells(F.col("d"))) if i != j]
-        own = F.array(one(F.col("cell"), F.col("s"), F.col("d"), F.col("h")))
-        state = summed(state.select(*by, F.explode(F.when(pure, F.array(*taken)).otherwise(own)).alias("r")).select(*by, "r.cell", "r.s", "r.d", "r.h"))
+        # What is recovered leaves the cells: as a row of its own, or as one more in the pair's number.
+        taken = [one(F.lit(-1).cast("long"), F.when(keep, F.col("s")).otherwise(1).cast("long"), zero, zero.cast("int"), F.when(keep, F.col("d")).otherwise(zero))]
+        taken += [one(c, -F.col("s"), F.col("d"), F.col("h"), zero) for i, c in enumerate(_cells(F.col("d"))) if i != j]
+        own = F.array(one(F.col("cell"), F.col("s"), F.col("d"), F.col("h"), F.col("got")))
+        state = summed(state.select(*by, F.explode(F.when(pure, F.array(*taken)).otherwise(own)).alias("r")).select(*by, "r.cell", "r.s", "r.d", "r.h", "r.got"))
+    found = F.col("cell") < 0
     return state.groupBy(*by[:-2]).agg(
-        F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("s"))), F.lit(0)).alias("differing"),
-        F.count_if(F.col("cell") >= 0).alias("left"),
+        F.coalesce(F.sum(F.when(found, F.abs("s"))), F.lit(0)).alias("differing"), F.count_if(~found).alias("left"),
+        F.collect_list(F.when(found & keep, F.struct(F.col("got").alias("digest"), F.col("s").alias("sign")))).alias("digests"),
     )
 
 
@@ -92,7 +95,10 @@ def successors(docs: DataFrame, id_col: str, text: str, rows_per_block: int = 51
     ends = [*bounds[1:], bounds[-1] + 1]
     lo, hi = (F.array(*(F.lit(b).cast("long") for b in x)) for x in (bounds, ends))
     tie = F.xxhash64("text")
-    rows = rows.withColumn("bucket", F.greatest(F.size(F.filter(lo, lambda b: b <= F.col("id"))) - 1, F.lit(0)))
+    # The last bound that is not above the id: among every 32nd bound, then among the 32 from there.
+    below = lambda x: F.size(F.filter(x, lambda b: b <= F.col("id")))
+    rows = rows.withColumn("coarse", F.greatest(below(F.array(*(F.lit(b).cast("long") for b in bounds[::32]))) - 1, F.lit(0)) * 32)
+    rows = rows.withColumn("bucket", F.greatest(F.col("coarse") + below(F.slice(lo, F.col("coarse") + 1, F.lit(32))) - 1, F.lit(0))).drop("coarse")
     a, b = (F.get(x, F.col("bucket")).cast("double") for x in (lo, hi))
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 1e-9), (F.col("id").cast("double") - a) / F.greatest(b - a, F.lit(1.0))))
     block = F.when(F.col("id").isNull(), F.floor((tie / F.lit(2.0**64) + 0.5) * first)).otherwise(first + F.col("bucket") * each + F.floor(inside * each)).cast("long")
@@ -118,7 +124,9 @@ def successors(docs: DataFrame, id_col: str, text: str, rows_per_block: int = 51
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", first_rounds: int = 3, rows_per_block: int = 512) -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, digests_removed,
+    digests_added) for every row; the last two are the paragraph digests that peeling recovers from the difference of the
+    text's and the edited text's sketches: those of the one, and those of the other.
 
     The edited text has the last quarter of its code points replaced by as many of the next document's first.
     A fingerprint is the text's sketch, written out: its width is that of the size class of its paragraphs. Likeness
@@ -161,8 +169,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         return F.struct(F.lit(b).alias("other"), narrow.alias("width"), F.concat(side("own", ours, 1), side(b, theirs, -1)).alias("cells"))
 
     both = met.select(*KEYS, F.explode(F.array(difference("changed"), difference("after"))).alias("p")).select(*pair[:2], "p.other", "p.width", F.lit(0).alias("seed"), F.explode("p.cells").alias("c"))
-    found = materialize(peel(both.select(*pair, "width", "seed", "c.*"), pair, first_rounds), "peeled")
-    solved = [found.where("left = 0").select(*pair, "differing")]
+    versions_only = F.col("other") == "changed"
+    found = materialize(peel(both.select(*pair, "width", "seed", "c.*"), pair, first_rounds, versions_only), "peeled")
+    solved = [found.where("left = 0").select(*pair, "differing", "digests")]
     failed = found.where("left > 0").select(*pair)
     t = 1
     while rows := failed.count():
@@ -174,20 +183,24 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         again = again.withColumns({"width": most.cast("long"), "seed": F.lit(t)})
         both = again.select(*pair, "width", "seed", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("own").alias("digests")), F.struct(F.lit(-1).alias("sign"), F.col("b").alias("digests")))).alias("v")).select(*pair, "width", "seed", "v.*")
         cells = sketched(both, [*pair, "sign"]).select(*pair, "width", "seed", "cell", (F.col("sign") * F.col("n")).alias("s"), "d", "h")
-        found = materialize(peel(cells, pair), "peeled")
-        solved.append(found.where("left = 0").select(*pair, "differing"))
+        found = materialize(peel(cells, pair, keep=versions_only), "peeled")
+        solved.append(found.where("left = 0").select(*pair, "differing", "digests"))
         failed = found.where("left > 0").select(*pair)
         t += 1
     differing = solved[0]
     for more in solved[1:]:
         differing = differing.unionByName(more)
-    by = differing.groupBy(*KEYS).agg(F.max(F.when(F.col("other") == "changed", F.col("differing"))).alias("e"), F.max(F.when(F.col("other") == "after", F.col("differing"))).alias("n"))
+    by = differing.groupBy(*KEYS).agg(F.max(F.when(F.col("other") == "changed", F.col("differing"))).alias("e"), F.max(F.when(F.col("other") == "after", F.col("differing"))).alias("n"), F.max(F.when(F.col("other") == "changed", F.col("digests"))).alias("digests"))
 
     def like(other: str, d: str) -> Column:
         total, d = F.col("n_own") + F.col(f"n_{other}"), F.coalesce(F.col(d), F.lit(0))
         return F.when(total == 0, 1.0).otherwise((total - d) / (total + d))
 
+    def of_sign(sign: int) -> Column:
+        got = F.coalesce(F.col("digests"), F.array().cast("array<struct<digest:long,sign:long>>"))
+        return F.array_sort(F.transform(F.filter(got, lambda x: x["sign"] == sign), lambda x: x["digest"]))
+
     flat = s.where("not copy").select(*KEYS, "id", "n_chars", "edited_sha256")
     return flat.join(met.drop("after", "copy"), KEYS).join(by, KEYS, "left").select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", written_out(F.col("own"), F.col("n_own")).alias("fingerprint"), written_out(F.col("changed"), F.col("n_changed")).alias("edited_fingerprint"),
-        like("changed", "e").alias("near_edited"), like("after", "n").alias("near_next"))
+        like("changed", "e").alias("near_edited"), like("after", "n").alias("near_next"), of_sign(1).alias("digests_removed"), of_sign(-1).alias("digests_added"))
