@@ -694,3 +694,57 @@ def test_every_source_goes_through_the_flow(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST", 10)
     with pytest.raises(ValueError):
         mixing.mix(many)
+
+
+def test_peeling_recovers_the_differing_digests(spark):
+    rng = random.Random(21)
+    lines = lambda k: "\n".join(" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(1, 30))) for _ in range(k))
+    rows = [(i, lines(rng.choice((0, 1, 2, 9, 60)))) for i in range(60)] + [(None, lines(4)), (3, lines(5)), (70, None)]
+    got = sketch.fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    by_hash = {r.edited_sha256: r for r in got}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    seen = 0
+    # Ids that repeat are ordered by a hash, so only neighbours of single ids are held against plain sets.
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        r = by_hash.get(hashlib.sha256(edited.encode()).hexdigest())
+        if r is None or i in (2, 3, None):
+            continue
+        a, b = (set(spark.createDataFrame([(x,)], "t string").select(sketch.paragraph_digests(F.col("t"))).first()[0]) for x in (t, edited)) if seen < 12 else (None, None)
+        if a is not None:
+            assert set(r.digests_removed) == a - b and set(r.digests_added) == b - a and len(r.digests_removed) == len(a - b)
+        seen += 1
+    assert seen > 40
+
+
+def test_near_duplicates_of_one_template(spark):
+    """Thousands of texts that share half of their words, a few of them near copies: found, without comparing all."""
+    rng = random.Random(31)
+    common = [f"t{k}" for k in range(40)]
+    rows = []
+    for i in range(3000):
+        own = [f"o{i}x{k}" for k in range(40)]
+        rows.append((i, " ".join(common + own)))
+    for k in range(20):
+        w = rows[k * 7][1].split()
+        w[rng.randrange(70, 80)] = "changed"
+        rows.append((5000 + k, " ".join(w)))
+    began = time.time()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), shingle=3, percent=85).collect()
+    assert {r.id: r.component_id for r in got} == {i: i for i in range(3000)} | {5000 + k: k * 7 for k in range(20)}
+    assert time.time() - began < 120
+
+
+def test_prefixes_miss_no_link(spark):
+    rng = random.Random(8)
+    base = [rng.sample(range(60), rng.randint(1, 30)) for _ in range(8)]
+    held = {i: frozenset(x for x in rng.choice(base) if rng.random() < 0.93) or frozenset({1}) for i in range(150)}
+    sets = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in held.items()], "id long, s binary").repartition(3)
+    keys = {}
+    for r in neardup.prefixes(sets, 80).collect():
+        keys.setdefault(r.id, set()).add(r.bucket)
+    for a, b in itertools.combinations(held, 2):
+        both = len(held[a] & held[b])
+        if 100 * both >= 80 * (len(held[a]) + len(held[b]) - both):
+            assert keys[a] & keys[b]
