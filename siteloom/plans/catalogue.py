@@ -17,7 +17,7 @@ from ..operators import page_issues as R
 from ..operators import queries as Q
 from ..operators import registry
 from ..operators import text_stats as S
-from ..sources import landing, sinks
+from ..sources import extraction, landing, sinks
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,6 +540,20 @@ def robots_filter(spark, d):
     return landing.robots_allowed(urls, landing.robots_rules(robots)).select("page_id", "allowed")
 
 
+@query(r"""WITH c AS (SELECT page_id, page_id % 4 AS crawl_id, html FROM pages), a AS (SELECT page_id, crawl_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS v, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<html lang="([^"]*)"', 1) AS g FROM c)
+SELECT page_id, crawl_id, 1 AS rule_id, v[1] AS value, CAST(least(len(v), 20) AS INTEGER) AS match_count, false AS failed FROM a WHERE crawl_id = 0 AND len(v) > 0 UNION ALL SELECT page_id, crawl_id, 1, NULL, 0, false FROM a WHERE crawl_id = 0 AND len(v) = 0
+UNION ALL SELECT page_id, crawl_id, 2, trim(t), 1, false FROM a WHERE crawl_id = 0 UNION ALL SELECT page_id, crawl_id, 3, NULL, 0, true FROM a WHERE crawl_id = 1 UNION ALL SELECT page_id, crawl_id, 4, g, 1, false FROM a WHERE crawl_id = 1""")
+def custom_extractions(spark, d):
+    """Several rule sets in one query: links by selector and a title by pattern, a broken selector and a language by path, a
+    crawl whose rule is switched off, and one without rules."""
+    pages = V.table(spark, d, "pages").select("page_id", (F.col("page_id") % 4).cast("long").alias("crawl_id"), "html")
+    rules = spark.createDataFrame([
+        (1, 0, "links", "css", "a[href]", "href", True), (2, 0, "title", "regex", "<title>([^<]*)</title>", None, True), (3, 1, "broken", "css", "div[", None, True),
+        (4, 1, "language", "xpath", "//html/@lang", None, True), (5, 2, "off", "css", "h1", None, False)], "rule_id long, crawl_id long, name string, rule_type string, selector string, attribute string, active boolean")
+    found = extraction.extractions(pages, rules)
+    return found.select("page_id", "crawl_id", F.col("rule_id").cast("int").alias("rule_id"), "value", "match_count", F.col("error").isNotNull().alias("failed"))
+
+
 CRONS = ["*/15 * * * *", "0 3 * * *", "30 6 1 * *", "5 */6 * 2 *", "0 0 29 2 1"]
 
 

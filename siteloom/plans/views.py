@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.pages import links, parsed
+from ..sources.stored import parse_of
 
 STATUS = "CASE {0} % 20 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 301 ELSE 200 END"
 
@@ -29,8 +30,14 @@ def fetched(pages: DataFrame, key: str = "page_id") -> DataFrame:
     })
 
 
+def parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored parse of the pages table: every query reads the columns that it needs of one parse."""
+    return parse_of(spark, f"{sf_dir}/pages.parquet").drop("crawl_id")
+
+
 def pages(spark: SparkSession, sf_dir: str, keep_html: bool = False) -> DataFrame:
-    return fetched(parsed(table(spark, sf_dir, "pages"), keep_html=keep_html))
+    rows = parse(spark, sf_dir)
+    return fetched(rows.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id") if keep_html else rows)
 
 
 #: What the given pages lack, by the number k of a page: (when, tags), in the head and in the body. Both engines fill in k.
@@ -66,7 +73,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(parsed(table(spark, sf_dir, "pages")))
+    return links(parse(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

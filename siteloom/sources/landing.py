@@ -34,10 +34,17 @@ def robots_rules(robots: DataFrame, compat: bool = False) -> DataFrame:
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``allowed`` to rows of (url, host, path): that of the longest rule which is a prefix of the lower-case
-    path (``/`` matches all; the earlier of equals); allowed if there is none."""
+    path (``/`` matches all; the earlier of equals); allowed if there is none.
+
+    A path meets rules by equality alone: its prefixes of the lengths that the host's patterns have, which are few, join
+    the patterns. So a host of very many rules costs a path as many rows as there are lengths, and not rules."""
+    best_rule = rules.groupBy("host", "pattern").agg(F.max_by("allow", -F.col("position")).alias("allow"))
+    lengths = best_rule.groupBy("host").agg(F.collect_set(F.length("pattern")).alias("_lengths"))
     path = F.lower(F.coalesce(F.col("path"), F.lit("/")))
-    fits = urls.select("url", "host", path.alias("_path")).distinct().join(rules, "host").where((F.col("pattern") == "/") | F.expr("startswith(_path, pattern)"))
-    best = fits.groupBy("url", "host").agg(F.max_by("allow", F.struct(F.length("pattern"), -F.col("position"))).alias("_allow"))
+    paths = urls.select("url", "host", path.alias("_path")).distinct().join(lengths, "host")
+    fitting = F.transform(F.filter("_lengths", lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    met = paths.select("url", "host", F.explode(F.array_union(fitting, F.array(F.lit("/")))).alias("pattern")).join(best_rule, ["host", "pattern"])
+    best = met.groupBy("url", "host").agg(F.max_by("allow", F.length("pattern")).alias("_allow"))
     return urls.join(best, ["url", "host"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
 
 

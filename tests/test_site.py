@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from siteloom.functions import lineage
 from siteloom.operators import crawl as C
 from siteloom.operators import queries as Q
+from siteloom.operators import registry
 from siteloom.operators import text_stats as S
-from siteloom.sources import landing, sinks
+from siteloom.sources import extraction, landing, sinks, stored
 from siteloom.streaming import status, store
 
 
@@ -196,3 +197,73 @@ def test_reports_tell_rows_and_bytes(spark, tmp_path):
     file = next(Path(path).glob("part-*.csv"))
     assert rows == 7 and size == file.stat().st_size
     assert spark.read.option("header", True).option("escape", '"').csv(path).where("title = 'a \"b\", c'").count() == 7
+
+
+def test_every_issue_type_has_its_own_texts(spark):
+    rows = registry.definitions(spark).collect()
+    assert len(rows) == 63 and len({r.explanation for r in rows}) == len({r.recommendation for r in rows}) == 63
+    assert all(len(r.explanation) > 30 and len(r.recommendation) > 20 for r in rows)
+    assert registry.definition("some_new_type")[1:4] == ("Some new type", "warning", "technical")
+
+
+def plain_allowed(rules, path):
+    best = (0, 0, True)
+    for k, (allow, pattern) in enumerate(rules):
+        if pattern and (pattern == "/" or path.lower().startswith(pattern.lower())) and (len(pattern), -k) > best[:2]:
+            best = (len(pattern), -k, allow)
+    return best[2]
+
+
+def test_robots_equal_a_plain_pass_and_join_by_equality(spark):
+    rng = random.Random(3)
+    some = lambda n: "/" + "".join(rng.choice("aB/") for _ in range(rng.randint(0, n)))
+    hosts = {f"h{k}": [(rng.random() < 0.5, some(4)) for _ in range(rng.randint(0, 12))] for k in range(8)}
+    robots = spark.createDataFrame([(h, "User-agent: *\n" + "\n".join(f"{'Allow' if a else 'Disallow'}: {p} # why" for a, p in rs)) for h, rs in hosts.items()], "host string, text string")
+    urls = [(f"u{k}", rng.choice([*hosts, "unknown"]), some(8) if k % 20 else None) for k in range(600)]
+    out = landing.robots_allowed(spark.createDataFrame(urls, "url string, host string, path string"), landing.robots_rules(robots))
+    got = {r.url: r.allowed for r in out.collect()}
+    assert got == {u: plain_allowed(hosts.get(h, []), p or "/") for u, h, p in urls}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if " Join " in line]
+    assert len(joins) == 3 and all("=" in line and "with(" not in line.lower() for line in joins)
+
+
+def test_stored_parse_is_pruned_and_takes_new_columns(spark, tmp_path):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    rows = spark.createDataFrame([(c, 10 * c + k, f"https://s.test/{c}/{k}", page(f"t{k}", "ab")) for c in (1, 2) for k in range(3)] + [(2, 99, "https://s.test/none", None)], "crawl_id long, page_id long, url string, html string")
+    path = str(tmp_path / "parse")
+    schema = stored.write_parse(rows, path)
+    newer = StructType([*schema.fields, StructField("reading_level", StringType())])
+    got = stored.read_parse(spark, path, newer).where("crawl_id = 2").select("url", "title", "reading_level")
+    assert {(r.url, r.title, r.reading_level) for r in got.collect()} == {(f"https://s.test/2/{k}", f"t{k}", None) for k in range(3)} | {("https://s.test/none", None, None)}
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(crawl_id" in text and "ReadSchema: struct<url:string,title:string,reading_level:string>" in text
+    files = lambda c: {str(p): p.stat().st_mtime_ns for p in Path(path, f"crawl_id={c}").glob("*.parquet")}
+    before = files(1)
+    stored.write_parse(rows.where("crawl_id = 2").limit(1), path)
+    assert files(1) == before and stored.read_parse(spark, path).groupBy("crawl_id").count().where("count = 1").count() == 1
+    # One parse serves until the files change.
+    table = str(tmp_path / "pages.parquet")
+    rows.drop("crawl_id").write.parquet(table)
+    first, again = stored.parse_of(spark, table), stored.parse_of(spark, table)
+    assert first.inputFiles() == again.inputFiles() and first.count() == 7
+    rows.drop("crawl_id").limit(2).write.mode("overwrite").parquet(table)
+    assert stored.parse_of(spark, table).count() == 2
+
+
+def test_extractions_by_crawl(spark):
+    pages = spark.createDataFrame([(1, 1, "<h1> a  b </h1>" + "<i>x</i>" * 30), (2, 1, None), (3, 2, "<h1>c</h1>"), (4, 3, "<h1>d</h1>")], "page_id long, crawl_id long, html string")
+    schema = "rule_id long, crawl_id long, name string, rule_type string, selector string, attribute string, active boolean"
+    rules = spark.createDataFrame([(1, 1, "head", "css", "h1", None, True), (2, 1, "many", "css", "i", None, True), (3, 1, "bad", "css", "h1[", None, True), (4, 2, "odd", "sql", "x", None, True), (5, 2, "off", "css", "h1", None, False)], schema)
+    got = {(r.page_id, r.rule_id): r for r in extraction.extractions(pages, rules).collect()}
+    assert set(got) == {(1, 1), (1, 2), (1, 3), (3, 4)}
+    assert got[1, 1].value == "a b" and got[1, 2].match_count == 20 and len(got[1, 2]["values"]) == 20
+    assert got[1, 3].error and got[3, 4].error and got[1, 3].match_count == 0
+    # A crawl without rules takes those of its project's latest crawl that has some.
+    crawls = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 3)], "crawl_id long, project_id long, created_at long")
+    copied = C.rules_for_crawl(rules, crawls, 3)
+    assert {(r.crawl_id, r.name) for r in copied.collect()} == {(3, "odd")}
+    assert {r.rule_id for r in extraction.extractions(pages, copied).collect()} == {4}
+    assert [r.rule_id for r in C.listed_rules(rules.withColumn("created_at", F.col("rule_id"))).collect()] == [4, 3, 2, 1, 5]
+    assert extraction.extractions(pages, rules.where("false")).count() == 0
