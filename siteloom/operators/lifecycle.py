@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import ranked
 from .crawl import next_run, validate_rule
 
 
@@ -122,6 +123,17 @@ def started(table: DataFrame, schedule_id: int, now: datetime) -> DataFrame:
     }).select(*table.columns)
 
 
+def crawls_of_due(schedules_: DataFrame, crawls_: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """Starts what is due: the schedules after their claim, and the crawls with one more for each, ``crawling`` from now, in
+    the order in which they were due. Numbers go on from the last crawl; only that number reaches the driver."""
+    last = crawls_.agg(F.coalesce(F.max("crawl_id"), F.lit(0))).first()[0]
+    due = ranked(due_schedules(schedules_, now).select("schedule_id", "project_id", "next_run_at"), [F.col("next_run_at"), F.col("schedule_id")], "_place")
+    told = {"crawl_id": F.col("_place") + last + 1, "project_id": F.col("project_id"), "schedule_id": F.col("schedule_id"), "status": F.lit("crawling"), "created_at": F.lit(now), "started_at": F.lit(now)}
+    zero = ("total_urls", "url_count", "issue_count", "link_count")
+    new = due.select(*(told.get(f.name, F.lit(0) if f.name in zero else F.lit(None)).cast(f.dataType).alias(f.name) for f in crawls_.schema))
+    return claimed(schedules_, now), crawls_.unionByName(new)
+
+
 def new_schedule(table: DataFrame, projects_: DataFrame, now: datetime, *, project_id: int, start_url: str, cron_expression: str, settings: str = "{}", enabled: bool = True) -> DataFrame:
     """The schedules with a new one, its inputs checked: a known project, an address, a JSON object, an expression."""
     if one(projects_, "project_id", project_id).isEmpty():

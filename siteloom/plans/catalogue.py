@@ -231,15 +231,18 @@ def sitemap_errors(spark, d):
     return X.sitemap_errors(pages, in_sitemap(pages)).select("url", "detail")
 
 
-@query(f"WITH {V.E}, {V.Q} SELECT url FROM q WHERE indexability = 'indexable' AND url NOT IN (SELECT target_url FROM e)")
+@query(f"WITH {V.E} SELECT '/p/' || o_orderkey AS url FROM orders WHERE {V.STATUS.format('o_orderkey')} < 400 AND '/p/' || o_orderkey NOT IN (SELECT target_url FROM e)")
 def orphans(spark, d):
-    return X.orphaned_pages(V.part_pages(spark, d), V.edges(spark, d)).select("url")
+    """Orders as pages under the parts' addresses: the links of all line items lead to some of them."""
+    url = F.concat(F.lit("/p/"), F.col("o_orderkey").cast("string"))
+    pages = V.fetched(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), url.alias("url"), url.alias("normalized_url"), F.lit(None).cast("string").alias("final_url"), F.lit(1).cast("long").alias("crawl_id")))
+    return X.orphaned_pages(pages, V.edges(spark, d)).select("url")
 
 
-@query(ORACLE_SQL["orphans"])
+@query(f"WITH {V.E}, {V.Q} SELECT url FROM q WHERE indexability = 'indexable' AND url NOT IN (SELECT target_url FROM e)")
 def orphans_all_links(spark, d):
-    """The earlier name of the whole-table query, which callers still use."""
-    return orphans(spark, d)
+    """The parts themselves: at most a few are without a link, and none where every part was ordered."""
+    return X.orphaned_pages(V.part_pages(spark, d), V.edges(spark, d)).select("url")
 
 
 @query(f"WITH {V.E}, {V.Q} SELECT source_url AS url, CAST(count(*) AS VARCHAR) AS detail FROM e WHERE is_internal AND target_url IN (SELECT url FROM q WHERE status_code BETWEEN 400 AND 499) GROUP BY 1")
@@ -350,9 +353,9 @@ def error_priority(spark, d):
     return Q.with_inlinks(V.part_pages(spark, d).where("status_code between 400 and 499"), V.edges(spark, d)).select("page_id", Q.error_priority(F.col("inlinks_count")).alias("priority"))
 
 
-@query(f"{I} SELECT i.issue_type, p.url, i.severity FROM i JOIN p USING (page_id) WHERE i.category = 'content' AND i.severity = 'warning' AND (p.url ILIKE '%title%' OR i.issue_type ILIKE '%title%') ORDER BY 1, 2, 3 LIMIT 50")
+@query(f"{I} SELECT i.issue_type, p.url, i.severity FROM i JOIN p USING (page_id) WHERE i.category = 'content' AND i.severity = 'warning' AND (p.url ILIKE '%thin%' OR i.issue_type ILIKE '%thin%') ORDER BY 1, 2, 3 LIMIT 50")
 def issues_filtered(spark, d):
-    return Q.query_issues(fetch_issues(spark, d), severity="warning", category="content", term="title").select("issue_type", "url", "severity")
+    return Q.query_issues(fetch_issues(spark, d), severity="warning", category="content", term="thin").select("issue_type", "url", "severity")
 
 
 @query(f"WITH {V.E} SELECT count(*) AS total, count(*) FILTER (is_internal) AS internal, count(*) FILTER (NOT is_internal) AS external, count(*) FILTER (is_no_follow) AS nofollow FROM e")

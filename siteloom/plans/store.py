@@ -346,6 +346,14 @@ def schedules_claimed(spark, d):
     return L.claimed(schedules(spark, d), NOW).select("schedule_id", minutes("last_run_at"), minutes("next_run_at"))
 
 
+@query(f"""WITH {SCHEDULES}, {CRAWLS}, t AS (SELECT schedule_id, project_id, row_number() OVER (ORDER BY next_run_at, schedule_id) AS k FROM s WHERE enabled AND next_run_at <= TIMESTAMP '2024-03-04 10:30:00')
+SELECT crawl_id, project_id, status, NULL::BIGINT AS schedule_id FROM c UNION ALL SELECT (SELECT max(crawl_id) FROM c) + k, project_id, 'crawling', schedule_id FROM t""")
+def schedules_start_crawls(spark, d):
+    """The crawls after the due schedules were run: one more for each."""
+    table = crawls(spark, d).withColumns({"schedule_id": F.lit(None).cast("long"), "started_at": F.lit(None).cast("timestamp_ntz")})
+    return L.crawls_of_due(schedules(spark, d), table, NOW)[1].select("crawl_id", "project_id", "status", "schedule_id")
+
+
 @query(f"""WITH {SCHEDULES} SELECT schedule_id, CASE WHEN schedule_id = 3 THEN NULL ELSE {_TEXT.format('next_run_at')} END AS next_run_at, schedule_id = 3 AS ran FROM s""")
 def schedule_run_now(spark, d):
     return L.started(schedules(spark, d), 3, NOW).select("schedule_id", minutes("next_run_at"), F.col("last_run_at").isNotNull().alias("ran"))

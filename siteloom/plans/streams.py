@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_folder
+from ..operators.crawl import Scope
+from ..operators.crawl_run import Settings, run_crawl
 from ..sources.landing import FETCH
 from ..streaming import status, store
 from . import views as V
@@ -63,3 +65,31 @@ def pages_streamed(spark, d):
     n = lambda name: now[name].groupBy("crawl_id", "url").agg(F.count("*").alias(name))
     out = now["pages"].select("crawl_id", "page_id", "url", F.coalesce("title", F.lit("")).alias("title")).join(n("links"), ["crawl_id", "url"], "left").join(n("issues"), ["crawl_id", "url"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("links", "issues")})
+
+
+def site_sql(levels: int, most: int) -> str:
+    """The queue of a crawl over pages that each lead to the pages of twice their number and of one more."""
+    out = "x AS (SELECT page_id AS s, 2 * page_id AS t, 0 AS n FROM pages UNION ALL SELECT page_id, 2 * page_id + 1, 1 FROM pages), q0 AS (SELECT 1::BIGINT AS k, 0 AS depth, 0::BIGINT AS place), all0 AS (SELECT * FROM q0)"
+    for j in range(1, levels + 1):
+        out += f""", f{j} AS (SELECT t AS k, min((place, n)) AS p FROM x JOIN q{j - 1} ON s = k WHERE NOT starts_with(CAST(k AS VARCHAR), '7') AND NOT CAST(t AS VARCHAR) LIKE '%5' AND t NOT IN (SELECT k FROM all{j - 1}) GROUP BY 1),
+q{j} AS (SELECT k, {j} AS depth, (SELECT count(*) FROM all{j - 1}) + row_number() OVER (ORDER BY p) - 1 AS place FROM f{j} QUALIFY place < {most}), all{j} AS (SELECT * FROM all{j - 1} UNION ALL SELECT * FROM q{j})"""
+    status = V.STATUS.format("k")
+    return f"""WITH {out}, z AS (SELECT *, NOT starts_with(CAST(k AS VARCHAR), '7') AS crawled, k IN (SELECT page_id FROM pages) AS held FROM all{levels})
+SELECT 'https://site.test/p/' || k AS url, depth, place, crawled, CASE WHEN crawled AND held THEN CAST({status} AS INTEGER) END AS status_code, CASE WHEN crawled AND held THEN 3 + len(regexp_extract_all(html, '<a href="')) END AS links FROM z LEFT JOIN pages ON page_id = k"""
+
+
+@query(site_sql(6, 30))
+def crawl_run(spark, d):
+    """A crawl of at most 30 pages from page 1 of the site to stored tables: pages that begin with 7 are closed to robots,
+    those that end with 5 and all other addresses are out of scope, and some that are queued were never landed."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = V.fetched(V.tagged_html(spark, d))
+    told = rows.select(
+        none("long").alias("crawl_id"), "page_id", "url", none("string").alias("final_url"), "status_code", none("map<string,string>").alias("headers"), "content_type", F.octet_length("html").cast("long").alias("content_length"), "response_time_ms", F.lit(0).alias("redirect_count"),
+        "html", none("string").alias("error_message"), "depth", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(2), F.lit(0), F.lit(0), F.lit(0)).alias("fetched_at"))
+    robots = spark.createDataFrame([("site.test", "User-agent: *\nDisallow: /p/7\n")], "host string, text string")
+    out = folder(spark, "crawl")
+    settings = Settings("https://site.test/p/1", max_urls=30, max_depth=6, scope=Scope("https://site.test", includes=[r"^/p/\d+$"], excludes=["5$"]))
+    order = run_crawl(spark, 1, settings, told, out, robots=robots)
+    stored = store.current(spark, out)["links"].groupBy(F.col("source_url").alias("url")).agg(F.count("*").cast("int").alias("links"))
+    return order.join(stored, "url", "left").select("url", "depth", "place", "crawled", "status_code", "links")

@@ -53,23 +53,27 @@ HEAD_TAGS = [
     ("{k} % 6 = 3", '<script type="application/ld+json">{"@type":"BreadcrumbList"}</script>'), ("{k} % 6 = 4", '<script type="application/ld+json">{"@type":"BlogPosting","headline":"x"}</script>'),
     ("{k} % 6 = 5", '<script type="application/ld+json">{"@type":"Organization","@graph":[{"name":"n"}]}</script><script type="application/ld+json">{not json</script>'),
 ]
-BODY_TAGS = [("{k} % 3 > 0", '<img src="a.png" alt="x" width="1" height="1" loading="lazy">'), ("{k} % 3 > 1", '<img src="a.png" alt="y" width="1" height="1">'), ("{k} % 2 = 1", '<img src="b.png">'), ("{k} % 4 = 1", "<h2>Two {k}</h2>"), ("{k} % 12 = 1", "<h2>Three</h2><h4>Four</h4>")]
+BODY_TAGS = [("{k} >= 0", '<a href="/p/{k * 2}">twice</a><a href="/p/{k * 2 + 1}">and one</a><a href="/p/{k + 7}" rel="nofollow">not this way</a>'), ("{k} % 3 > 0", '<img src="a.png" alt="x" width="1" height="1" loading="lazy">'), ("{k} % 3 > 1", '<img src="a.png" alt="y" width="1" height="1">'), ("{k} % 2 = 1", '<img src="b.png">'), ("{k} % 4 = 1", "<h2>Two {k}</h2>"), ("{k} % 12 = 1", "<h2>Three</h2><h4>Four</h4>")]
 
 
 def tag_columns(tags: list[tuple[str, str]]) -> list[Column]:
     def text(tag: str) -> Column:
-        parts = re.split(r"\{(k(?: [+-] \d+)?)\}", tag)
+        parts = re.split(r"\{(k[^}]*)\}", tag)
         return F.concat(*(F.expr(x.replace("k", "page_id")).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)))
 
     return [F.when(F.expr(when.replace("{k}", "page_id")), text(tag)).otherwise("") for when, tag in tags]
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages under addresses of one site, with the tags above, parsed."""
+def tagged_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html): the pages under addresses of one site, with the tags above."""
     rows = table(spark, sf_dir, "pages")
     html = F.replace(F.replace("html", F.lit("</head>"), F.concat(*tag_columns(HEAD_TAGS), F.lit("</head>"))), F.lit("<body>"), F.concat(F.lit("<body>"), *tag_columns(BODY_TAGS)))
     html = F.when((F.col("page_id") % 18 == 1) | (F.col("page_id") % 90 == 2), F.regexp_replace(html, "^(<!DOCTYPE html><html)", "$1 amp")).otherwise(html)
-    return fetched(parsed(rows.withColumns({"html": html, "url": F.concat(F.lit("https://site.test/p/"), F.col("page_id").cast("string"))})))
+    return rows.select("page_id", F.concat(F.lit("https://site.test/p/"), F.col("page_id").cast("string")).alias("url"), html.alias("html"))
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetched(parsed(tagged_html(spark, sf_dir)))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,12 @@ from siteloom.operators import lifecycle as L
 from siteloom.operators import page_issues as R
 from siteloom.operators import queries as Q
 from siteloom.operators import text_stats as S
-from siteloom.plans import catalogue, store
+from siteloom.plans import catalogue, store, streams  # noqa: F401
 from siteloom.sources import dom, sinks
 from siteloom.sources.pages import parsed
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["issue_summary", "page_parse_core", "issues_per_page", "dup_titles", "sitemap_missing", "inlinks_count", "diff_summary", "anchor_summary", "ngrams_2", "readability", "structured_data", "cron_next"]
+CHECKED = ["issue_summary", "page_parse_core", "issues_per_page", "dup_titles", "sitemap_missing", "inlinks_count", "diff_summary", "anchor_summary", "ngrams_2", "readability", "structured_data", "cron_next", "issues_tagged", "page_fields", "sitemap_parse", "hreflang_reciprocity", "amp_pairs", "custom_extractions", "crawl_fifo", "orphans", "crawl_run", "crawl_status_stream", "pages_streamed"]
 #: All of the store's queries: their SQL is the test of what changes projects, crawls, schedules and diffs.
 CHECKED += [n for n in catalogue.ORACLE_SQL if catalogue.QUERIES[n].__module__ == store.__name__]
 
