@@ -201,13 +201,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     1. 128 minima in 32 bands of 4 (a linked pair at 80 % shares no band with probability 5e-8). Each row of a
        bucket is paired with the bucket's smallest id: as many pairs as rows, however large the bucket.
     2. Pairs are verified by signature, then confirmed on whole sets; large-star/small-star joins them.
-    3. Buckets that still hold several components may hide links between rows other than their smallest. Their rows
-       are keyed anew, by the rarest shingles of each set, as many as two linked sets can't both lack (exact, see
-       :func:`prefixes`): rows of one template, alike in half of their shingles, then share no key. Groups of a key
-       with several components are joined to their smallest rows as in 2.
-    4. Groups that hold several components even now (each set of rows once) are dealt into chunks of bounded size, and
-       every two chunks of a group are compared across components; only the links that join components leave a task.
-       Components again.
+    3. Buckets that still hold several components may hide links between rows other than their smallest. Those that
+       make one chunk of bounded size are compared across components in a task. The rows of larger ones are keyed anew,
+       by the rarest shingles of each set, as many as two linked sets can't both lack (exact, see :func:`prefixes`):
+       rows of one template, alike in half of their shingles, then share no key. Groups of a key with several components
+       are joined to their smallest rows as in 2.
+    4. Groups of a key that hold several components even now (each set of rows once) are dealt into chunks, and every two
+       chunks of a group are compared across components. Only links that join components leave a task. Components again.
     """
     size, key = shingle, ["n", "k1", "k2"]
     made: list[DataFrame] = []
@@ -239,11 +239,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     links = written(star_links(pairs, sets, sigs, percent), "links")
     first = written(components(links), "first")
 
-    # Rows of buckets that still hold several components: a link between two of them may be open.
+    # Buckets that still hold several components: a link between two of their rows may be open. Buckets of several bands
+    # often hold the same rows: one of them is enough.
     mixed_rows = shared.where("rows > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = mixed_rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ids = mixed_rows.join(mixed.select("bucket"), "bucket").select("id").distinct()
-    keyed = written(prefixes(sets.join(open_ids, "id"), percent), "prefixes")
+    mixed = mixed_rows.groupBy("bucket").agg(F.first("rows").alias("c"), F.first("mark").alias("mark"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    mixed = mixed.groupBy("c", "mark").agg(F.min("bucket").alias("bucket"))
+    open_rows = written(mixed_rows.join(mixed.select("bucket"), "bucket").join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open")
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        """(bucket, chunks): how many parts of bounded size a group of rows makes."""
+        loads = rows.groupBy("bucket").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
+        return loads.select("bucket", F.ceil(F.greatest(F.col("load") / CHUNK_SHINGLES, F.col("rows") / 1000)).cast("int").alias("chunks"))
+
+    parts = written(chunked(open_rows), "chunks")
+    small = open_rows.join(parts.where("chunks = 1"), "bucket")
+    keyed = written(prefixes(sets.join(open_rows.join(parts.where("chunks > 1"), "bucket").select("id").distinct(), "id"), percent), "prefixes")
 
     def groups(known: DataFrame) -> DataFrame:
         """Rows of prefix shingles that hold several components, each set of rows once."""
@@ -254,13 +264,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
     star = written(groups(first).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct(), "prefix-stars")
     second = written(components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(star_links(star, sets, sigs, percent))), "second")
-    open_rows = written(groups(second).join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open")
-    loads = open_rows.groupBy("bucket").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
-    chunks = loads.select("bucket", F.ceil(F.greatest(F.col("load") / CHUNK_SHINGLES, F.col("rows") / 1000)).cast("int").alias("chunks"))
-    placed = open_rows.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    large = written(groups(second).join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open-prefixes")
+    placed = small.withColumn("kind", F.lit(0)).unionByName(large.join(chunked(large), "bucket").withColumn("kind", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # Chunk c meets itself and every other chunk: it goes to the pairs (min, max).
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        "bucket", "id", "component", "sig", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
+        "kind", "bucket", "id", "component", "sig", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
     ).join(sets, "id")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -272,7 +281,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         ) if t.num_rows > 1 and (t.column("lo")[0].as_py() == t.column("hi")[0].as_py() or len(set(t.column("chunk").to_pylist())) > 1) else []
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
-    more = met.groupBy("bucket", "lo", "hi").applyInArrow(compare, "u long, v long")
+    more = met.groupBy("kind", "bucket", "lo", "hi").applyInArrow(compare, "u long, v long")
     joined = second.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)
     final = written(components(joined), "components")
     # A component's name is its smallest node; its smallest id may be that of another.
