@@ -106,7 +106,8 @@ class MergeCounter(dict):
 def count_tokens(docs: DataFrame, *, text: str = "text", vocabulary: str | None = None, limit: int = 2048) -> DataFrame:
     """Adds ``n_bytes``, ``n_tokens`` and ``over_limit`` to every row of ``docs``; replaces columns so named.
 
-    Null texts count as empty (0 tokens). Rows are independent: no shuffle, and repeated rows stay.
+    Null texts count as empty (0 tokens). Rows are independent: no shuffle, and repeated rows stay; an empty table gives
+    no rows. Texts have any length: batches are bounded in bytes, and a text costs its length, and a heap of its longest piece.
     ``vocabulary`` is the path of a word-end BPE file on every machine (default: the public one).
     """
     small_batches(docs.sparkSession)

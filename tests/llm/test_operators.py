@@ -748,3 +748,12 @@ def test_prefixes_miss_no_link(spark):
         both = len(held[a] & held[b])
         if 100 * both >= 80 * (len(held[a]) + len(held[b]) - both):
             assert keys[a] & keys[b]
+
+
+def test_main_text_of_repeated_and_clashing_rows(spark):
+    page = "<html><head><title>x</title></head><body><nav><a href='/a'>menu</a></nav><article><h1>Head</h1>" + "".join(f"<p>Paragraph {k} of the article, long enough to be one of its own.</p>" for k in range(6)) + "</article></body></html>"
+    rows = [(1, "u", page), (1, "u", page), (2, "v", None), (3, "w", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("mine"))
+    got = html.extract(pages).collect()
+    assert len(got) == 4 and len({r.text for r in got if r.page_id == 1}) == 1 and all(r.n_chars == len(r.text) for r in got)
+    assert {r.text for r in got if r.page_id > 1} == {""} and html.extract(pages.where("false")).count() == 0
