@@ -62,6 +62,16 @@ def query_pages(pages: DataFrame, *, sort: str | None = None, direction: str = "
     return paged(page_filter(pages, **filters), order, page, size)
 
 
+def of_project(rows: DataFrame, crawls: DataFrame, project_id: int) -> DataFrame:
+    """The rows of any crawl of a project: a semi-join with its crawls' numbers."""
+    return rows.join(crawls.where(F.col("project_id") == project_id).select("crawl_id"), "crawl_id", "left_semi")
+
+
+def query_project_pages(pages: DataFrame, crawls: DataFrame, project_id: int, **asked) -> DataFrame:
+    """The page list over all crawls of a project; filters and order are those of :func:`query_pages`."""
+    return query_pages(of_project(pages, crawls, project_id), **asked)
+
+
 def total_pages(rows: int, size: int) -> int:
     return -(-rows // size)
 
@@ -193,6 +203,13 @@ def query_links(links: DataFrame, *, relation: str | None = None, internal: bool
     return paged(links, [F.col(c) for c in ("source_id", "position")], page, size)
 
 
+def query_project_links(links: DataFrame, pages: DataFrame, crawls: DataFrame, project_id: int, **asked) -> DataFrame:
+    """The link list over all crawls of a project, with the status of the page that each link is on. Links whose source
+    page is gone are left out, as they belong to no crawl."""
+    source = of_project(pages, crawls, project_id).select(F.col("page_id").alias("source_id"), F.col("status_code").alias("source_status"))
+    return query_links(links.join(source, "source_id"), **asked)
+
+
 def target_keys(pages: DataFrame, columns: Sequence[str] = ("normalized_url", "url", "final_url")) -> DataFrame:
     """(page_id, key): the keys under which a page may be linked. One row for each instead of an OR in the join."""
     return pages.select("page_id", F.explode(F.array_distinct(F.array(*columns))).alias("key")).where("key is not null")

@@ -192,6 +192,26 @@ def links_page(spark, d):
     return Q.query_links(V.edges(spark, d), relation="HtmlA", internal=True, page=2, size=50).select("source_url", "target_url", "position")
 
 
+PROJECT = f"o AS (SELECT o_orderkey AS page_id, '/o/' || o_orderkey AS url, CAST({V.STATUS.format('o_orderkey')} AS INTEGER) AS status_code FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3)"
+
+
+def fetched_orders(spark: SparkSession, d: str) -> DataFrame:
+    pages = order_pages(spark, d)
+    return V.fetched(pages.withColumn("url", F.concat(F.lit("/o/"), F.col("page_id").cast("string"))))
+
+
+@query(f"WITH {PROJECT} SELECT page_id, url, status_code FROM o WHERE status_code BETWEEN 300 AND 399 ORDER BY page_id DESC LIMIT 20 OFFSET 20")
+def urls_of_project(spark, d):
+    found = Q.query_project_pages(fetched_orders(spark, d), crawls(spark, d), 3, status_class="3xx", page=1, size=20)
+    return found.select("page_id", "url", "status_code")
+
+
+@query(f"WITH {V.E}, {PROJECT} SELECT source_url, target_url, position, status_code AS source_status FROM e JOIN o ON page_id = source_id WHERE is_internal ORDER BY source_id, position, target_url LIMIT 50 OFFSET 100")
+def links_of_project(spark, d):
+    found = Q.query_project_links(V.edges(spark, d), fetched_orders(spark, d), crawls(spark, d), 3, internal=True, page=2, size=50)
+    return found.select("source_url", "target_url", "position", "source_status")
+
+
 @query(f"WITH {V.E}, {V.Q} SELECT count(*) AS broken FROM e WHERE target_url IN (SELECT url FROM q WHERE status_code >= 400)")
 def broken_links_count(spark, d):
     return Q.broken_count(V.part_pages(spark, d), V.edges(spark, d))
