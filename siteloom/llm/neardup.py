@@ -262,10 +262,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         once = some.groupBy("c", "mark").agg(F.min(F.struct("bucket", "least")).alias("r")).select("r.*")
         return told.join(once, "bucket")
 
-    star = written(groups(first).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct(), "prefix-stars")
-    second = written(components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(star_links(star, sets, sigs, percent))), "second")
-    large = written(groups(second).join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open-prefixes")
-    placed = small.withColumn("kind", F.lit(0)).unionByName(large.join(chunked(large), "bucket").withColumn("kind", F.lit(1)))
+    second, placed = first, small.withColumn("kind", F.lit(0))
+    if not keyed.isEmpty():
+        star = written(groups(first).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct(), "prefix-stars")
+        second = written(components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(star_links(star, sets, sigs, percent))), "second")
+        large = written(groups(second).join(sigs, "id").select("bucket", "id", "component", "sig", "n"), "open-prefixes")
+        placed = placed.unionByName(large.join(chunked(large), "bucket").withColumn("kind", F.lit(1)))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # Chunk c meets itself and every other chunk: it goes to the pairs (min, max).
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
