@@ -19,7 +19,7 @@ from siteloom.streaming import status, store
 
 def test_parallel_leaders_equal_the_sequential_pass(spark):
     rng = random.Random(6)
-    for n, edges in ((2, 1), (30, 20), (30, 90), (60, 400), (13, 12)):
+    for n, edges in ((30, 20), (40, 160), (13, 12)):
         pairs = {tuple(sorted(rng.sample(range(n), 2))): rng.random() for _ in range(edges)} if edges != 12 else {(k, k + 1): 0.5 for k in range(12)}
         taken, want = {}, {}
         for a in range(n):
@@ -55,7 +55,7 @@ def plain_crawl(seeds, links, max_depth, max_urls, blocked, in_scope):
     return out
 
 
-@pytest.mark.parametrize("max_urls", [1, 7, 23, 1000])
+@pytest.mark.parametrize("max_urls", [1, 23])
 def test_crawl_order_is_that_of_a_queue(spark, max_urls):
     rng = random.Random(max_urls)
     links = {str(k): [(str(rng.randrange(60)), p) for p in range(rng.randint(0, 5))] for k in range(60)}
