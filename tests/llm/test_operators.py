@@ -703,19 +703,18 @@ def test_peeling_recovers_the_differing_digests(spark):
     got = sketch.fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     by_hash = {r.edited_sha256: r for r in got}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen = 0
     # Ids that repeat are ordered by a hash, so only neighbours of single ids are held against plain sets.
+    pairs = []
     for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
         t, after = t or "", after or ""
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
-        r = by_hash.get(hashlib.sha256(edited.encode()).hexdigest())
-        if r is None or i in (2, 3, None):
-            continue
-        a, b = (set(spark.createDataFrame([(x,)], "t string").select(sketch.paragraph_digests(F.col("t"))).first()[0]) for x in (t, edited)) if seen < 12 else (None, None)
-        if a is not None:
-            assert set(r.digests_removed) == a - b and set(r.digests_added) == b - a and len(r.digests_removed) == len(a - b)
-        seen += 1
-    assert seen > 40
+        if i not in (2, 3, None):
+            pairs.append((t, edited, hashlib.sha256(edited.encode()).hexdigest()))
+    told = spark.createDataFrame(pairs, "t string, e string, sha string").select("sha", sketch.paragraph_digests(F.col("t")).alias("a"), sketch.paragraph_digests(F.col("e")).alias("b")).collect()
+    for x in told:
+        r, a, b = by_hash[x.sha], set(x.a), set(x.b)
+        assert set(r.digests_removed) == a - b and set(r.digests_added) == b - a and len(r.digests_removed) == len(a - b)
+    assert len(told) > 40
 
 
 def test_near_duplicates_of_one_template(spark):
