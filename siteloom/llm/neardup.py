@@ -189,6 +189,19 @@ def cross_links(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sigs: np.
     return out
 
 
+def partnered(comps: np.ndarray, sides: np.ndarray, n: np.ndarray, sigs: np.ndarray, within: bool, percent: int) -> np.ndarray:
+    """Which rows of one block pair :func:`cross_links` may compare with another on whole sets."""
+    floor, keep = least_equal(percent), np.zeros(len(n), bool)
+    for i in range(len(n)):
+        others = np.arange(i + 1, len(n)) if within else np.flatnonzero(sides[i + 1 :] != sides[i]) + i + 1
+        others = others[comps[others] != comps[i]]
+        others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+        others = others[(sigs[others] == sigs[i]).sum(1) >= floor]
+        if len(others):
+            keep[i] = keep[others] = True
+    return keep
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept, group, text_hash) of every row: the smallest id linked to each document,
     directly or through others; ``group`` names the component also where ids repeat.
@@ -271,8 +284,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # Chunk c meets itself and every other chunk: it goes to the pairs (min, max).
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        "kind", "bucket", "id", "component", "sig", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
-    ).join(sets, "id")
+        "kind", "bucket", "id", "component", "sig", "n", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
+    )
+
+    def hopeful(t: pa.Table) -> pa.Table:
+        """The rows that have a partner of another component, of like size and signature: no other needs its whole set."""
+        return t.filter(pa.array(partnered(
+            t.column("component").to_numpy(), t.column("chunk").to_numpy(), t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES),
+            t.column("lo")[0].as_py() == t.column("hi")[0].as_py(), percent)))
+
+    met = met.groupBy("kind", "bucket", "lo", "hi").applyInArrow(hopeful, met.schema).drop("n").join(sets, "id")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
