@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches, with_fields
@@ -86,17 +87,49 @@ def signatures(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text]).alias("t"), docs[text].cast("binary").alias("x")).mapInArrow(signed, "id long, t long, n long, k1 long, k2 long, bands array<long>, sig binary")
 
 
-def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(n, k1, k2, s): the whole set of each text, as bytes of sorted 64-bit hashes, and what names it."""
+#: Bits of a filter of ids that may go to every task: 16 MB, for 8 million ids.
+FILTER_BITS = 1 << 27
+FILTER_HASHES = 4
+
+
+def id_filter(ids: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of ``ids`` (least), as words of 32 bits; None where so many ids don't fit into FILTER_BITS. Tasks
+    combine their bits, so what reaches the driver is the filter itself, whose size is known from the count."""
+    bits = 1 << max(10, (16 * ids.count() - 1).bit_length())
+    if bits > FILTER_BITS:
+        return None
+    words = ids.select(F.explode(filter_spots(bits)).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b")).toArrow()
+    table = np.zeros(bits >> 5, np.uint32)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    return table
+
+
+def filter_spots(bits: int) -> Column:
+    return F.array(*(F.pmod(F.xxhash64("least", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)))
+
+
+def shingle_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(n, k1, k2, s): the whole set of each of ``texts`` (least, x) whose id is among ``ids`` (least), as bytes of sorted
+    64-bit hashes, and what names it. Texts stay where they are: a filter of the ids, which lets few others through, goes to
+    them. Where there are too many ids for one, the two are joined, and each text is shuffled once."""
+    table = id_filter(ids)
+    shared = None if table is None else texts.sparkSession.sparkContext.broadcast(table)
+    if shared is None:
+        near = texts.join(ids, "least", "left_semi").select("x")
+    else:
+        near = texts.where("least is not null").select("x", filter_spots(32 * len(table)).alias("spots"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
+            if shared is not None and b.num_rows:
+                at = pa.compute.list_flatten(b.column(1)).to_numpy().reshape(-1, FILTER_HASHES)
+                b = b.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).all(1)))
             sets = [shingles(t or b"", size, hashes) for t in b.column(0).to_pylist()]
             keys = [(len(s), *set_hashes(s)) for s in sets]
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "k1", "k2", "s"])
 
-    return texts.mapInArrow(made, "n long, k1 long, k2 long, s binary")
+    return near.mapInArrow(made, "n long, k1 long, k2 long, s binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -245,8 +278,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     # Whole sets are made only for rows that share a bucket.
     named = written(heads.join(wanted, "id", "left_semi").select("id", "least", *key), "wanted")
     texts = docs.select(docs[id_col].cast("long").alias("least"), docs[text].cast("binary").alias("x"))
-    full = shingle_sets(texts.join(named.select("least").distinct(), "least", "left_semi").select("x"), size)
-    sets = written(full.join(named.drop("least"), key).groupBy("id").agg(F.first("s").alias("s")), "sets")
+    # Copies combine where they are made; what names a set is its row's only one.
+    full = shingle_sets(texts, named.select("least").distinct(), size).groupBy(*key).agg(F.first("s").alias("s"))
+    sets = written(full.join(named.drop("least"), key).select("id", "s"), "sets")
     sigs = heads.join(wanted, "id", "left_semi").select("id", "sig", "n")
     pairs = shared.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
     links = written(star_links(pairs, sets, sigs, percent), "links")

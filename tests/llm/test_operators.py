@@ -756,3 +756,21 @@ def test_main_text_of_repeated_and_clashing_rows(spark):
     got = html.extract(pages).collect()
     assert len(got) == 4 and len({r.text for r in got if r.page_id == 1}) == 1 and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id > 1} == {""} and html.extract(pages.where("false")).count() == 0
+
+
+def test_sets_are_made_for_the_wanted_ids(spark, monkeypatch):
+    """All rows of wanted ids, whether their filter goes to the texts or is too large to, and few others with the filter."""
+    rng = random.Random(33)
+    rows = [(rng.randrange(-(2**62), 2**62), " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(0, 12)))) for _ in range(4000)] + [(None, "a b c d"), (7, None), (7, "x y z"), (7, "p q r")]
+    wanted = {i for i, _ in rows[::5] if i is not None} | {7}
+    texts = spark.createDataFrame(rows, "least long, x string").withColumn("x", F.col("x").cast("binary")).repartition(5)
+    ids = spark.createDataFrame([(i,) for i in wanted], "least long")
+    own = lambda some: {neardup.set_hashes(neardup.shingles(t.encode(), 3, neardup.WordHashes())) for i, t in rows if t and i in some}
+    others = {i for i, _ in rows} - wanted
+    for bits in (neardup.FILTER_BITS, 512):
+        monkeypatch.setattr(neardup, "FILTER_BITS", bits)
+        got = {(r.k1, r.k2) for r in neardup.shingle_sets(texts, ids, 3).where("n > 0").collect()}
+        assert own(wanted) <= got
+        more = got - own(wanted)
+        assert len(more) < 0.03 * len(others) if bits > 512 else not more
+        assert neardup.shingle_sets(texts, ids.limit(0), 3).where("n > 0").count() <= 0
