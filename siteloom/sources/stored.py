@@ -18,10 +18,10 @@ CRAWL = "crawl_id"
 _known: dict[tuple, tuple[str, StructType]] = {}
 
 
-def write_parse(pages: DataFrame, path: str, *, url: str = "url") -> StructType:
+def write_parse(pages: DataFrame, path: str, *, url: str = "url", closed: bool = False) -> StructType:
     """Parse ``pages`` once and write the records, with the links, in a folder for each crawl; crawls that ``pages`` hold are
     replaced, others stay. Pages without a crawl go to crawl 0. Returns the schema, for :func:`read_parse`."""
-    rows = parsed(pages if CRAWL in pages.columns else pages.withColumn(CRAWL, F.lit(0).cast("long")), url=url)
+    rows = parsed(pages if CRAWL in pages.columns else pages.withColumn(CRAWL, F.lit(0).cast("long")), url=url, closed=closed)
     dealt = rows.repartition(CRAWL, F.pmod(F.xxhash64("normalized_url"), F.lit(PARTS))).sortWithinPartitions(CRAWL, "normalized_url")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(CRAWL).parquet(path)
     return StructType([f for f in rows.schema if f.name != CRAWL] + [StructField(CRAWL, LongType())])
@@ -40,13 +40,13 @@ def _mark(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where)))
 
 
-def parse_of(spark: SparkSession, path: str) -> DataFrame:
+def parse_of(spark: SparkSession, path: str, closed: bool = False) -> DataFrame:
     """The stored parse of the pages table at ``path``: made when first asked for in an application, or when the files have
     changed, and read by every query after that. It is in the shared folder, and goes when the driver ends."""
-    key = (spark.sparkContext.applicationId, path, _mark(spark, path))
+    key = (spark.sparkContext.applicationId, path, closed, _mark(spark, path))
     if key not in _known:
         to = f"{shared_folder(spark)}/siteloom/parse-{uuid4().hex}"
-        schema = write_parse(spark.read.parquet(path), to)
+        schema = write_parse(spark.read.parquet(path), to, closed=closed)
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
         _known[key] = to, schema

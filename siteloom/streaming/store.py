@@ -19,12 +19,13 @@ TABLES = ("pages", "links", "issues")
 KEY = ["crawl_id", "url"]
 
 
-def write_batch(batch: DataFrame, number: int, out: str) -> None:
+def write_batch(batch: DataFrame, number: int, out: str, closed: bool = False) -> None:
     """Parse one batch of fetches once and write its pages, links and issues. Of a page that the batch holds several
-    times, the last fetch counts (of equal times the greatest id). Folders of a batch that stopped are replaced."""
+    times, the last fetch counts (of equal times the greatest id). Folders of a batch that stopped are replaced. ``closed``
+    is that of :func:`parsed`."""
     spark = batch.sparkSession
     last = batch.groupBy(*KEY).agg(F.max_by(F.struct(*(c for c in batch.columns if c not in KEY)), F.struct("fetched_at", "page_id")).alias("r")).select(*KEY, "r.*")
-    rows = parsed(landed(last.select(*batch.columns))).withColumn("batch", F.lit(number))
+    rows = parsed(landed(last.select(*batch.columns)), closed=closed).withColumn("batch", F.lit(number))
     # The parse is written first and read back for the others, so it happens once, wherever executors are lost.
     rows.write.mode("overwrite").parquet(f"{out}/pages/{number}")
     whole = spark.read.schema(rows.schema).parquet(f"{out}/pages/{number}")
@@ -36,10 +37,10 @@ def write_batch(batch: DataFrame, number: int, out: str) -> None:
     spark.range(1).select(F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
 
 
-def ingest(fetches: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def ingest(fetches: DataFrame, out: str, checkpoint: str, closed: bool = False) -> StreamingQuery:
     """A stream of landed fetches (at least page_id, crawl_id, url, html, fetched_at and what :func:`landed` reads), batch
     by batch into the tables under ``out``, as far as they have arrived."""
-    return fetches.writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fetches.writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, out, closed)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def batches(spark: SparkSession, out: str) -> list[int]:

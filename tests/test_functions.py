@@ -76,3 +76,20 @@ def test_schedules():
     assert next_run("0 0 30 2 *", now) is None
     with pytest.raises(ValueError):
         next_run("60 * * * *", now)
+
+
+def test_references_without_semicolon():
+    from siteloom.sources.dom import parse
+
+    page = "<title>a &amp; b &amp</title><p title='x&amp'>&copy;&middot &#65;&#x42;"
+    assert parse_page("", page)["title"] == "a & b &" and parse_page("", page, closed=True)["title"] == "a & b &amp"
+    assert parse(page, closed=True).children[1].text() == "©&middot AB" and parse(page).children[1].text() == "©· AB"
+
+
+def test_average_words_round_the_quotient_of_hundreds(spark):
+    from pyspark.sql import functions as F
+
+    from siteloom.operators import text_stats as S
+
+    got = S.readability(spark.createDataFrame([(" ".join(["a"] * 364) + "." + " b." * 39,)], "text string"), F.col("text")).first()
+    assert (got.words, got.sentence_count, got.avg_words_per_sentence) == (403, 40, 10.08)
