@@ -74,15 +74,19 @@ def sitemap_children(sitemaps: DataFrame) -> DataFrame:
     return child.select("sitemap", _one(F.col("s"), "loc").alias("child")).where("child is not null")
 
 
+def sitemaps_under(sitemaps: DataFrame, root: str, depth: int = 2) -> DataFrame:
+    """The rows of ``sitemaps`` under a root, each once, indexes followed ``depth`` times: a bounded loop of joins."""
+    level = sitemaps.where(F.col("sitemap") == root)
+    found = level.select("sitemap")
+    for _ in range(depth):
+        level = sitemaps.join(sitemap_children(level).select(F.col("child").alias("sitemap")).distinct(), "sitemap", "left_semi")
+        found = found.unionByName(level.select("sitemap"))
+    return sitemaps.join(found.distinct(), "sitemap", "left_semi")
+
+
 def sitemap_tree(sitemaps: DataFrame, root: str, depth: int = 2) -> DataFrame:
-    """Distinct locs under a root sitemap, indexes followed ``depth`` times: a bounded loop of joins."""
-    level, found = sitemaps.where(F.col("sitemap") == root), None
-    for k in range(depth + 1):
-        entries = sitemap_entries(level).select("loc")
-        found = entries if found is None else found.unionByName(entries)
-        if k < depth:
-            level = sitemaps.join(sitemap_children(level).select(F.col("child").alias("sitemap")).distinct(), "sitemap", "left_semi")
-    return found.distinct().orderBy("loc")
+    """Distinct locs under a root sitemap, indexes followed ``depth`` times."""
+    return sitemap_entries(sitemaps_under(sitemaps, root, depth)).select("loc").distinct().orderBy("loc")
 
 
 def default_sitemap(root: str) -> str:
