@@ -182,3 +182,23 @@ def test_keyword_shares_at_the_half(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     want = con.execute(catalogue.ORACLE_SQL["keywords_export"]).fetchall()
     assert rows(catalogue.QUERIES["keywords_export"](spark, str(tmp_path))) == sorted(want, key=str) and ("unigram", "often", "23", "0.15646258") in want
+
+
+def test_a_parse_sends_a_few_pages_at_a_time(spark):
+    """What a task holds is bounded, whatever the session's limits are, and trees leave without the collector."""
+    import gc
+
+    from siteloom.sources import pages as P
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    one = parsed(spark.range(0, 1200, 1, 1).selectExpr("id as page_id", "concat('https://a.b/', id) as url", "concat('<title>', id, '</title>') as html"))
+    sizes = one.mapInArrow(lambda bs: (b.select(["page_id"]).slice(0, 1) for b in bs), "page_id long")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert sizes.count() >= 3 and one.where("title = page_id").count() == 1200
+    gc.collect()
+    gc.disable()
+    try:
+        P.parse_page("https://a.b/", "<p><a href=x>y</a>" * 50)
+        assert not any(type(o) is dom.Node for o in gc.get_objects())
+    finally:
+        gc.enable()
