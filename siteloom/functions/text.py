@@ -21,8 +21,7 @@ against between into through during before after above below up down out off ove
 def tokens(text: Column, stops: list[str], least_bytes: int) -> Column:
     """Lower-case runs of letters and digits, of ``least_bytes`` or more, without stop words, in order."""
     parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ")
-    stop = F.array(*map(F.lit, stops))
-    return F.filter(parts, lambda t: (F.octet_length(t) >= least_bytes) & ~F.array_contains(stop, t))
+    return F.filter(parts, lambda t: (F.octet_length(t) >= least_bytes) & ~t.isin(stops))
 
 
 def keyword_tokens(text: Column) -> Column:

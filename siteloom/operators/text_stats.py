@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,7 +25,13 @@ def once(docs: DataFrame, toks: Column, *keep: str) -> DataFrame:
 
 def keyword_counts(docs: DataFrame, text: Column, n: int) -> DataFrame:
     """(phrase, count) of all n-grams; the counts combine before the shuffle."""
-    return once(docs, T.keyword_tokens(text)).select(F.explode(T.ngrams(F.col("t"), n)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("count"))
+    toks = once(docs, T.keyword_tokens(text))
+    if n == 1:
+        phrases = toks.select(F.explode("t").alias("phrase"))
+    else:  # Tokens are joined as they are exploded: no array of phrases is made.
+        parts = toks.where(F.size("t") >= n).select(F.explode(F.arrays_zip(*(F.slice("t", k + 1, F.size("t") - (n - 1)).alias(f"w{k}") for k in range(n)))).alias("z"))
+        phrases = parts.select(F.concat_ws(" ", *(F.col("z").getField(f"w{k}") for k in range(n))).alias("phrase"))
+    return phrases.groupBy("phrase").agg(F.count("*").alias("count"))
 
 
 def keywords(docs: DataFrame, text: Column, n: int, most: int = 250) -> DataFrame:
@@ -51,9 +57,10 @@ def tfidf(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, weight): tf = count / length, idf = ln((N + 1) / (df + 1)) + 1."""
     toks = once(docs, T.cluster_tokens(text), id_col).withColumnRenamed(id_col, "id").where(F.size("t") > 0)
     tf = toks.select("id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("id", "term").agg((F.count("*") / F.first("n")).alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # The documents of a term are counted where its rows meet once: terms and counts are not made again for a join.
+    both = tf.withColumn("df", F.count("*").over(Window.partitionBy("term")))
     total = toks.agg(F.count("*").alias("docs"))
-    return tf.join(df, "term").join(F.broadcast(total)).select("id", "term", (F.col("tf") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
+    return both.join(F.broadcast(total)).select("id", "term", (F.col("tf") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
 
 
 def unit(weights: DataFrame) -> DataFrame:
@@ -124,8 +131,6 @@ def cluster_report(members: DataFrame, weights: DataFrame, names: DataFrame, mos
 def cluster_terms(members: DataFrame, weights: DataFrame, most: int = 10) -> DataFrame:
     """(leader, keywords): the terms of the largest summed weight of each cluster."""
     sums = weights.join(members, "id").groupBy("leader", "term").agg(F.sum("weight").alias("w"))
-    from pyspark.sql import Window
-
     best = sums.withColumn("r", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc(F.round("w", 9)), "term"))).where(F.col("r") <= most)
     return best.groupBy("leader").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), "; ").alias("keywords"))
 

@@ -202,3 +202,13 @@ def test_a_parse_sends_a_few_pages_at_a_time(spark):
         assert not any(type(o) is dom.Node for o in gc.get_objects())
     finally:
         gc.enable()
+
+
+def test_terms_and_phrases_are_shuffled_once(spark):
+    """Rows of terms are made once for weights and document counts; stop words are looked up in a set; phrases are not gathered."""
+    d = spark.createDataFrame([(1, "red red blue"), (2, "blue the sea"), (3, None)], "doc_id long, text string")
+    plan = lambda f: f._jdf.queryExecution().optimizedPlan().toString()
+    weights = S.tfidf(d, "doc_id", F.col("text"))
+    assert plan(weights).count("count(1)") <= 3 and " INSET " in plan(weights) and {(r.id, r.term) for r in weights.collect()} == {(1, "red"), (1, "blue"), (2, "blue"), (2, "sea")}
+    phrases = S.keyword_counts(d, F.col("text"), 2)
+    assert "zip_with" not in plan(phrases) and rows(phrases) == [("blue sea", 1), ("red blue", 1), ("red red", 1)]
