@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,20 +70,75 @@ def unit(weights: DataFrame) -> DataFrame:
     return weights.join(norms, "id").where("norm > 0").select("id", "term", (F.col("weight") / F.col("norm")).alias("w"))
 
 
+#: Terms in most documents that a block of documents holds as a dense matrix, documents of a block, and products of
+#: other terms that are added at a time.
+DENSE, BLOCK, PRODUCTS = 2048, 4000, 1 << 22
+PAIR = "a long, b long, similarity double"
+
+
+def _block_pairs(rows: pa.Table, least: float) -> pa.Table:
+    """The pairs of one cell of the grid: documents of block i with those of block j, or of i among themselves."""
+    blocks = rows.column("block").to_numpy()
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+
+    def side(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        part = rows.filter(pa.array(blocks == block)).select(["id", "no", "w"]).combine_chunks()
+        no = part.column("no").combine_chunks()
+        sizes = no.value_lengths().to_numpy(zero_copy_only=False)
+        return part.column("id").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), no.flatten().to_numpy(), part.column("w").combine_chunks().flatten().to_numpy()
+
+    def dense(n: int, row: np.ndarray, no: np.ndarray, w: np.ndarray) -> np.ndarray:
+        out, often = np.zeros((n, DENSE)), no < DENSE
+        out[row[often], no[often]] = w[often]
+        return out
+
+    left = side(i)
+    right = left if i == j else side(j)
+    if not len(left[0]) or not len(right[0]):
+        return pa.table({c: pa.array([], t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()))})
+    dot = dense(len(left[0]), *left[1:]) @ dense(len(right[0]), *right[1:]).T
+    # Rarer terms: the entries of the right by term, and for each entry of the left those of the same term, some at a time.
+    flat, width = dot.reshape(-1), len(right[0])
+    rare = right[2] >= DENSE
+    order = np.argsort(right[2][rare], kind="stable")
+    row, no, w = (x[rare][order] for x in right[1:])
+    mine = left[2] >= DENSE
+    mine_row, mine_no, mine_w = (x[mine] for x in left[1:])
+    first = np.searchsorted(no, mine_no, "left")
+    many = np.searchsorted(no, mine_no, "right") - first
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, "right")))
+        n = many[at:to]
+        of = np.repeat(np.arange(at, to), n)
+        other = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+        np.add.at(flat, mine_row[of] * width + row[other], mine_w[of] * w[other])
+        at = to
+    x, y = np.nonzero(dot >= least)
+    a, b = left[0][x], right[0][y]
+    kept = a < b if i == j else a != b
+    a, b, found = a[kept], b[kept], dot[x[kept], y[kept]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": found})
+
+
 def similar_pairs(units: DataFrame, least: float = 0.35) -> DataFrame:
-    """(a, b, similarity) of documents with cosine ``least`` or more, a < b.
-
-    Prefix filtering: a document's terms are ordered by document frequency, rarest first; once the weights that
-    remain have a norm below ``least``, they alone cannot reach it. So candidates meet only on the terms before
-    that point, and frequent terms produce none; the whole vectors then give the exact similarity."""
-    df = units.groupBy("term").agg(F.count("*").alias("df"))
-    ordered = units.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
-    rest = F.aggregate("v", F.struct(F.lit(1.0).alias("left"), F.array().cast("array<string>").alias("out")), lambda a, x: F.struct((a["left"] - x["w"] * x["w"]).alias("left"), F.when(a["left"] >= least * least - 1e-9, F.array_append(a["out"], x["term"])).otherwise(a["out"]).alias("out")))
-    probe = ordered.select("id", F.explode(rest["out"]).alias("term"))
-    pairs = probe.select(F.col("id").alias("a"), "term").join(probe.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    left = units.select(F.col("id").alias("a"), "term", F.col("w").alias("x"))
-    right = units.select(F.col("id").alias("b"), "term", F.col("w").alias("y"))
-    return pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+    """(a, b, similarity) of documents with cosine ``least`` or more, a < b; ids are whole numbers, ``least`` is above 0.
+
+    Documents are dealt into blocks, and every two blocks meet in one task: the terms of most documents as a product of
+    two dense matrices, the others by the entries that two documents share. The work is that of all pairs; a task holds
+    two blocks and the products between them, whatever the number of documents. Terms of one document join no pair."""
+    df = cut(units.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
+    often = df.orderBy(F.desc("df"), "term").limit(DENSE)
+    often = cut(often.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast("long").alias("no")))
+    number = often.unionByName(df.join(often, "term", "left_anti").select("term", (F.monotonically_increasing_id() + DENSE).alias("no")))
+    documents = cut(units.join(cut(number), "term").groupBy("id").agg(F.collect_list(F.struct("no", "w")).alias("v")).select("id", F.col("v.no").alias("no"), F.col("v.w").alias("w")))
+    blocks = max(1, -(-documents.count() // BLOCK))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    cells = documents.select("id", "no", "w", block.alias("block")).select("*", others.alias("o")).select("id", "no", "w", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    cells = cells.repartition(max(1, blocks * (blocks + 1) // 2), "i", "j")
+    return cells.groupBy("i", "j").applyInArrow(lambda rows: _block_pairs(rows, least), PAIR)
 
 
 def leaders(pairs: DataFrame) -> DataFrame:

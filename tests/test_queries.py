@@ -212,3 +212,29 @@ def test_terms_and_phrases_are_shuffled_once(spark):
     assert plan(weights).count("count(1)") <= 3 and " INSET " in plan(weights) and {(r.id, r.term) for r in weights.collect()} == {(1, "red"), (1, "blue"), (2, "blue"), (2, "sea")}
     phrases = S.keyword_counts(d, F.col("text"), 2)
     assert "zip_with" not in plan(phrases) and rows(phrases) == [("blue sea", 1), ("red blue", 1), ("red red", 1)]
+
+
+def test_similar_pairs_by_blocks():
+    """Every two blocks meet, terms are dense or not, and products are added some at a time: the same as all pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    most, S.PRODUCTS = S.PRODUCTS, 50
+    try:
+        docs = [(k, np.sort(rng.choice(30, 6, replace=False)) + S.DENSE - 8, rng.random(6)) for k in range(60)]
+        whole = np.zeros((60, S.DENSE + 30))
+        for k, no, w in docs:
+            whole[k, no] = w
+        want = {(a, b): s for a in range(60) for b in range(a + 1, 60) if (s := whole[a] @ whole[b]) >= 0.35}
+        got = {}
+        for i in range(3):
+            for j in range(i, 3):
+                cell = [r for r in docs if r[0] % 3 in (i, j)]
+                table = pa.table({"id": [r[0] for r in cell], "no": pa.array([list(r[1]) for r in cell], pa.list_(pa.int64())), "w": pa.array([list(r[2]) for r in cell], pa.list_(pa.float64())), "block": [r[0] % 3 for r in cell], "i": [i] * len(cell), "j": [j] * len(cell)})
+                for r in S._block_pairs(table, 0.35).to_pylist():
+                    assert (r["a"], r["b"]) not in got
+                    got[r["a"], r["b"]] = r["similarity"]
+        assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    finally:
+        S.PRODUCTS = most
