@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,25 +74,39 @@ def same_domain(url: Column, root_host: str) -> Column:
     return (host(url) == root_host) | host(url).endswith("." + root_host)
 
 
+#: URLs of a level that are sent to the links; beyond that, links and level are shuffled.
+SENT = 200_000
+
+
+def _near(level: DataFrame, n: int) -> DataFrame:
+    """A level of ``n`` rows for a join with all links, which then stay where they are while the level is small."""
+    return F.broadcast(level) if n <= SENT else level
+
+
 def frontier_levels(seeds: DataFrame, edges: DataFrame, *, max_depth: int = 3, max_urls: int | None = None, cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(url, depth): breadth-first levels over edges (source, target) from seeds (url). Each level is an anti-join
     with what was seen; ``max_urls`` takes the smallest URLs of the level that would pass it. ``cut`` ends the
     lineage of a level (default: a checkpoint in the session's folder; without one, in local mode, in a temporary one)."""
     cut = cut or (lambda d, _: checkpointed(d))
     level = seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0))
-    seen = level = cut(level, "0") if max_urls is None else cut(level.orderBy("url").limit(max_urls), "0")
+    level = cut(level, "0") if max_urls is None else cut(level.orderBy("url").limit(max_urls), "0")
+    levels, n = [level], level.count()
+    used = n
     for depth in range(1, max_depth + 1):
-        nxt = edges.join(level.select(F.col("url").alias("source")), "source", "left_semi").select(F.col("target").alias("url")).where("url is not null").distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        if not n or (max_urls is not None and used >= max_urls):
+            break
+        # The links are met by what is new only; every level is written once, and all together at every sixteenth.
+        seen = reduce(DataFrame.unionByName, levels)
+        nxt = edges.join(_near(level.select(F.col("url").alias("source")), n), "source", "left_semi").select(F.col("target").alias("url")).where("url is not null").distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
         if max_urls is not None:
-            left = max_urls - seen.count()
-            if left <= 0:
-                break
-            nxt = nxt.orderBy("url").limit(left)
+            nxt = nxt.orderBy("url").limit(max_urls - used)
         level = cut(nxt, str(depth))
-        if level.isEmpty():
-            break
-        seen = cut(seen.unionByName(level), f"seen{depth}")
-    return seen
+        n = level.count()
+        used += n
+        levels.append(level)
+        if len(levels) == 16:
+            levels = [cut(reduce(DataFrame.unionByName, levels), f"seen{depth}")]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def crawl_order(seeds: DataFrame, links: DataFrame, *, max_depth: int, max_urls: int, blocked: Callable[[DataFrame], DataFrame] | None = None, in_scope: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -116,12 +131,12 @@ def crawl_order(seeds: DataFrame, links: DataFrame, *, max_depth: int, max_urls:
     first = seeds.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("position").alias("_p"))
     level = ranked(first, [F.col("_p"), F.col("url")], "place").where(F.col("place") < max_urls).select("url", F.lit(0).alias("depth"), "place")
     level = seen = checkpointed(opened(level))
-    used = seen.count()
+    used = new = seen.count()
     for depth in range(1, max_depth + 1):
         if used >= max_urls:
             break
         # A page's links meet its place; a hub's many links are an equi-join that may be split by the planner.
-        met = links.join(level.where("crawled").select(F.col("url").alias("source"), F.col("place").alias("_from")), "source")
+        met = links.join(_near(level.where("crawled").select(F.col("url").alias("source"), F.col("place").alias("_from")), new), "source")
         first = met.where(F.col("target").isNotNull() & scope(F.col("target"))).groupBy(F.col("target").alias("url")).agg(F.min(F.struct("_from", "position")).alias("_p"))
         first = first.join(seen.select("url"), "url", "left_anti").select("url", "_p._from", F.col("_p.position").alias("_position"))
         level = ranked(first, [F.col("_from"), F.col("_position"), F.col("url")], "place").where(F.col("place") < max_urls - used)

@@ -106,6 +106,24 @@ def plain_status(events):
     return state[2:]
 
 
+def test_a_level_goes_to_the_links(spark, monkeypatch):
+    """While a level is small the links are not shuffled for it; a large one meets them by a shuffle, with the same result."""
+    edges = spark.createDataFrame([(str(k), str(t)) for k in range(40) for t in (k + 1, k // 2)] + [("3", None)], "source string, target string")
+    plans = []
+
+    def cut(frame, name):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return lineage.cut(frame)
+
+    seeds = spark.createDataFrame([("5",), (None,)], "url string")
+    few = {(r.url, r.depth) for r in C.frontier_levels(seeds, edges, max_depth=2**31 - 1, cut=cut).collect()}
+    assert len(few) == 41 and ("40", 35) in few and ("0", 3) in few
+    assert sum("leftHint=(strategy=broadcast)" in p or "rightHint=(strategy=broadcast)" in p for p in plans) >= 36
+    monkeypatch.setattr(C, "SENT", 0)
+    assert {(r.url, r.depth) for r in C.frontier_levels(seeds, edges, max_depth=3).collect()} == {x for x in few if x[1] <= 3}
+    assert {(r.url, r.depth) for r in C.frontier_levels(seeds, edges, max_depth=9, max_urls=3).collect()} == {("5", 0), ("2", 1), ("6", 1)}
+
+
 def test_crawl_status_over_a_stream(spark, tmp_path):
     """Events out of order within a file, repeated in the next one, and a restart from the checkpoint in between."""
     rng, start = random.Random(9), dt.datetime(2024, 1, 1)
