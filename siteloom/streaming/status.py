@@ -23,13 +23,13 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 _longs = lambda *names: [StructField(n, LongType()) for n in names]
 #: (seq, at) of the last event that was applied, the status, the counters, and how many events were applied and refused.
 STATE = StructType([*_longs("seq", "at"), StructField("status", StringType()), *_longs(*COUNTERS, "applied", "refused")])
-EVENT = StructType([StructField("kind", StringType()), *_longs("at", *COUNTERS)])
+WAITING = StructType([*_longs("seq"), StructField("kind", StringType()), *_longs("at", *COUNTERS)])
 OUTPUT = StructType([*_longs("crawl_id"), *STATE.fields])
 INPUT = "crawl_id long, seq long, ts timestamp, kind string, crawled long, queued long, issues long, links long"
 
 
 def applied(state: tuple, seq: int, event: tuple) -> tuple:
-    """The state (as ``STATE``) after one event (as ``EVENT``). ``progress`` sets the counters of a crawl that has begun
+    """The state (as ``STATE``) after one event (as ``WAITING``, without its number). ``progress`` sets the counters of a crawl that has begun
     and not ended; those it doesn't tell stay."""
     (_, _, status, *rest), (kind, at, *told) = state, event
     counters, done, refused = rest[: len(COUNTERS)], rest[-2], rest[-1]
@@ -42,14 +42,19 @@ def applied(state: tuple, seq: int, event: tuple) -> tuple:
     return (seq, at, status, *counters, done + 1, refused)
 
 
+def _whole(column: pd.Series) -> list[int | None]:
+    return [None] * len(column) if column.isna().all() else [None if pd.isna(v) else int(v) for v in column]
+
+
 class _Status(StatefulProcessor):
-    """Events wait under their number until the watermark has passed them; then they are applied by time and number.
-    One timer for each batch of a crawl's events wakes it, so that what waits is bounded by the watermark's delay."""
+    """Events wait in a list until the watermark has passed them; then they are applied by time and number, each number
+    once. Lists are written and read whole: a batch of a crawl's events is one message to the state store, as is
+    the timer that wakes the crawl for it. What waits is bounded by the watermark's delay."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", STATE)
-        self.waiting = handle.getMapState("waiting", StructType(_longs("seq")), EVENT)
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def _state(self) -> tuple:
         return tuple(self.now.get()) if self.now.exists() else (-1, -1, "created", 0, 0, 0, 0, 0, 0)
@@ -58,23 +63,26 @@ class _Status(StatefulProcessor):
         seq, at = self._state()[:2]
         last = None
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                ms = int(pd.Timestamp(r.ts).value // 1_000_000)
-                if (ms, r.seq) > (at, seq):  # what was applied, or something after it, came before: a repetition
-                    whole = lambda v: None if pd.isna(v) else int(v)
-                    self.waiting.updateValue((int(r.seq),), (r.kind, ms, *(whole(getattr(r, c)) for c in COUNTERS)))
-                    last = ms if last is None else max(last, ms)
+            ms = pd.to_datetime(frame["ts"]).to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+            told = zip(frame["seq"].astype("int64").tolist(), frame["kind"].tolist(), ms, *(_whole(frame[c]) for c in COUNTERS))
+            new = [e for e in told if (e[2], e[0]) > (at, seq)]  # what was applied, or something after it, came before: a repetition
+            if new:
+                self.waiting.appendList(new)
+                last = max([e[2] for e in new] + ([] if last is None else [last]))
         if last is not None:
             self.handle.registerTimer(last)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until, state = expiredTimerInfo.getExpiryTimeInMs(), self._state()
-        due = sorted((v[1], k[0], tuple(v)) for k, v in self.waiting.iterator() if v[1] <= until)
-        for _, seq, event in due:
-            state = applied(state, seq, event)
-            self.waiting.removeKey((seq,))
+        # Of a number that came repeatedly, the last stands.
+        held = {e[0]: tuple(e) for e in self.waiting.get()}
+        due = sorted((e for e in held.values() if e[2] <= until), key=lambda e: (e[2], e[0]))
         if due:
+            for e in due:
+                state = applied(state, e[0], e[1:])
+            later = [e for e in held.values() if e[2] > until]
+            self.waiting.put(later) if later else self.waiting.clear()
             self.now.update(state)
             yield pd.DataFrame([(key[0], *state)], columns=OUTPUT.names)
 

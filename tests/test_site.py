@@ -124,6 +124,40 @@ def test_a_level_goes_to_the_links(spark, monkeypatch):
     assert {(r.url, r.depth) for r in C.frontier_levels(seeds, edges, max_depth=9, max_urls=3).collect()} == {("5", 0), ("2", 1), ("6", 1)}
 
 
+def test_a_batch_of_events_is_one_message():
+    """The state store gets a crawl's events of a batch at once, and is asked for them once; of a repeated number the last stands."""
+    import pandas as pd
+
+    class Store:
+        def __init__(self):
+            self.calls, self.held, self.value, self.timers = 0, [], None, []
+
+        def getValueState(self, *_):
+            return type("V", (), {"exists": lambda v: self.value is not None, "get": lambda v: self.value, "update": lambda v, x: setattr(self, "value", x)})()
+
+        def getListState(self, *_):
+            def told(change):
+                self.calls += 1
+                return change()
+
+            return type("L", (), {"appendList": lambda v, x: told(lambda: self.held.extend(x)), "get": lambda v: told(lambda: iter(list(self.held))), "put": lambda v, x: told(lambda: setattr(self, "held", list(x))), "clear": lambda v: told(self.held.clear)})()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    kept, crawl = Store(), status._Status()
+    crawl.init(kept)
+    at = lambda ms: pd.Timestamp(ms, unit="ms")
+    rows = [(1, k, at(10 * k), "progress", k, None, None, None) for k in range(2, 500)] + [(1, 1, at(5), "start", None, None, None, None), (1, 499, at(4990), "progress", 7, None, 3, None)]
+    frame = pd.DataFrame(rows, columns=["crawl_id", "seq", "ts", "kind", *status.COUNTERS])
+    assert list(crawl.handleInputRows((1,), iter([frame]), None)) == [] and kept.timers == [4990] and kept.calls == 1
+    timer = lambda ms: type("T", (), {"getExpiryTimeInMs": lambda t: ms})()
+    (first,) = crawl.handleExpiredTimer((1,), None, timer(100))
+    assert first.iloc[0].tolist() == [1, 10, 100, "crawling", 10, 0, 0, 0, 10, 0] and len(kept.held) == 489
+    (last,) = crawl.handleExpiredTimer((1,), None, timer(4990))
+    assert last.iloc[0].tolist() == [1, 499, 4990, "crawling", 7, 0, 3, 0, 499, 0] and kept.held == [] and kept.calls == 5
+
+
 def test_crawl_status_over_a_stream(spark, tmp_path):
     """Events out of order within a file, repeated in the next one, and a restart from the checkpoint in between."""
     rng, start = random.Random(9), dt.datetime(2024, 1, 1)
