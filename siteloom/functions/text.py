@@ -18,6 +18,15 @@ when why how all each every both few more most other some such no nor not only o
 against between into through during before after above below up down out off over under again further then once here there also if""".split()
 
 
+#: The characters of Unicode's category Zs.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """Without spaces of any kind at both ends; tabs and line ends stay."""
+    return F.trim(text, F.lit(SPACES))
+
+
 def tokens(text: Column, stops: list[str], least_bytes: int) -> Column:
     """Lower-case runs of letters and digits, of ``least_bytes`` or more, without stop words, in order."""
     parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ")

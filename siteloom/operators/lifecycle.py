@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.lineage import ranked
 from .crawl import next_run, validate_rule
 
@@ -173,16 +174,17 @@ def total_pages(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / F.lit(max(size, 1))))
 
 
-def text_of(pages: DataFrame, json_column: str = "seo_data_json", fields: Sequence[tuple[str, str, str]] = (("title", "title", "title"), ("meta_description", "metaDescription", "meta_description"), ("h1_text", "h1Text", "h1_text"), ("headings_h2", "headingsH2", "headings_h2"), ("headings_h3", "headingsH3", "headings_h3"), ("extractable_text", "extractableText", "extractable_text"))) -> Column:
+def text_of(pages: DataFrame, json_column: str = "seo_data_json", fields: Sequence[tuple[str, str, str]] = (("title", "title", "title"), ("meta_description", "metaDescription", "meta_description"), ("h1_text", "h1Text", "h1_text"), ("headings_h2", "headingsH2", "headings_h2"), ("headings_h3", "headingsH3", "headings_h3"), ("extractable_text", "extractableText", "extractable_text")), blank: Sequence[str] = ()) -> Column:
     """A page's texts: from its columns in their order, then what these lack from the stored JSON, whose keys may be
-    camel case or, failing that, snake case; lists of texts are joined. JSON fills in the order title, h1, description, body, h2, h3."""
+    camel case or, failing that, snake case; lists of texts are joined. JSON fills in the order title, h1, description, body, h2, h3.
+    Blank texts are left out; columns named in ``blank`` count as they are, blank too."""
     told = lambda c: F.array_join(F.col(c), " ") if c in pages.columns and pages.schema[c].dataType.typeName() == "array" else F.col(c) if c in pages.columns else F.lit(None).cast("string")
-    own = {c: F.when(F.trim(told(c)) != "", F.trim(told(c))) for c, _, _ in fields}
+    own = {c: T.trimmed(told(c)) if c in blank else F.when(T.trimmed(told(c)) != "", T.trimmed(told(c))) for c, _, _ in fields}
 
     def stored(camel: str, snake: str) -> Column:
         raw = F.coalesce(*(F.get_json_object(F.col(json_column), f"$.{k}") for k in (camel, snake)))
         return F.when(raw.startswith("["), F.array_join(F.from_json(raw, "array<string>"), " ")).otherwise(raw)
 
     order = [0, 2, 1, 5, 3, 4]
-    missing = [F.when(own[fields[i][0]].isNull(), F.when(F.trim(stored(*fields[i][1:])) != "", F.trim(stored(*fields[i][1:])))) for i in order if i < len(fields)]
+    missing = [F.when(own[fields[i][0]].isNull(), F.when(T.trimmed(stored(*fields[i][1:])) != "", T.trimmed(stored(*fields[i][1:])))) for i in order if i < len(fields)]
     return F.concat_ws(" ", *own.values(), *missing)

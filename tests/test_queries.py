@@ -238,3 +238,13 @@ def test_similar_pairs_by_blocks():
         assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     finally:
         S.PRODUCTS = most
+
+
+def test_stored_text_of_blank_and_missing_texts(spark, tmp_path):
+    """Blank texts, texts that are missing, spaces of any kind at the ends, ids below 0: as the SQL has them."""
+    texts = ["", "  ", None, " a ", " b　 ", "\tc\n", "d \n", " ", "e​", "[f]", "g  h"]
+    spark.createDataFrame([(k - 12, texts[k % 11]) for k in range(99)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalogue.ORACLE_SQL["stored_text"]).fetchall()
+    assert sorted(rows(store.stored_text(spark, str(tmp_path))), key=str) == sorted(want, key=str) and len(want) == 99
