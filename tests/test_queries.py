@@ -248,3 +248,28 @@ def test_stored_text_of_blank_and_missing_texts(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(catalogue.ORACLE_SQL["stored_text"]).fetchall()
     assert sorted(rows(store.stored_text(spark, str(tmp_path))), key=str) == sorted(want, key=str) and len(want) == 99
+
+
+def made_texts(spark, n=60):
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(25)]
+    texts = [(k, " ".join(rng.choices(words, k=rng.randint(0, 9)) + [f"only{k}"] * (k % 4 == 0))) for k in range(n)] + [(n, None), (3, "again w1 w2"), (None, "w1 w3")]
+    return spark.createDataFrame(texts, "doc_id long, text string")
+
+
+def test_similar_pairs_shuffle_no_copies(spark, monkeypatch):
+    """Parts of documents meet in tasks that read them where they are stored; rows that share an id are one document."""
+    monkeypatch.setattr(S, "BLOCK", 13)
+    docs = made_texts(spark)
+    unit = {}
+    for r in S.unit(S.tfidf(docs, "doc_id", F.col("text"))).where("id is not null").collect():
+        unit.setdefault(r.id, {})[r.term] = r.w
+    ids = sorted(k for k in unit if k != 3)
+    want = {(a, b): round(s, 9) for a in ids for b in ids if a < b and (s := sum(w * unit[b].get(t, 0) for t, w in unit[a].items())) >= 0.35}
+    found = S.similar_pairs(S.text_documents(docs, "doc_id", F.col("text")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = [(r.a, r.b, round(r.similarity, 9)) for r in found.collect()]
+    assert {(a, b): s for a, b, s in got if 3 not in (a, b)} == want and len(want) > 100 and len({x[:2] for x in got}) == len(got) and any(3 in x[:2] for x in got)
