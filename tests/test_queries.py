@@ -273,3 +273,47 @@ def test_similar_pairs_shuffle_no_copies(spark, monkeypatch):
     assert "Exchange" not in plan and "Generate" not in plan
     got = [(r.a, r.b, round(r.similarity, 9)) for r in found.collect()]
     assert {(a, b): s for a, b, s in got if 3 not in (a, b)} == want and len(want) > 100 and len({x[:2] for x in got}) == len(got) and any(3 in x[:2] for x in got)
+
+
+def test_taken_documents_meet_no_more_leaders():
+    """Leaders come from the smallest on; a document that has one is not compared again, and no pack is read for none."""
+    import numpy as np
+
+    def side(ids, terms):
+        return S._side(np.array(ids), np.ones(len(ids), int), np.array(terms), np.ones(len(ids)))
+
+    def packs():
+        yield side([1, 2], [5, 6])
+        yield side([3, 4], [7, 5])
+        raise AssertionError("all are taken")
+
+    found = [r for b in S._met(side([10, 11, 12], [5, 7, 6]), packs(), 0.35) for r in b.to_pylist()]
+    assert sorted((r["id"], r["leader"], r["similarity"]) for r in found) == [(10, 1, 1.0), (11, 3, 1.0), (12, 2, 1.0)]
+
+
+def test_similarity_at_the_limit_is_decided_in_double_precision():
+    """Products in single precision can't tell which documents are similar to just the least, those in double precision do."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    no = np.sort(rng.permuted(np.tile(np.arange(400), (80, 1)), axis=1)[:, :60], axis=1)
+    w = rng.random((80, 60))
+    w /= np.sqrt((w * w).sum(1, keepdims=True))
+    docs = S._side(np.arange(80), np.full(80, 60), no.reshape(-1), w.reshape(-1))
+    x, y = (v.reshape(-1) for v in np.divmod(np.arange(6400), 80))
+    dots = S._exact(docs, docs, x, y)
+    assert np.allclose(dots.reshape(80, 80), S._dots(docs, docs))
+    for least in np.sort(dots)[3000:3010]:
+        assert (S._similar(docs, docs, least).reshape(-1) == (dots >= least)).all()
+
+
+def test_cluster_terms_by_texts(spark):
+    """Sums of hashed terms, named where they may be among the largest: the same keywords as by weights, ties by term."""
+    docs = made_texts(spark).dropDuplicates(["doc_id"])
+    documents, weights = S.text_documents(docs, "doc_id", F.col("text")), S.stored_tfidf(docs, "doc_id", F.col("text"))
+    members = S.grouped(S.leading(documents))
+    assert rows(members) == rows(S.grouped(S.leading(weights))) and members.count() > 20
+    want = rows(S.cluster_terms(members, weights, 3))
+    assert rows(S.cluster_terms(members, documents, 3)) == want and len(want) > 3
+    plan = S.cluster_terms(members, documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "h#" in plan and plan.count("Join") == 1
