@@ -317,3 +317,19 @@ def test_cluster_terms_by_texts(spark):
     assert rows(S.cluster_terms(members, documents, 3)) == want and len(want) > 3
     plan = S.cluster_terms(members, documents)._jdf.queryExecution().optimizedPlan().toString()
     assert "h#" in plan and plan.count("Join") == 1
+
+
+def test_clusters_in_many_rounds(spark, monkeypatch):
+    """Parts of two documents, settled in several rounds, give the clusters of a pass from document to document; so does no document."""
+    monkeypatch.setattr(S, "BLOCK", 4)
+    docs = made_texts(spark, 40).dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")
+    documents = S.text_documents(docs, "doc_id", F.col("text"))
+    pairs = {(r.a, r.b): r.similarity for r in S.similar_pairs(documents).collect()}
+    want = {}
+    for k in range(41):
+        if k not in want:
+            want |= {b: (k, round(s, 9)) for (a, b), s in pairs.items() if a == k and b not in want}
+    got = S.leading(documents).collect()
+    assert {r.id: (r.leader, round(r.similarity, 9)) for r in got} == want and len(got) == len(want) > 10
+    none = S.text_documents(docs.where("false"), "doc_id", F.col("text"))
+    assert S.leading(none).count() == S.similar_pairs(none).count() == 0
