@@ -333,3 +333,14 @@ def test_clusters_in_many_rounds(spark, monkeypatch):
     assert {r.id: (r.leader, round(r.similarity, 9)) for r in got} == want and len(got) == len(want) > 10
     none = S.text_documents(docs.where("false"), "doc_id", F.col("text"))
     assert S.leading(none).count() == S.similar_pairs(none).count() == 0
+
+
+def test_clusters_export_of_odd_texts(spark, tmp_path):
+    """Empty, missing and equal texts, and terms of one document among the largest: the rows of its SQL, from terms known by hash."""
+    made_texts(spark, 40).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(spark.createDataFrame([(90, ""), (91, "x1 x2 x3"), (92, "x1 x2 x3"), (93, "x1 x2 y9")], "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalogue.ORACLE_SQL["clusters_export"]).fetchall()
+    found = store.clusters_export(spark, str(tmp_path))
+    assert rows(found) == sorted(want, key=str) and len(want) > 10
+    assert "h#" in found._jdf.queryExecution().optimizedPlan().toString()
